@@ -196,3 +196,24 @@ def hash_unit(*parts: Column, seed: int = 0) -> Column:
     """Reproducible uniform value in [0, 1) from the parts of a row key."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
     return h.cast("double") / F.lit(float(1 << 53))
+
+
+def join_hot(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many rows per key onto a large lookup (one row per key).
+
+    Keys holding more than ``habitspark.join.hotKeyRows`` rows are joined apart against
+    their own few lookup rows, which are at most rows / limit and hence broadcast; all
+    other keys go through an ordinary shuffled join.
+    """
+    spark = big.sparkSession
+    limit = int(spark.conf.get("habitspark.join.hotKeyRows", "1000000"))
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot, small = measured(counts.filter(F.col("_n") > limit).select(*keys))
+    if not small or hot.isEmpty():
+        return big.join(lookup, list(keys), how)
+    hot = F.broadcast(hot)
+    apart = big.join(hot, list(keys), "left_semi").join(
+        F.broadcast(lookup.join(hot, list(keys), "left_semi")), list(keys), how
+    )
+    rest = big.join(hot, list(keys), "left_anti").join(lookup, list(keys), how)
+    return apart.unionByName(rest)

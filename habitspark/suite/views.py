@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.functions.geo import Grid
+from habitspark.operators import raster
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -275,7 +276,21 @@ PRESENT = (
 )
 
 
-_NEEDS = {"cells AS": [GRID], "bands_long AS": [GRID], "bands_wide AS": [GRID, BANDS], "scored_long AS": [SCORED],
+def env(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with elevation and bands of the pixel they fall in."""
+    layers = cells(spark, folder).join(bands_wide(spark, folder), ["row", "col"], "left")
+    points = occ(spark, folder).select("rec_id", "species", "country", "year", "lon", "lat")
+    return raster.sample(points, layers, grid(spark, folder), ["elevation", *BAND_NAMES])
+
+
+ENV = (
+    "env AS (SELECT o.rec_id, o.species, o.country, o.year, o.lon, o.lat, c.elevation, "
+    + ", ".join(f"b.{b}" for b in BAND_NAMES)
+    + """ FROM (SELECT occ.*, CAST(floor((lon - x0) / dx) AS BIGINT) AS col, CAST(floor((y0 - lat) / dy) AS BIGINT) AS row
+  FROM occ, grid) o LEFT JOIN cells c USING (row, col) LEFT JOIN bands_wide b USING (row, col))"""
+)
+
+_NEEDS = {"env AS": [OCC, GRID, CELLS, BANDS, BANDS_WIDE], "cells AS": [GRID], "bands_long AS": [GRID], "bands_wide AS": [GRID, BANDS], "scored_long AS": [SCORED],
           "scenarios AS": [GRID, CELLS], "present AS": [GRID, CELLS], "occ_bad AS": [OCC]}
 
 
