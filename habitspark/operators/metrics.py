@@ -178,22 +178,21 @@ def calibration_curve(df: DataFrame, keys: Sequence[str], score: str = "score",
     """Observed share and mean score per occupied bin; an edge value counts to the lower bin."""
     p = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
     step = 1.0 / n_bins
-    above = F.lit(0)
-    for k in range(1, n_bins):
-        above = above + (p > F.lit(k * step)).cast("int")
+    above = " + ".join(f"int(_p > {k * step!r}D)" for k in range(1, n_bins))
     return (
         df.filter(F.col(score).isNotNull())
-        .groupBy(*keys, above.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("presence").cast("double")).alias("prob_true"), F.avg(p).alias("prob_pred"))
+        .select(*keys, p.alias("_p"), "presence")
+        .groupBy(*keys, F.expr(above).alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("presence").cast("double")).alias("prob_true"), F.avg("_p").alias("prob_pred"))
     )
 
 
 def calibration_line(df: DataFrame, keys: Sequence[str], score: str = "score", n_bins: int = 10) -> DataFrame:
     """Least-squares line through the calibration curve; null with fewer than two bins."""
-    enough = F.count(F.lit(1)) >= 2
+    spread = F.var_pop("prob_pred")
+    slope = F.when((F.count(F.lit(1)) >= 2) & (spread > 0), F.covar_pop("prob_true", "prob_pred") / F.when(spread > 0, spread))
     return calibration_curve(df, keys, score, n_bins).groupBy(*keys).agg(
-        F.when(enough, F.regr_slope("prob_true", "prob_pred")).alias("calib_slope"),
-        F.when(enough, F.regr_intercept("prob_true", "prob_pred")).alias("calib_intercept"),
+        slope.alias("calib_slope"), (F.avg("prob_true") - slope * F.avg("prob_pred")).alias("calib_intercept")
     )
 
 
@@ -235,10 +234,7 @@ def boyce_range(df: DataFrame, keys: Sequence[str], score: str = "score", n_bins
         F.sum(1 - F.col("presence").cast("long")).alias("n_neg"),
     )
     counts = attach(score_counts(df, keys, score), ends, keys)
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(n_bins))
-    at = F.lit(0)
-    for k in range(1, n_bins):
-        at = at + (F.col("score") >= F.lit(float(k)) * step + F.col("lo")).cast("int")
+    at = F.expr(" + ".join(f"int(score >= {float(k)}D * ((hi - lo) / {float(n_bins)}D) + lo)" for k in range(1, n_bins)))
     bins = counts.groupBy(*keys, at.alias("bin"), "n_pos", "n_neg").agg(
         F.sum("pos").alias("pos"),
         F.sum("neg").alias("neg"),
@@ -273,17 +269,15 @@ def boyce_unit(df: DataFrame, keys: Sequence[str], score: str = "score", n_bins:
     """Boyce index over closed bins of [0, 1], expected share from all points."""
     s = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
     edges = boyce_unit_edges(n_bins, bin_width)
-    aggs = []
-    for i, (lo, hi) in enumerate(edges):
-        inside = s.between(lo, hi)
-        aggs += [F.count_if(inside).alias(f"a{i}"), F.count_if(inside & (F.col("presence") == 1)).alias(f"p{i}")]
-    wide = df.filter(F.col(score).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("presence") == 1).alias("n_pos"), *aggs
-    )
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"a{i}").alias("n"), F.col(f"p{i}").alias("pos")) for i in range(len(edges))])
-    )
-    bins = wide.select(*keys, "n_all", "n_pos", stacked.alias("b")).select(*keys, "n_all", "n_pos", "b.*")
+    clipped = df.filter(F.col(score).isNotNull()).select(*keys, s.alias("_s"), "presence")
+    aggs = [
+        F.expr(f"count_if(_s BETWEEN {lo!r}D AND {hi!r}D{extra}) AS {n}{i}")
+        for i, (lo, hi) in enumerate(edges)
+        for n, extra in (("a", ""), ("p", " AND presence = 1"))
+    ]
+    wide = clipped.groupBy(*keys).agg(F.expr("count(1) AS n_all"), F.expr("count_if(presence = 1) AS n_pos"), *aggs)
+    rows = ", ".join(f"named_struct('bin', {i}, 'n', a{i}, 'pos', p{i})" for i in range(len(edges)))
+    bins = wide.selectExpr(*keys, "n_all", "n_pos", f"inline(array({rows}))")
     ratio = (_d("pos") / _d("n_pos")) / (_d("n") / _d("n_all"))
     used = bins.filter("n > 0 AND n_pos > 0").withColumn("ratio", ratio)
     found = _rank_correlation(used, keys, "bin", "ratio", 5)

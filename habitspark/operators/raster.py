@@ -102,15 +102,15 @@ def stack(bands: DataFrame, features: Sequence[str], available: Sequence[str], b
 
 def _sources(index: str, last: int) -> Column:
     """Window positions a cell index fills: (target index, offset), edges repeated."""
-    i = F.col(index).cast("long")
     places = [
-        F.struct((i + 1).alias("at"), F.lit(-1).alias("d"), (i < last).alias("ok")),
-        F.struct(i.alias("at"), F.lit(0).alias("d"), F.lit(True).alias("ok")),
-        F.struct((i - 1).alias("at"), F.lit(1).alias("d"), (i > 0).alias("ok")),
-        F.struct(i.alias("at"), F.lit(-1).alias("d"), (i == 0).alias("ok")),
-        F.struct(i.alias("at"), F.lit(1).alias("d"), (i == last).alias("ok")),
+        (f"{index} + 1", -1, f"{index} < {last}"),
+        (index, 0, "true"),
+        (f"{index} - 1", 1, f"{index} > 0"),
+        (index, -1, f"{index} = 0"),
+        (index, 1, f"{index} = {last}"),
     ]
-    return F.filter(F.array(*places), lambda p: p["ok"])
+    items = ", ".join(f"named_struct('at', bigint({at}), 'd', {d}, 'ok', {ok})" for at, d, ok in places)
+    return F.expr(f"filter(array({items}), p -> p.ok)")
 
 
 OFFSETS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
@@ -134,7 +134,7 @@ def windows(cells: DataFrame, grid: Grid, value: str, only: DataFrame | None = N
     )
     if only is not None:
         sent = sent.join(only.select("row", "col"), ["row", "col"], "left_semi")
-    aggs = [F.max(F.when((F.col("dr") == a) & (F.col("dc") == b), F.col(value))).alias(_z(a, b)) for a, b in OFFSETS]
+    aggs = [F.expr(f"max({value}) FILTER (WHERE dr = {a} AND dc = {b}) AS {_z(a, b)}") for a, b in OFFSETS]
     return sent.groupBy("row", "col").agg(*aggs)
 
 

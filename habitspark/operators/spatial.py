@@ -187,7 +187,8 @@ def _turn_hull(xy: np.ndarray) -> np.ndarray:
         for p in points:
             while len(out) > 1:
                 u, v = out[-1] - out[-2], p - out[-2]
-                if u[0] * v[1] - u[1] * v[0] > 0:
+                # coordinates are decimal fractions: straight lines are straight up to rounding
+                if u[0] * v[1] - u[1] * v[0] > 1e-12 * np.hypot(*u) * np.hypot(*v):
                     break
                 out.pop()
             out.append(p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "metrics", "raster", "spatial"]
+MODULES = ["cleaning", "metrics", "raster", "spatial", "modelling"]
 
 
 def load():
