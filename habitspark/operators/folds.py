@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.operators.audit import fold_balance, folds_with_presence
-from habitspark.plans.scale import attach, checkpointed, measured
+from habitspark.plans.scale import attach, stored, measured
 
 
 def _projection(presences: DataFrame, key: str) -> DataFrame:
@@ -61,7 +61,7 @@ def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int = 10
     scale = _projection(presences, key)
     places = presences.groupBy(key, "lon", "lat").agg(F.count(F.lit(1)).cast("double").alias("w"))
     places = attach(places, scale, [key]).select(key, (F.col("lon") * F.col("_scale")).alias("x"), F.col("lat").alias("y"), "w")
-    places = checkpointed(places)
+    places = stored(places)
     w, x, y = F.col("w"), F.col("x"), F.col("y")
     mean = places.groupBy(key).agg((F.sum(w * x) / F.sum(w)).alias("x0"), (F.sum(w * y) / F.sum(w)).alias("y0"))
     mean, small = measured(mean)  # the state keeps this many rows throughout
@@ -80,7 +80,7 @@ def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int = 10
         far = F.expr("max(named_struct('d', d, 'x', x, 'y', y))" + (" FILTER (WHERE d > 0)" if i else ""))
         pick = t.groupBy(key).agg(far.alias("m"), *carried(i))
         state = pick.selectExpr(key, *_spread(i), f"m.x AS x{i}", f"m.y AS y{i}")
-    state = checkpointed(state)
+    state = stored(state)
     sums = [
         F.expr(f"sum({v}) FILTER (WHERE cluster = {j}) AS {n}{j}")
         for j in range(k)
@@ -93,7 +93,7 @@ def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int = 10
         for _ in range(min(5, rounds - done)):
             t = with_state(state).selectExpr("*", f"{_closest(k)}.cluster AS cluster")
             state = t.groupBy(key).agg(*sums, *carried(k)).selectExpr(key, *means)
-        state = checkpointed(state)
+        state = stored(state)
         old = start.selectExpr(key, *[f"{c} AS o_{c}" for c in _spread(k)])
         shift = state.join(old, key).agg(F.expr(f"max(greatest({gap}))")).first()[0] or 0.0
         if shift <= tolerance:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from habitspark import settings as S
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
-from habitspark.plans.scale import hash_unit, running_totals
+from habitspark.plans.scale import stored, hash_unit, running_totals
 
 
 def _ordered(df: DataFrame, ids: Sequence[str], seed: int, columns: Sequence[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def permuted(df: DataFrame, ids: Sequence[str], predictors: Sequence[str], repea
     Each repeat pairs every row with a partner by joining two hashed orders; the copy for
     a predictor takes that value from the partner.
     """
-    base = _ordered(df, ids, seed, df.columns)
+    base = stored(_ordered(df, ids, seed, df.columns))
     out = None
     for r in range(repeats):
         partner = _ordered(df, ids, seed + 1 + r, predictors).withColumnsRenamed({p: f"_o_{p}" for p in predictors})

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
+from habitspark.plans.scale import scratch_folder, stored
 
 log = logging.getLogger(__name__)
 
@@ -110,16 +111,10 @@ def _unit(p: str, s: Profile, clamp: bool) -> str:
     return f"(({v} - {s.low[p]!r}D) / {span!r}D)"
 
 
-def _spline(p: str, s: Profile, n: int) -> list[str]:
-    """Cubic B-spline basis on equal knots over the training range."""
-    out = []
-    for k in range(n):
-        d = f"abs({_unit(p, s, True)} * {float(n - 3)}D - {float(k - 1)}D)"
-        out.append(
-            f"CASE WHEN {d} < 1 THEN (4 - 6 * {d} * {d} + 3 * {d} * {d} * {d}) / 6 "
-            f"WHEN {d} < 2 THEN (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 ELSE 0D END"
-        )
-    return out
+def _spline(p: str, s: Profile, n: int) -> list[tuple[str, str]]:
+    """Cubic B-spline basis on equal knots over the training range: (distance to knot, value of d)."""
+    value = "CASE WHEN {d} < 1 THEN (4 - 6 * {d} * {d} + 3 * {d} * {d} * {d}) / 6 WHEN {d} < 2 THEN (2 - {d}) * (2 - {d}) * (2 - {d}) / 6 ELSE 0D END"
+    return [(f"abs({_unit(p, s, True)} * {float(n - 3)}D - {float(k - 1)}D)", value) for k in range(n)]
 
 
 def _maxent_terms(predictors: Sequence[str], s: Profile, features: Sequence[str], clamp: bool) -> list[str]:
@@ -145,8 +140,7 @@ def _design(algo: str, predictors: Sequence[str], s: Profile, q: Mapping[str, An
     """Input expressions, weight of a background row and estimator of an algorithm."""
     balanced = s.n_presence / s.n_background
     total = 2.0 * s.n_presence
-    shared = {"featuresCol": "_features", "labelCol": "presence", "weightCol": "_weight", "probabilityCol": "_prob",
-              "rawPredictionCol": "_raw", "predictionCol": "_class"}
+    shared = {"featuresCol": "_features", "labelCol": "presence", "weightCol": "_weight", "predictionCol": "_class"}
     if algo == "glm":
         est = LogisticRegression(**shared, elasticNetParam=1.0, regParam=1.0 / (q["C"] * total), standardization=False, maxIter=q["maxIter"])
         return [_scaled(p, s) for p in predictors], balanced, est
@@ -174,8 +168,15 @@ def fit(train: DataFrame, predictors: Sequence[str], algo: str, overrides=None,
     s = profile or Profile.of(train, predictors)
     terms, background_weight, estimator = _design(algo, predictors, s, parameters(algo, overrides))
     names = [f"_t{i}" for i in range(len(terms))]
-    columns = ", ".join(f"{t} AS {n}" for n, t in zip(names, terms))
-    prepare = SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
+    if algo == "gam":
+        first = ", ".join(f"{d} AS _d{i}" for i, (d, _) in enumerate(terms))
+        columns = ", ".join(f"{v.format(d=f'_d{i}')} AS {n}" for i, (n, (_, v)) in enumerate(zip(names, terms)))
+        statement = f"SELECT *, {columns} FROM (SELECT *, {first} FROM __THIS__)"
+    else:
+        columns = ", ".join(f"{t} AS {n}" for n, t in zip(names, terms))
+        statement = f"SELECT *, {columns} FROM __THIS__"
+    prepare = SQLTransformer(statement=statement)
+    estimator.setProbabilityCol("_prob").setRawPredictionCol("_raw")
     pipeline = Pipeline(stages=[prepare, VectorAssembler(inputCols=names, outputCol="_features"), estimator])
     weighted = train.withColumn("_weight", F.when(F.col("presence") == 1, 1.0).otherwise(float(background_weight)))
     model = Model(algo, list(predictors), pipeline.fit(weighted))
@@ -234,7 +235,7 @@ def cross_validate(
     ``held_out`` names the fold a model did not see and ``split`` tells whether the row
     belongs to it.
     """
-    data = training.persist(StorageLevel.MEMORY_AND_DISK)
+    data = stored(training).persist(StorageLevel.MEMORY_AND_DISK)
     folds = usable_folds(data)
     if not folds:
         raise ValueError("no fold holds presences and background")
@@ -251,13 +252,14 @@ def cross_validate(
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = dict(zip(jobs, pool.map(one, jobs)))
-    out = None
+    path = scratch_folder(data.sparkSession)
     for k in folds:
         models = {a: fitted[k, a] for a in algorithms if fitted[k, a] is not None}
         split = F.when(F.col("cv_fold") == k, "test").otherwise("train")
         part = score_all(models, data, algorithms).select("*", F.lit(k).alias("held_out"), split.alias("split"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        part.write.mode("append").parquet(path)  # scored once, read by every metric
+    data.unpersist()
+    return data.sparkSession.read.parquet(path)
 
 
 def save(models: Mapping[str, Model], meta: DataFrame, path: str) -> None:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.functions import text
+from habitspark.functions.geo import Grid
 from habitspark.operators import ensemble as E
 from habitspark.operators import mess as ME
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
 from habitspark.operators import spatial
-from habitspark.functions.geo import Grid
-from habitspark.plans.scale import attach
+from habitspark.plans.scale import attach, stored
 
 SPECIES = ["species"]
 ALL = [*S.ALGORITHMS, "ensemble"]
@@ -37,8 +37,9 @@ def evaluate(oof: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, Data
     Thresholds always come from the training rows of a fold.
     """
     _, limits, folds = per_fold_scores(oof, S.ALGORITHMS)
+    limits, folds = stored(limits), stored(folds)  # a row per species, algorithm and fold
     weights = E.tss_weights(folds)
-    scored = E.with_ensemble(oof, weights)
+    scored = stored(E.with_ensemble(oof, weights))
     _, _, ens_folds = per_fold_scores(scored, ["ensemble"])
     both = M.fold_summary(folds.unionByName(ens_folds), ["species", "algo"])
     wide = both.groupBy("species").pivot("algo", ALL).agg(
@@ -52,7 +53,7 @@ def evaluate(oof: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, Data
         F.expr("count_if(presence = 1) AS n_pres"), F.expr("count_if(presence = 0) AS n_bg"), F.expr("count(DISTINCT held_out) AS n_folds")
     )
     compact = counts.join(wide.select("species", *names), "species", "left")
-    compact = compact.join(M.boyce_range(test, SPECIES).withColumnRenamed("boyce", "boyce_ensemble"), "species", "left")
+    compact = stored(compact).join(M.boyce_range(test, SPECIES).withColumnRenamed("boyce", "boyce_ensemble"), "species", "left")
     best = M.max_tss_roc(test, SPECIES)
     full = compact.join(M.discrimination(test, SPECIES, best).select("species", F.col("auc_pr").alias("ens_auc_pr"), F.col("f1").alias("ens_f1")), "species", "left")
     full = full.join(M.brier(test, SPECIES).withColumnRenamed("brier", "ens_brier"), "species", "left")

@@ -6,13 +6,14 @@ Three rules are applied everywhere:
   join is salted instead;
 * an ordered window runs over a whole group only after the largest group has been
   measured; beyond the limit the ordered work is cut into range slices;
-* what is cut into slices is first written to the checkpoint folder, so a lost
+* what is cut into slices is first written to a table in the shared folder, so a lost
   executor cannot move rows between slices.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -37,18 +38,24 @@ def salts(spark: SparkSession) -> int:
     return int(spark.conf.get(SALTS_CONF, "32"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the cluster."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def scratch_folder(spark: SparkSession) -> str:
+    """New folder below the shared checkpoint folder; a local one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/habitspark-{uuid.uuid4()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-") + "/out"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to a table in the shared folder and read that.
+
+    Later steps then see real sizes and prune columns, and a lost executor costs a read.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -113,7 +120,7 @@ def running_totals(table: DataFrame, keys: Sequence[str], order: str, sums: Sequ
             *[F.sum(c).over(part).alias(f"tot_{c}") for c in sums],
         )
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = checkpointed(
+    sliced = stored(
         table.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order)).withColumn(
             "_slice", F.spark_partition_id()
         )

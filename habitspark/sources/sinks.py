@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitspark.functions import text
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """New folder below the shared checkpoint folder; a local one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is not None:
-        return f"{shared.rstrip('/')}/habitspark-{spark.range(1).select(F.uuid()).first()[0]}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="spark-") + "/out"
+from habitspark.plans.scale import scratch_folder
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "metrics", "raster", "spatial", "modelling"]
+MODULES = ["cleaning", "metrics", "raster", "spatial", "modelling", "models"]
 
 
 def load():

@@ -290,6 +290,30 @@ ENV = (
   FROM occ, grid) o LEFT JOIN cells c USING (row, col) LEFT JOIN bands_wide b USING (row, col))"""
 )
 
+FEATURES = [f"f{i}" for i in range(6)]
+
+
+def features(spark: SparkSession, folder: str) -> DataFrame:
+    """Presence/background rows from ``embeddings`` with six predictors and a position."""
+    e = F.col("embedding")
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        F.lit("Species e").alias("species"),
+        (F.col("label") < 3).cast("int").alias("presence"),
+        *[e[i].cast("double").alias(f"f{i}") for i in range(6)],
+        (e[6].cast("double") * 20.0 - 60.0).alias("lon"),
+        (e[7].cast("double") * 20.0 - 30.0).alias("lat"),
+    )
+
+
+def feature_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Grid cells with the predictors of ``features``, spread over their usual range."""
+    c = cells(spark, folder)
+    z = (F.col("elevation") - 2500.0) / 10000.0
+    waves = [F.sin((F.col("row") * (i + 1) + F.col("col") * (6 - i)) / 17.0) * 0.2 + z for i in range(6)]
+    return c.select("row", "col", "lon", "lat", *[w.alias(f"f{i}") for i, w in enumerate(waves)])
+
+
 _NEEDS = {"env AS": [OCC, GRID, CELLS, BANDS, BANDS_WIDE], "cells AS": [GRID], "bands_long AS": [GRID], "bands_wide AS": [GRID, BANDS], "scored_long AS": [SCORED],
           "scenarios AS": [GRID, CELLS], "present AS": [GRID, CELLS], "occ_bad AS": [OCC]}
 
