@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from habitspark import settings as S
 from habitspark.functions.geo import Grid, ellipsoid_m, in_bbox
 from habitspark.plans import proximity
-from habitspark.plans.scale import attach, join_hot, measured, salts
+from habitspark.plans.scale import attach, every_salt, join_hot, measured, salts
 
 BAND_DEG = 0.5
 
@@ -52,7 +52,7 @@ def covering(points: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFra
         return t.select(*key, F.explode(hit).alias("f")).select(*key, F.col("f.feature_id").alias("feature_id"))
     n = salts(points.sparkSession)
     spread = placed.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(n)))
-    repeated = banded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    repeated = banded.withColumn("_salt", every_salt(n))
     e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     crossings = spread.join(repeated, ["_band", "_salt"]).filter(_crosses(F.col("lon"), F.col("lat"), e))
     return crossings.groupBy(*key, "feature_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1).drop("n")

@@ -31,8 +31,10 @@ def standard_first(df: DataFrame, standard: Mapping[str, str]) -> DataFrame:
 
 
 def round_numbers(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round every floating column, exact halves to the even digit."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.round(c, digits) for c in doubles})
+    scale = F.lit(float(10**digits))
+    return df.withColumns({c: F.rint(F.col(c) * scale) / scale for c in doubles})
 
 
 def records_of_slug(df: DataFrame, slugs: DataFrame, candidates: Sequence[str] = ("species", "especie", "scientific_name")) -> DataFrame:

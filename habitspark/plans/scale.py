@@ -94,7 +94,8 @@ def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "i
     """Join a per-key lookup onto ``big``.
 
     Small lookups are broadcast, so ``big`` is not shuffled. Larger ones are repeated
-    once per salt, which spreads a dominant key over many tasks.
+    once per salt, which spreads a dominant key over many tasks. Rows that are equal in
+    every column share a salt; adaptive execution splits those further.
     """
     spark = big.sparkSession
     lookup, small = measured(lookup)
@@ -102,10 +103,14 @@ def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "i
         return big.join(F.broadcast(lookup), list(keys), how)
     n = salts(spark)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(n)))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    repeated = lookup.withColumn("_salt", every_salt(n))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def every_salt(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def running_totals(table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Add ``cum_<c>`` (up to and including the row) and ``tot_<c>`` per group.
 

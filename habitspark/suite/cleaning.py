@@ -329,7 +329,7 @@ def prj_reorder(spark, d):
     return TB.standard_first(o, {"species": "string", "lon": "double", "lat": "double", "slope": "double", "region": "string"})
 
 
-@query("prj_round", with_views([V.SCORED], "SELECT species, cv_fold, presence, round(glm, 4) AS glm, round(gam, 4) AS gam, round(rf, 4) AS rf, round(gbm, 4) AS gbm, round(maxent, 4) AS maxent FROM scored"))
+@query("prj_round", with_views([V.SCORED], "SELECT species, cv_fold, presence, round_even(glm, 4) AS glm, round_even(gam, 4) AS gam, round_even(rf, 4) AS rf, round_even(gbm, 4) AS gbm, round_even(maxent, 4) AS maxent FROM scored"))
 def prj_round(spark, d):
     return TB.round_numbers(V.scored(spark, d))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import signal
 import sys
 import time
 
@@ -16,11 +17,24 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# limits so low that every group counts as too big and every lookup as too large
+TIGHT = {
+    "habitspark.window.maxGroupRows": "20",
+    "habitspark.broadcast.maxBytes": "1",
+    "habitspark.join.salts": "3",
+    "habitspark.join.hotKeyRows": "1",
+}
+
+
 def session(cpus: str = "8"):
     from pyspark.sql import SparkSession
 
+    builder = SparkSession.builder
+    if os.environ.get("TIGHT"):
+        for key, value in TIGHT.items():
+            builder = builder.config(key, value)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("habitspark")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
@@ -81,10 +95,17 @@ def main() -> None:
     con = connect(folder)
     sql = e.oracle_sql()
     failed = []
+
+    def too_long(*_):
+        spark.sparkContext.cancelAllJobs()
+        raise TimeoutError("over the limit")
+
+    signal.signal(signal.SIGALRM, too_long)
     for name, fn in e.queries().items():
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         t = time.time()
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "150")))
         try:
             if name in sql:
                 ok, text = compare(fn(spark, folder), con, sql[name])
@@ -92,6 +113,7 @@ def main() -> None:
                 ok, text = True, f"rows only: {len(fn(spark, folder).collect())}"
         except Exception as err:  # noqa: BLE001
             ok, text = False, f"{type(err).__name__}: {str(err)[:1500]}"
+        signal.alarm(0)
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - t:6.2f}s {text}", flush=True)
         if not ok:
             failed.append(name)
