@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from habitspark.plans.scale import attach, exact_quantiles, groups_fit, join_hot, measured, running_totals
+from habitspark.plans.scale import attach, exact_quantiles, join_hot, measured, running_totals
 
 
 def _similarity(f: Column, p: Column, low: Column, high: Column) -> Column:
@@ -19,20 +22,25 @@ def _similarity(f: Column, p: Column, low: Column, high: Column) -> Column:
     return F.when(p.isNotNull() & f.isNotNull(), s)
 
 
-def _at_or_below(values: str, p: Column) -> Column:
-    """Entries of a sorted array that are at most p, by halving steps."""
-    steps = F.expr("transform(sequence(20, 0), b -> shiftleft(1, b))")
-    return F.aggregate(
-        steps, F.lit(0), lambda at, s: F.when(F.try_element_at(F.col(values), at + s) <= p, at + s).otherwise(at)
-    )
+def _column(values: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Similarity of many values of one variable to its sorted reference."""
+    if len(ref) == 0:
+        return np.full(len(values), np.nan)
+    low, high = ref[0], ref[-1]
+    f = np.searchsorted(ref, values, side="right") / len(ref)
+    span = high - low
+    below = (values - low) / span * 100.0 if span else np.zeros(len(values))
+    above = (values - high) / span * 100.0 if span else np.zeros(len(values))
+    s = np.select([f == 0, f <= 0.5, f < 1.0], [below, 200.0 * f, 200.0 * (1.0 - f)], above)
+    return np.where(np.isnan(values), np.nan, s)
 
 
 def mess(reference: DataFrame, query: DataFrame, variables: Sequence[str], keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """Smallest similarity over the variables per query row: (keys, ids, mess).
 
     Negative values mean extrapolation; variables without a value are left out. A
-    reference of checked size travels as sorted arrays and the query is not shuffled;
-    otherwise reference and query values are ranked together per variable.
+    reference of checked size goes to every task and the query is not shuffled; a larger
+    one is ranked together with the query values, variable by variable.
     """
     columns = list(variables)
     ref = reference.select(*keys, *columns)
@@ -40,19 +48,38 @@ def mess(reference: DataFrame, query: DataFrame, variables: Sequence[str], keys:
     if not groups:
         ref, query, groups = ref.withColumn("_all", F.lit(0)), query.withColumn("_all", F.lit(0)), ["_all"]
     kept, small = measured(ref)
-    if small and groups_fit(kept, groups):
-        arrays = kept.groupBy(*groups).agg(*[F.sort_array(F.collect_list(v)).alias(f"_ref_{v}") for v in columns])
-        t = attach(query, arrays, groups, "left")
-        parts = []
-        for v in columns:
-            n = F.size(f"_ref_{v}")
-            f = F.when(n > 0, _at_or_below(f"_ref_{v}", F.col(v)).cast("double") / n.cast("double"))
-            parts.append(_similarity(f, F.col(v).cast("double"), F.try_element_at(F.col(f"_ref_{v}"), F.lit(1)), F.try_element_at(F.col(f"_ref_{v}"), F.lit(-1))))
-        value = F.array_min(F.array(*parts))
-        return t.select(*keys, *ids, value.alias("mess"))
+    if small:
+        return _mess_searched(kept, query, columns, groups, ids).select(*keys, *ids, "mess")
     return _mess_ranked(ref, query, columns, groups, ids).select(*keys, *ids, "mess")
 
 
+def _mess_searched(ref: DataFrame, query: DataFrame, columns: Sequence[str], groups: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """Binary search in the sorted reference, which every task holds; the query stays in place."""
+    packed = ref.groupBy(*groups).agg(*[F.sort_array(F.collect_list(F.col(v).cast("double"))).alias(v) for v in columns])
+    # within the measured size limit
+    arrays = {tuple(r[g] for g in groups): [np.array(r[v], dtype=float) for v in columns] for r in packed.collect()}
+    shared = ref.sparkSession.sparkContext.broadcast(arrays)
+    rows = query.select(*groups, *ids, *[F.col(v).cast("double").alias(v) for v in columns])
+    schema = T.StructType([*rows.select(*groups, *ids).schema.fields, T.StructField("mess", T.DoubleType())])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(list(groups), dropna=False):
+                found = shared.value.get(key)
+                out = part[[*groups, *ids]].copy()
+                if found is None:
+                    out["mess"] = np.nan
+                else:
+                    sims = np.column_stack([_column(part[v].to_numpy(dtype=float), r) for v, r in zip(columns, found)])
+                    # the smallest known similarity; a row without any stays unknown
+                    smallest = np.where(np.isnan(sims), np.inf, sims).min(axis=1)
+                    out["mess"] = np.where(np.isinf(smallest), np.nan, smallest)
+                yield out
+
+    scored = rows.mapInPandas(score, schema)
+    return scored.withColumn("mess", F.when(~F.isnan("mess"), F.col("mess")))
+
+
 def _mess_ranked(ref: DataFrame, query: DataFrame, columns: Sequence[str], groups: Sequence[str], ids: Sequence[str]) -> DataFrame:
     def long(df: DataFrame, extra: Sequence[str]) -> DataFrame:
         rows = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("value")) for v in columns]))

@@ -35,7 +35,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score", label
 
 def roc_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "presence") -> DataFrame:
     """Distinct scores with running counts; ``tp`` and ``fp`` are the hits at >= score."""
-    t = running_totals(score_counts(df, keys, score, label), keys, "score", ["pos", "neg"])
+    t = running_totals(score_counts(df, keys, score, label), keys, "score", ["pos", "neg"], source=df)
     return t.withColumns(
         {"tp": F.col("tot_pos") - F.col("cum_pos") + F.col("pos"), "fp": F.col("tot_neg") - F.col("cum_neg") + F.col("neg")}
     )
@@ -287,7 +287,7 @@ def boyce_unit(df: DataFrame, keys: Sequence[str], score: str = "score", n_bins:
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their frequency and average rank."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    t = running_totals(counts, keys, value, ["n"])
+    t = running_totals(counts, keys, value, ["n"], source=df)
     rank = _d("cum_n") - _d("n") + (_d("n") + 1.0) / 2.0
     return t.select(*keys, value, "n", rank.alias("avg_rank"))
 

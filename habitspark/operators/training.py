@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from habitspark import settings as S
 from habitspark.functions.geo import Grid
 from habitspark.operators import folds, raster, sampling, selection, spatial
+from habitspark.plans.scale import attach, stored
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,8 @@ def build(presences: DataFrame, layers: DataFrame, plan: TrainingPlan) -> tuple[
     area = spatial.accessible_cells(presences, layers.filter("land").select("row", "col", "lon", "lat"), radius_km=plan.radius_km)
     background = sampling.jitter(sampling.sample_cells(area, ["species"], plan.n_background, plan.seed), plan.grid, ["species"], plan.seed)
     points = sampling.presence_background(presences.select("species", "lon", "lat"), background.select("species", "lon", "lat"))
-    sampled = raster.sample(points, layers, plan.grid, names)
+    # written once: selection, folds and weights all read these rows
+    sampled = stored(raster.sample(points, layers, plan.grid, names))
     chosen = selection.select_predictors(sampled.filter("presence = 1"), names, ["species"])
     usable = keep_complete(sampled, chosen, names)
     placed = folds.spatial_folds(usable, plan.n_folds)
@@ -42,8 +44,6 @@ def build(presences: DataFrame, layers: DataFrame, plan: TrainingPlan) -> tuple[
 
 def keep_complete(df: DataFrame, chosen: DataFrame, names: list[str]) -> DataFrame:
     """Rows that have a value for every predictor chosen for their species."""
-    from habitspark.plans.scale import attach
-
     lists = chosen.groupBy("species").agg(F.collect_set("predictor").alias("_chosen"))
     t = attach(df, lists, ["species"])
     ok = F.lit(True)

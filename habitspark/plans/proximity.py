@@ -98,7 +98,7 @@ def _compare(candidates: DataFrame, placed: DataFrame, tiled: DataFrame, keys: S
 
 
 def nearest(
-    points: DataFrame, cells: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float = 1.0, box_deg: float = 0.25
+    points: DataFrame, cells: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float = 0.5, box_deg: float = 0.25
 ) -> DataFrame:
     """Distance from each cell to the closest point of each group, up to ``radius_km``."""
     placed, boxes = _boxes(points, keys, box_deg)
@@ -111,7 +111,7 @@ def nearest(
 
 
 def within(
-    points: DataFrame, cells: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float = 1.0, box_deg: float = 0.25
+    points: DataFrame, cells: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float = 0.5, box_deg: float = 0.25
 ) -> DataFrame:
     """Cells (group, row, col) that have a point of the group within ``radius_km``.
 

@@ -111,12 +111,16 @@ def every_salt(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-def running_totals(table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+def running_totals(
+    table: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], source: DataFrame | None = None
+) -> DataFrame:
     """Add ``cum_<c>`` (up to and including the row) and ``tot_<c>`` per group.
 
-    ``table`` holds one row per group and order value, so callers aggregate first.
+    ``table`` holds one row per group and order value, so callers aggregate first. When
+    they pass the rows it was made from as ``source``, their number per group is tried as
+    a cheap upper bound before the table itself is counted.
     """
-    if groups_fit(table, keys):
+    if (source is not None and groups_fit(source, keys)) or groups_fit(table, keys):
         part = Window.partitionBy(*keys)
         run = part.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return table.select(
@@ -156,6 +160,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
+    # the rows did not fit above, so only the distinct values are counted again
     ranks = running_totals(counts, list(keys) or ["_all"], value, ["n"])
     aggs, final = [], []
     for i, (name, p) in enumerate(probs.items()):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -21,13 +21,10 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def edges(vertices: DataFrame, *attributes: str) -> DataFrame:
-    """One row per ring segment."""
-    ring = Window.partitionBy("feature_id", "ring_id").orderBy("seq")
-    return vertices.select(
-        "feature_id",
-        *attributes,
-        F.col("lon").alias("x1"),
-        F.col("lat").alias("y1"),
-        F.lead("lon").over(ring).alias("x2"),
-        F.lead("lat").over(ring).alias("y2"),
-    ).filter(F.col("x2").isNotNull())
+    """One row per ring segment; ``seq`` counts up by one along a closed ring.
+
+    Each vertex meets its successor by key, so a very long ring is not one task.
+    """
+    start = vertices.select("feature_id", "ring_id", "seq", *attributes, F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    end = vertices.select("feature_id", "ring_id", (F.col("seq") - 1).alias("seq"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    return start.join(end, ["feature_id", "ring_id", "seq"]).drop("ring_id", "seq")
