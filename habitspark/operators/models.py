@@ -228,12 +228,17 @@ def usable_folds(training: DataFrame) -> list[int]:
 
 
 def cross_validate(
-    training: DataFrame, predictors: Sequence[str], algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4
+    training: DataFrame,
+    predictors: Sequence[str],
+    algorithms: Sequence[str] = tuple(S.ALGORITHMS),
+    overrides=None,
+    threads: int = 4,
+    path: str | None = None,
 ) -> DataFrame:
     """Leave one spatial fold out: scores of all rows by the models of each fold.
 
     ``held_out`` names the fold a model did not see and ``split`` tells whether the row
-    belongs to it.
+    belongs to it. The scores are appended to a table, by default a new one.
     """
     data = stored(training).persist(StorageLevel.MEMORY_AND_DISK)
     folds = usable_folds(data)
@@ -252,7 +257,7 @@ def cross_validate(
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = dict(zip(jobs, pool.map(one, jobs)))
-    path = scratch_folder(data.sparkSession)
+    path = path or scratch_folder(data.sparkSession)
     for k in folds:
         models = {a: fitted[k, a] for a in algorithms if fitted[k, a] is not None}
         split = F.when(F.col("cv_fold") == k, "test").otherwise("train")

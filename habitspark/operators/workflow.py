@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ from habitspark.operators import mess as ME
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
 from habitspark.operators import spatial
-from habitspark.plans.scale import attach, stored
+from habitspark.plans.scale import attach, scratch_folder, stored
+
+log = logging.getLogger(__name__)
 
 SPECIES = ["species"]
 ALL = [*S.ALGORITHMS, "ensemble"]
@@ -30,6 +33,26 @@ def per_fold_scores(oof: DataFrame, algorithms: Sequence[str]) -> tuple[DataFram
     return long, limits, M.fold_metrics(long.filter("split = 'test'"), ["species", "algo"], "held_out", limits)
 
 
+def cross_validate_species(
+    training: DataFrame, chosen: DataFrame, algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4
+) -> DataFrame:
+    """Cross-validated scores of every species with its own predictors, in one table.
+
+    ``training`` and ``chosen`` come from ``training.build``. The driver holds the species
+    names and their predictor names; a species without a usable fold is left out.
+    """
+    spark = training.sparkSession
+    path = scratch_folder(spark)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "predictor"))), lambda p: p["predictor"])
+    for row in chosen.groupBy("species").agg(names.alias("predictors")).orderBy("species").collect():
+        own = training.filter(F.col("species") == row["species"])
+        try:
+            MD.cross_validate(own, row["predictors"], algorithms, overrides, threads, path)
+        except ValueError as err:
+            log.warning("%s left out: %s", row["species"], err)
+    return spark.read.parquet(path)
+
+
 def evaluate(oof: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(compact table, full table, weights) of all species from cross-validated scores.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from habitspark import settings as S
 from habitspark.functions import geo, text
 from habitspark.operators import cleaning, ensemble, folds, importance, mess, metrics, models, raster, sampling, selection, spatial
-from habitspark.operators import tables
+from habitspark.operators import tables, workflow
 from habitspark.plans import proximity, scale
 from habitspark.sources import occurrences, rasters
 
@@ -277,6 +277,21 @@ def test_models_separate_classes(spark):
         assert 0.0 <= ends["lo"] <= ends["hi"] <= 1.0
 
 
+def test_every_species_is_validated_with_its_predictors(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for name, n in (("x", 60), ("y", 60), ("alone", 8)):
+        y = np.arange(n) % 2
+        rows.append(pd.DataFrame({"species": name, "presence": y, "cv_fold": 0 if name == "alone" else np.arange(n) % 4 // 2,
+                                  "a": rng.normal(size=n) + 3 * y, "b": rng.normal(size=n)}))
+    chosen = spark.createDataFrame([("x", "a", 0), ("y", "a", 0), ("y", "b", 1), ("alone", "a", 0)], "species string, predictor string, position int")
+    oof = workflow.cross_validate_species(spark.createDataFrame(pd.concat(rows)), chosen, ["glm"])
+    got = {(r["species"], r["held_out"], r["split"]): r["count"] for r in oof.groupBy("species", "held_out", "split").count().collect()}
+    assert got == {(s, k, t): 30 for s in "xy" for k in (0, 1) for t in ("train", "test")}
+    _, _, per_fold = workflow.per_fold_scores(oof, ["glm"])
+    assert all(r["auc"] > 0.9 for r in per_fold.collect())
+
+
 def test_scope_method_must_be_known(spark):
     df = spark.createDataFrame([("Chile", -70.0, -30.0), (None, -70.0, -30.0)], "country string, lon double, lat double")
     assert cleaning.scope(df, "country").count() == 1
