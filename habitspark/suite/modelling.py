@@ -21,16 +21,20 @@ from habitspark.suite.views import with_views
 
 VARS = ["elevation", "b1", "b2"]
 COMPLETE = "elevation IS NOT NULL AND b1 IS NOT NULL AND b2 IS NOT NULL"
-DRAW = (F.col("row") * 7919 + F.col("col") * 104729) % 1000003 / F.lit(1000003.0)
 DRAW_SQL = "((row * 7919 + col * 104729) % 1000003) / 1000003::DOUBLE"
 
 
+def draw():
+    """Uniform value of a cell that SQL can repeat."""
+    return (F.col("row") * 7919 + F.col("col") * 104729) % 1000003 / F.lit(1000003.0)
+
+
 @query(
     "w_sample_uniform",
     with_views([V.CELLS], f"SELECT row, col FROM (SELECT row, col, row_number() OVER (ORDER BY {DRAW_SQL}, row, col) AS rn FROM cells WHERE land) WHERE rn <= 400"),
 )
 def w_sample_uniform(spark, d):
-    return SM.sample_cells(V.cells(spark, d).filter("land").select("row", "col"), [], 400, draw=DRAW)
+    return SM.sample_cells(V.cells(spark, d).filter("land").select("row", "col"), [], 400, draw=draw())
 
 
 @query(
@@ -43,7 +47,7 @@ def w_sample_uniform(spark, d):
 )
 def w_sample_per_species(spark, d):
     area = SP.accessible_cells(V.occ(spark, d), V.cells(spark, d).filter("land"))
-    return SM.sample_cells(area, ["species"], 200, draw=DRAW)
+    return SM.sample_cells(area, ["species"], 200, draw=draw())
 
 
 @query("w_jitter")

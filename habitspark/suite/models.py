@@ -15,8 +15,9 @@ from habitspark.operators import scenarios as SC
 from habitspark.operators import workflow as W
 from habitspark.sources import rasters, sinks
 from habitspark.suite import views as V
+from habitspark.suite import spatial as _spatial  # noqa: F401  registers ml_eoo
 from habitspark.suite.metrics import BOYCE_UNIT, ENS, RANKED, TRAIN_BEST, WEIGHTS, fold_table, rounded
-from habitspark.suite.registry import query
+from habitspark.suite.registry import SQL, query
 from habitspark.suite.views import with_views
 
 # Fewer trees and rounds than in production keep the checks short; the rows are all used.
@@ -84,7 +85,10 @@ def ml_algo_isolation(spark, d):
     return in_unit(E.with_ensemble(MD.score_all(models, t), weights).select("row_id", "glm", "gam", "rf", "ensemble"), "glm", "rf", "ensemble")
 
 
-@query("ml_tuned_params")
+PARAMETERS = ", ".join(f"('{a}', '{k}', $${v}$$)" for a in MD.DEFAULTS for k, v in MD.parameters(a, MD.TUNED).items())
+
+
+@query("ml_tuned_params", f"SELECT n AS n_rows, algo, parameter, value FROM (SELECT count(*) AS n FROM embeddings), (VALUES {PARAMETERS}) AS t(algo, parameter, value)")
 def ml_tuned_params(spark, d):
     """Settings in force, next to the number of training rows they apply to."""
     n = V.features(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("_one"))
@@ -198,13 +202,13 @@ def ml_method_by_n(spark, d):
     return W.confidence_table(V.occ(spark, d), 600, 60)
 
 
-@query("ml_small_species_maps")
+@query("ml_small_species_maps", SQL["ml_eoo"])
 def ml_small_species_maps(spark, d):
     """Range maps of the species the method table leaves without a model."""
     o = V.occ(spark, d)
     n = V.table(spark, d, "events").count()
     table = W.confidence_table(o, -(-n * 2 // 33), -(-n * 2 // 33))
-    return W.small_species_maps(o, V.cells(spark, d).filter("elevation IS NOT NULL"), V.grid(spark, d), table)
+    return rounded(W.small_species_maps(o, V.cells(spark, d).filter("elevation IS NOT NULL"), V.grid(spark, d), table))
 
 
 @query("ml_permutation_importance")

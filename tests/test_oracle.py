@@ -3,6 +3,10 @@
 ``python tests/oracle.py <folder>`` runs every query; here a cross-section keeps it short.
 """
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -39,6 +43,11 @@ def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_registry_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["species", "n_records", "group"]
