@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from habitspark.llm import jaccard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from habitspark.llm import jaccard, language, lines, quality
 from habitspark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of the id as text, modulo; a null id has fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % modulus
+
+
+@query("op1_line_dedup")
+def op1(spark, folder):
+    return lines.deduplicate_lines(table(spark, folder, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark, folder):
+    held_out = fold(5) == 0
+    scored = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_language_id")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = fold(4) == 2
+    found = language.identify(docs, language.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_ngram_jaccard_join")
 def op10(spark, folder):
     return jaccard.link_documents(table(spark, folder, "documents"))

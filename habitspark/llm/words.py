@@ -75,11 +75,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """``between`` marks the byte values that separate words."""
     data = _LOWER[data]
     n = len(data)
     inner = np.ones(n + 2, bool)  # separator flags with one at either end
-    inner[1:-1] = _SPACE[data]
+    inner[1:-1] = between[data]
     word = ~inner
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -88,13 +89,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, between: np.ndarray = _SPACE) -> Iterator[tuple[int, Words]]:
     """Words of consecutive texts, a few megabytes at a time, with the index of the first text."""
     data, offsets = text_bytes(column)
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, split_words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, split_words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], between)
         at = end
 
 
