@@ -33,8 +33,8 @@ from habitspark.llm.graph import components
 from habitspark.plans.scale import broadcast_bytes_limit, stored
 
 COMMON = 32
-POSTINGS = 1_000_000
-FLUSH = 1_000_000
+POSTINGS = 250_000
+FLUSH = 250_000
 SKETCH = 4
 
 
