@@ -224,17 +224,23 @@ def _scored(model: dict):
                     letter = plain[k] > 0 or (w.first[k + 1] > w.first[k] and any(c.isalpha() for c in column[at + k].as_py()))
                     pred.append(names[best[k]] if letter else "und")
                     sure.append(float(share[k]) if letter else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
+            extra = range(2, batch.num_columns)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(sure, pa.float64()), *[batch.column(i) for i in extra]],
+                ["doc_id", "lang_pred", "score", *[batch.schema.names[i] for i in extra]],
+            )
 
     return run
 
 
-def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``lang_pred``, ``score``.
+def identify(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id``, ``lang_pred``, ``score`` and the columns ``keep``.
 
     ``score`` is the probability of the language given the whole text, all languages alike
     beforehand. A null text, one without a letter, or a model without languages gives ``und`` and 0. Ties
     go to the name that sorts first.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scored(model), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
+    kinds = "".join(f", `_keep_{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    out = rows.mapInArrow(_scored(model), "doc_id long, lang_pred string, score double" + kinds)
+    return out.select("doc_id", "lang_pred", "score", *[F.col(f"_keep_{k}").alias(k) for k in keep])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from habitspark.llm import jaccard, language, lines, quality
+from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, quality, surrogates, templates, urls
 from habitspark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -21,6 +21,37 @@ def op1(spark, folder):
     return lines.deduplicate_lines(table(spark, folder, "documents"))
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark, folder):
+    return templates.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_lm_scoring")
+def op3(spark, folder):
+    held_out = fold(7) == 2
+    scored = contextmix.score_texts(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op4_source_mixing")
+def op4(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, folder):
+    vectors = neighbours.usable(table(spark, folder, "embeddings"))
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op6_url_filter")
+def op6(spark, folder):
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 @query("op7_quality_classifier")
 def op7(spark, folder):
     held_out = fold(5) == 0
@@ -36,6 +67,11 @@ def op8(spark, folder):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op9_pii_surrogates")
+def op9(spark, folder):
+    return surrogates.replace_entities(table(spark, folder, "documents"), key="registered query")
+
+
 @query("op10_ngram_jaccard_join")
 def op10(spark, folder):
     return jaccard.link_documents(table(spark, folder, "documents"))
