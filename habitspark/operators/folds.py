@@ -50,12 +50,13 @@ def _closest(k: int) -> str:
     return f"array_min(array({ranked}))"
 
 
-def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int = 10, tolerance: float = 1e-4, key: str = "species"):
+def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int | None = None, tolerance: float = 1e-4, key: str = "species"):
     """Cluster centres per group and the longitude scale used.
 
     Presences are first combined to weighted localities. Starting centres are spread out
     by taking the locality farthest from those chosen; then assignment and averaging
-    alternate until no centre moves. The state is one row per group with k centres, so a
+    alternate until no centre moves by more than ``tolerance`` degrees (``rounds`` sets a limit, by default there is
+    none: the sum of squares falls in every round, so the loop ends). The state is one row per group with k centres, so a
     round is one combined aggregate whatever the size of a group.
     """
     scale = _projection(presences, key)
@@ -88,9 +89,13 @@ def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int = 10
     ]
     means = [f"coalesce(s{a}{j} / sw{j}, {a}{j}) AS {a}{j}" for j in range(k) for a in ("x", "y")]
     gap = ", ".join(f"coalesce(abs({c} - o_{c}), 0)" for c in _spread(k))
-    for done in range(0, rounds, 5):
-        start = state
-        for _ in range(min(5, rounds - done)):
+    done = 0
+    while rounds is None or done < rounds:
+        steps = 5 if rounds is None else min(5, rounds - done)
+        done += steps
+        for step in range(steps):
+            if step == steps - 1:
+                state = start = stored(state)
             t = with_state(state).selectExpr("*", f"{_closest(k)}.cluster AS cluster")
             state = t.groupBy(key).agg(*sums, *carried(k)).selectExpr(key, *means)
         state = stored(state)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from habitspark.plans.scale import attach, exact_quantiles, join_hot, measured, running_totals
+from habitspark.plans.scale import attach, exact_quantiles, join_hot, measured, running_totals, stored
 
 
 def _similarity(f: Column, p: Column, low: Column, high: Column) -> Column:
@@ -43,7 +43,13 @@ def mess(reference: DataFrame, query: DataFrame, variables: Sequence[str], keys:
     one is ranked together with the query values, variable by variable.
     """
     columns = list(variables)
-    ref = reference.select(*keys, *columns)
+
+    def known(v: str) -> Column:
+        value = F.col(v).cast("double")
+        return F.when(~F.isnan(value), value).alias(v)  # not a number is no value
+
+    ref = reference.select(*keys, *[known(v) for v in columns])
+    query = query.select(*keys, *[c for c in ids if c not in keys], *[known(v) for v in columns if v not in ids])
     groups = list(keys)
     if not groups:
         ref, query, groups = ref.withColumn("_all", F.lit(0)), query.withColumn("_all", F.lit(0)), ["_all"]
@@ -85,8 +91,10 @@ def _mess_ranked(ref: DataFrame, query: DataFrame, columns: Sequence[str], group
         rows = F.explode(F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("value")) for v in columns]))
         return df.select(*groups, *extra, rows.alias("_v")).select(*groups, *extra, "_v.var", "_v.value").filter("value IS NOT NULL")
 
+    # rows are told apart by a number of their own, ids may repeat
+    query = stored(query.withColumn("_row", F.monotonically_increasing_id()))
     ours = long(ref, []).withColumn("n", F.lit(1))
-    asked = long(query, ids)
+    asked = long(query, ["_row"])
     values = ours.unionByName(asked.select(*groups, "var", "value", F.lit(0).alias("n"))).groupBy(*groups, "var", "value").agg(F.sum("n").alias("n"))
     ranks = running_totals(values, [*groups, "var"], "value", ["n"])
     ends = ours.groupBy(*groups, "var").agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -94,8 +102,8 @@ def _mess_ranked(ref: DataFrame, query: DataFrame, columns: Sequence[str], group
     f = F.when(F.col("tot_n") > 0, F.col("cum_n").cast("double") / F.col("tot_n").cast("double"))
     sim = t.select(*groups, "var", "value", _similarity(f, F.col("value"), F.col("low"), F.col("high")).alias("sim"))
     scored = join_hot(asked, sim, [*groups, "var", "value"], "left")
-    found = scored.groupBy(*groups, *ids).agg(F.min("sim").alias("mess"))
-    return query.select(*groups, *ids).join(found, [*groups, *ids], "left")
+    found = scored.groupBy("_row").agg(F.min("sim").alias("mess"))
+    return query.select(*groups, *ids, "_row").join(found, "_row", "left").drop("_row")
 
 
 def mess_median(reference: DataFrame, query: DataFrame, variables: Sequence[str], keys: Sequence[str], ids: Sequence[str]) -> DataFrame:

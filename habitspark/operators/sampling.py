@@ -53,7 +53,7 @@ def effort(points: DataFrame, land: DataFrame, grid: Grid, alpha: int = 1) -> Da
 
 
 def sample_by_effort(weighted: DataFrame, n: int, seed: int = S.SEED) -> DataFrame:
-    """``n`` draws with replacement, proportional to the whole-number ``effort``.
+    """``n`` draws with replacement, proportional to the whole-number ``effort``, however few the cells.
 
     Cells become intervals of the running effort. Intervals and draws meet on a lattice
     over that range, so neither side is compared as a whole.
@@ -64,14 +64,15 @@ def sample_by_effort(weighted: DataFrame, n: int, seed: int = S.SEED) -> DataFra
     )
     lines = running_totals(cells, ["_all"], "_at", ["effort"])
     facts = weighted.agg(F.count(F.lit(1)).alias("n"), F.sum("effort").alias("total")).first()
-    n = min(n, facts["n"])
-    step = max(1, -(-facts["total"] // max(4096, facts["n"] // 1000)))
+    if not facts["total"]:
+        n = 0  # no effort, no draw
+    step = max(1, -(-(facts["total"] or 0) // max(4096, facts["n"] // 1000)))
     intervals = lines.select(
         "row", "col", (F.col("cum_effort") - F.col("effort")).alias("lo"), F.col("cum_effort").alias("hi")
     )
     intervals = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
     draws = spark.range(n).select(
-        F.col("id").alias("draw"), F.floor(hash_unit(F.col("id"), seed=seed) * F.lit(float(facts["total"]))).alias("u")
+        F.col("id").alias("draw"), F.floor(hash_unit(F.col("id"), seed=seed) * F.lit(float(facts["total"] or 0))).alias("u")
     )
     draws = draws.withColumn("_b", F.floor(F.col("u") / step))
     hit = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))

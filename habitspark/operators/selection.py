@@ -82,23 +82,40 @@ def inflation(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose(features: list[str], n: int, var: np.ndarray, m: np.ndarray, corr_limit: float, vif_limit: float) -> list[str]:
-    """Drop the less variable of each correlated pair, then the most inflated until none is."""
-    dropped: set[int] = set()
-    p = len(features)
-    for i in range(p):
-        if i in dropped:
-            continue
-        for j in range(i + 1, p):
-            if j not in dropped and abs(m[i, j]) > corr_limit:
-                dropped.add(j if var[i] >= var[j] else i)
-    kept = [i for i in range(p) if i not in dropped]
+def uncorrelated(features: Sequence[str], limit: float) -> Column:
+    """Positions of the features left after the correlation rule, from columns ``var`` and ``r``.
+
+    Pairs are taken in the order of the features, those of one first feature as a run. In a pair beyond the limit the less
+    variable feature goes, the later one on ties. Runs of a feature that is gone by then, and pairs whose
+    second feature is gone, do not count.
+    """
+    order = list(combinations(range(len(features)), 2))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("r")[i].alias("r")) for i, (a, b) in enumerate(order)])
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("gone"), F.lit(-1).alias("lead"), F.lit(True).alias("open"))
+
+    def step(state: Column, p: Column) -> Column:
+        gone = state["gone"]
+        is_open = F.when(p["a"] == state["lead"], state["open"]).otherwise(~F.array_contains(gone, p["a"]))
+        over = F.coalesce(F.abs(p["r"]) > limit, F.lit(False)) & is_open & ~F.array_contains(gone, p["b"])
+        first, second = F.get("var", p["a"]), F.get("var", p["b"])
+        loser = F.when(first >= second, p["b"]).otherwise(p["a"])
+        after = F.when(over, F.array_union(gone, F.array(loser))).otherwise(gone)
+        return F.struct(after.alias("gone"), p["a"].alias("lead"), is_open.alias("open"))
+
+    everything = F.lit(list(range(len(features)))) if features else none
+    return F.array_except(everything, F.aggregate(pairs, start, step)["gone"]) if order else everything
+
+
+def deflated(kept: list[int], n: int, m: np.ndarray, limit: float) -> list[int]:
+    """Leave out the most inflated variable until none exceeds the limit or rows run short."""
+    kept = list(kept)
     while len(kept) > 1 and n >= len(kept) + 1:
         v = inflation(m[np.ix_(kept, kept)])
-        if v.max() <= vif_limit:
+        if v.max() <= limit:
             break
         kept.pop(int(v.argmax()))
-    return [features[i] for i in kept]
+    return kept
 
 
 def vif(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -128,7 +145,7 @@ def select_predictors(
 ) -> DataFrame:
     """Chosen predictors per group with their position; groups without complete rows keep all."""
     names = list(features)
-    t = df.select(*keys).distinct().join(moments(df, names, keys), list(keys), "left")
+    t = df.select(*keys).distinct().join(moments(df, names, keys).withColumn("kept", uncorrelated(names, corr_limit)), list(keys), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.select(*keys).schema) + ", predictor string, position int"
 
     def per_batch(batches):
@@ -136,11 +153,10 @@ def select_predictors(
             out = []
             for _, g in batch.iterrows():
                 if pd.isna(g["n"]):
-                    kept = names
+                    kept = list(range(len(names)))
                 else:
-                    var = np.array([np.nan if v is None else v for v in g["var"]], dtype=float)
-                    kept = choose(names, int(g["n"]), var, _matrix(g["r"], len(names)), corr_limit, vif_limit)
-                out += [{**{k: g[k] for k in keys}, "predictor": f, "position": i} for i, f in enumerate(kept)]
+                    kept = deflated(list(g["kept"]), int(g["n"]), _matrix(g["r"], len(names)), vif_limit)
+                out += [{**{k: g[k] for k in keys}, "predictor": names[f], "position": i} for i, f in enumerate(kept)]
             if out:
                 yield pd.DataFrame(out)
 

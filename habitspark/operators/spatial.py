@@ -38,8 +38,9 @@ def _band(lat: str = "lat") -> Column:
 def covering(points: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Features that contain each point: ``key`` columns plus ``feature_id``.
 
-    A layer of checked size travels as one array per latitude band, so points are not
-    shuffled. Beyond that, edges are salted rows and the crossing parity is summed.
+    One row per input row and feature, whatever the keys. A layer of checked size travels as
+    one array per latitude band, so points are not shuffled. Beyond that, edges are salted rows and the
+    crossing parity is summed per distinct place, which then goes back to the rows.
     """
     banded = _edges_by_band(edges)
     placed = points.select(*key, "lon", "lat", _band().alias("_band"))
@@ -51,11 +52,14 @@ def covering(points: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFra
         hit = F.filter("features", lambda f: _odd(f["edges"]))
         return t.select(*key, F.explode(hit).alias("f")).select(*key, F.col("f.feature_id").alias("feature_id"))
     n = salts(points.sparkSession)
-    spread = placed.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(n)))
+    places = placed.select("lon", "lat", "_band").distinct()
+    spread = places.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(n)))
     repeated = banded.withColumn("_salt", every_salt(n))
     e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     crossings = spread.join(repeated, ["_band", "_salt"]).filter(_crosses(F.col("lon"), F.col("lat"), e))
-    return crossings.groupBy(*key, "feature_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1).drop("n")
+    hits = crossings.groupBy("lon", "lat", "feature_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
+    at = hits.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "feature_id")
+    return placed.join(at, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).select(*key, "feature_id")
 
 
 def _odd(edges: Column) -> Column:

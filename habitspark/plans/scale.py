@@ -87,7 +87,10 @@ def measured(df: DataFrame) -> tuple[DataFrame, bool]:
     """Keep ``df`` for reuse and tell whether it is small enough to broadcast."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     size = kept.agg(F.sum(_row_bytes(kept.schema))).first()[0] or 0
-    return kept, size <= broadcast_bytes_limit(df.sparkSession)
+    if size > broadcast_bytes_limit(df.sparkSession):
+        kept.unpersist()  # too big to broadcast, too big to hold
+        return df, False
+    return kept, True
 
 
 def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -128,7 +131,9 @@ def running_totals(
             *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums],
             *[F.sum(c).over(part).alias(f"tot_{c}") for c in sums],
         )
-    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = table.sparkSession
+    # a slice, and so the window over it, stays below the limit
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * table.count() // group_rows_limit(spark)))
     sliced = stored(
         table.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order)).withColumn(
             "_slice", F.spark_partition_id()
@@ -153,15 +158,15 @@ def running_totals(
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group; ``probs`` maps output names to levels."""
+    """Linearly interpolated quantiles per group; ``probs`` maps output names to levels.
+
+    One formula on counts of distinct values, whatever the size of a group.
+    """
     rows = df.filter(F.col(value).isNotNull())
-    if groups_fit(rows, keys):
-        return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
-    # the rows did not fit above, so only the distinct values are counted again
-    ranks = running_totals(counts, list(keys) or ["_all"], value, ["n"])
+    ranks = running_totals(counts, list(keys) or ["_all"], value, ["n"], source=rows if keys else None)
     aggs, final = [], []
     for i, (name, p) in enumerate(probs.items()):
         h = (F.col("tot_n") - 1) * F.lit(float(p))

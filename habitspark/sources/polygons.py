@@ -15,7 +15,9 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame | None:
     """Vertex table, or None when the layer is unavailable: the step using it is skipped."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         log.warning("polygon layer not found at %s", path)
         return None
 

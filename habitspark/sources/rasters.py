@@ -32,7 +32,9 @@ def read_layers(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Data
     for name, path in paths.items():
         try:
             found[name] = read_layer(spark.read.parquet(path), name)
-        except AnalysisException:
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("layer %s not found at %s, skipped", name, path)
     return found
 
