@@ -15,7 +15,9 @@ from dataclasses import dataclass
 from itertools import combinations
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -50,6 +52,8 @@ REGULARISATION = [(0, 1.0), (10, 1.0), (30, 0.2), (100, 0.05)]
 
 def parameters(algo: str, overrides: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, Any]:
     """Defaults overlaid by the given settings of that algorithm."""
+    if algo not in DEFAULTS:
+        raise ValueError(f"unknown algorithm: {algo}")
     return {**DEFAULTS[algo], **dict((overrides or {}).get(algo, {}))}
 
 
@@ -196,16 +200,33 @@ def _cloglog_shift(background: DataFrame) -> float:
     return normaliser + entropy
 
 
-def fit_all(train: DataFrame, predictors: Sequence[str], algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4) -> dict[str, Model]:
-    """Fit the algorithms side by side; one that fails is reported and left out."""
+# what a learner raises on data it cannot fit; coding errors and lack of memory are none of these
+FIT_ERRORS = (IllegalArgumentException, ArithmeticError, ValueError, Py4JJavaError)
+
+
+def attempt(task, status: list | None, *label):
+    """Result of a fit, or None when the data do not allow it; ``status`` gets (label, ok or failed, message)."""
+    try:
+        result = task()
+    except FIT_ERRORS as err:
+        text = str(err)
+        if "OutOfMemoryError" in text or "Job aborted" in text:
+            raise
+        log.warning("%s left out: %s", label, text)
+        if status is not None:
+            status.append((*label, "failed", text[:500]))
+        return None
+    if status is not None:
+        status.append((*label, "ok", ""))
+    return result
+
+
+def fit_all(train: DataFrame, predictors: Sequence[str], algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4, status: list | None = None) -> dict[str, Model]:
+    """Fit the algorithms side by side; one that fails is left out. ``status`` gets (algo, ok or failed, message)."""
     profile = Profile.of(train, predictors)
 
     def one(algo: str) -> Model | None:
-        try:
-            return fit(train, predictors, algo, overrides, profile)
-        except Exception as err:  # noqa: BLE001
-            log.warning("%s left out: %s", algo, err)
-            return None
+        return attempt(lambda: fit(train, predictors, algo, overrides, profile), status, algo)
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = dict(zip(algorithms, pool.map(one, algorithms)))
@@ -234,11 +255,13 @@ def cross_validate(
     overrides=None,
     threads: int = 4,
     path: str | None = None,
+    status: list | None = None,
 ) -> DataFrame:
     """Leave one spatial fold out: scores of all rows by the models of each fold.
 
     ``held_out`` names the fold a model did not see and ``split`` tells whether the row
-    belongs to it. The scores are appended to a table, by default a new one.
+    belongs to it. The scores are appended to a table, by default a new one. ``status``
+    gets (fold, algo, ok or failed, message).
     """
     data = stored(training).persist(StorageLevel.MEMORY_AND_DISK)
     folds = usable_folds(data)
@@ -249,11 +272,7 @@ def cross_validate(
 
     def one(job: tuple[int, str]) -> Model | None:
         k, a = job
-        try:
-            return fit(data.filter(F.col("cv_fold") != k), predictors, a, overrides, profiles[k])
-        except Exception as err:  # noqa: BLE001
-            log.warning("%s left out of fold %s: %s", a, k, err)
-            return None
+        return attempt(lambda: fit(data.filter(F.col("cv_fold") != k), predictors, a, overrides, profiles[k]), status, k, a)
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = dict(zip(jobs, pool.map(one, jobs)))

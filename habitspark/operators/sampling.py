@@ -28,14 +28,15 @@ def sample_cells(area: DataFrame, keys: Sequence[str], n: int, seed: int = S.SEE
     return out.drop("_draw", "_all")
 
 
-def jitter(cells: DataFrame, grid: Grid, keys: Sequence[str] = (), seed: int = S.SEED) -> DataFrame:
-    """Move cell centres by up to half a pixel in both directions."""
+def jitter(cells: DataFrame, grid: Grid, keys: Sequence[str] = (), seed: int = S.SEED, draws: tuple[Column, Column] | None = None) -> DataFrame:
+    """Move cell centres by up to half a pixel in both directions.
+
+    ``draws`` are uniform values in [0, 1) for longitude and latitude, by default hashes of the cell.
+    """
     parts = [*[F.col(k) for k in keys], F.col("row"), F.col("col")]
+    east, north = draws or (hash_unit(*parts, seed=seed + 1), hash_unit(*parts, seed=seed + 2))
     return cells.withColumns(
-        {
-            "lon": grid.lon_of(F.col("col")) + (hash_unit(*parts, seed=seed + 1) - 0.5) * grid.dx,
-            "lat": grid.lat_of(F.col("row")) + (hash_unit(*parts, seed=seed + 2) - 0.5) * grid.dy,
-        }
+        {"lon": grid.lon_of(F.col("col")) + (east - 0.5) * grid.dx, "lat": grid.lat_of(F.col("row")) + (north - 0.5) * grid.dy}
     )
 
 
@@ -52,8 +53,9 @@ def effort(points: DataFrame, land: DataFrame, grid: Grid, alpha: int = 1) -> Da
     return joined.select("row", "col", "effort", (F.col("effort").cast("double") / F.col("total").cast("double")).alias("probability"))
 
 
-def sample_by_effort(weighted: DataFrame, n: int, seed: int = S.SEED) -> DataFrame:
+def sample_by_effort(weighted: DataFrame, n: int, seed: int = S.SEED, draw: Column | None = None) -> DataFrame:
     """``n`` draws with replacement, proportional to the whole-number ``effort``, however few the cells.
+    ``draw`` is a uniform value in [0, 1) from the number ``id`` of a draw, by default a hash of it.
 
     Cells become intervals of the running effort. Intervals and draws meet on a lattice
     over that range, so neither side is compared as a whole.
@@ -72,7 +74,7 @@ def sample_by_effort(weighted: DataFrame, n: int, seed: int = S.SEED) -> DataFra
     )
     intervals = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
     draws = spark.range(n).select(
-        F.col("id").alias("draw"), F.floor(hash_unit(F.col("id"), seed=seed) * F.lit(float(facts["total"] or 0))).alias("u")
+        F.col("id").alias("draw"), F.floor((hash_unit(F.col("id"), seed=seed) if draw is None else draw) * F.lit(float(facts["total"] or 0))).alias("u")
     )
     draws = draws.withColumn("_b", F.floor(F.col("u") / step))
     hit = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
@@ -34,25 +34,35 @@ def per_fold_scores(oof: DataFrame, algorithms: Sequence[str]) -> tuple[DataFram
 
 
 def cross_validate_species(
-    training: DataFrame, chosen: DataFrame, algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4
+    training: DataFrame, chosen: DataFrame, algorithms: Sequence[str] = tuple(S.ALGORITHMS), overrides=None, threads: int = 4, status: list | None = None
 ) -> DataFrame:
     """Cross-validated scores of every species with its own predictors, in one table.
 
     ``training`` and ``chosen`` come from ``training.build``. The driver holds the species
-    names and their predictor names; a species without a usable fold is left out.
+    names and their predictor names; a species without a usable fold is left out. ``status``
+    gets a row per species, fold and algorithm for ``status_table``.
     """
     spark = training.sparkSession
     path = scratch_folder(spark)
     names = F.transform(F.array_sort(F.collect_list(F.struct("position", "predictor"))), lambda p: p["predictor"])
     for row in chosen.groupBy("species").agg(names.alias("predictors")).orderBy("species").collect():
         own = training.filter(F.col("species") == row["species"])
-        try:
-            MD.cross_validate(own, row["predictors"], algorithms, overrides, threads, path)
-        except ValueError as err:
-            log.warning("%s left out: %s", row["species"], err)
+        rows: list = []
+        if MD.usable_folds(own):
+            MD.cross_validate(own, row["predictors"], algorithms, overrides, threads, path, rows)
+        else:
+            log.warning("%s left out: no fold holds presences and background", row["species"])
+            rows.append((None, None, "failed", "no fold holds presences and background"))
+        if status is not None:
+            status += [(row["species"], *r) for r in rows]
     return spark.read.parquet(path)
 
 
+def status_table(spark: SparkSession, status: Sequence[tuple]) -> DataFrame:
+    """What was fitted and what was not, one row per species, fold and algorithm."""
+    return spark.createDataFrame(list(status), "species string, fold int, algo string, status string, message string")
+
+
 def evaluate(oof: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(compact table, full table, weights) of all species from cross-validated scores.
 

@@ -50,11 +50,21 @@ def w_sample_per_species(spark, d):
     return SM.sample_cells(area, ["species"], 200, draw=draw())
 
 
-@query("w_jitter")
+@query(
+    "w_jitter",
+    with_views(
+        [V.CELLS],
+        """SELECT row, col, round(x0 + (col + 0.5::DOUBLE) * dx + ((row * 7919 + col * 104729) % 1000003 / 1000003.0::DOUBLE - 0.5::DOUBLE) * dx, 6) AS lon,
+        round(y0 - (row + 0.5::DOUBLE) * dy + ((row * 6101 + col * 15485863) % 1000003 / 1000003.0::DOUBLE - 0.5::DOUBLE) * dy, 6) AS lat
+        FROM cells, (SELECT x0, y0, dx, dy FROM grid) WHERE land""",
+    ),
+)
 def w_jitter(spark, d):
     """Every land cell moved inside its pixel."""
     land = V.cells(spark, d).filter("land").select("row", "col")
-    return SM.jitter(land, V.grid(spark, d))
+    north = (F.col("row") * 6101 + F.col("col") * 15485863) % 1000003 / F.lit(1000003.0)
+    moved = SM.jitter(land, V.grid(spark, d), draws=(draw(), north))
+    return moved.select("row", "col", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 EFFORT = """placed AS (SELECT CAST(least(greatest(floor((lon - x0) / dx), 0), w - 1) AS BIGINT) AS col,
@@ -69,11 +79,21 @@ def ag_effort(spark, d):
     return e.withColumn("probability", F.round("probability", 9))
 
 
-@query("w_sample_weighted")
+@query(
+    "w_sample_weighted",
+    with_views(
+        [
+            V.OCC, V.CELLS, EFFORT,
+            "lines AS (SELECT row, col, effort, sum(effort) OVER (ORDER BY row, col) AS hi, sum(effort) OVER () AS total FROM effort)",
+            "draws AS (SELECT id AS draw, floor((id * 7919 + 13) % 1000003 / 1000003.0::DOUBLE * (SELECT max(total) FROM lines)::DOUBLE) AS u FROM range(20000) t(id))",
+        ],
+        "SELECT draw, row, col FROM draws JOIN lines ON u >= hi - effort AND u < hi",
+    ),
+)
 def w_sample_weighted(spark, d):
     """Draws with replacement over land, proportional to collecting effort."""
     e = SM.effort(V.occ(spark, d), V.cells(spark, d).filter("land"), V.grid(spark, d))
-    return SM.sample_by_effort(e, 20_000)
+    return SM.sample_by_effort(e, 20_000, draw=(F.col("id") * 7919 + 13) % 1000003 / F.lit(1000003.0))
 
 
 @query(
