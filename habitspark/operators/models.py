@@ -57,6 +57,32 @@ def parameters(algo: str, overrides: Mapping[str, Mapping[str, Any]] | None = No
     return {**DEFAULTS[algo], **dict((overrides or {}).get(algo, {}))}
 
 
+def read_overlay(settings: DataFrame) -> dict[str, dict[str, Any]]:
+    """Settings from a table of ``algo``, ``parameter`` and ``value`` (text), typed like the defaults.
+
+    A row per setting, so the table is as short as the defaults. What no algorithm takes is refused by name.
+    """
+    out: dict[str, dict[str, Any]] = {}
+    for row in settings.select("algo", "parameter", "value").limit(1000).collect():
+        known = DEFAULTS.get(row["algo"])
+        if known is None:
+            raise ValueError(f"unknown algorithm: {row['algo']}")
+        if row["parameter"] not in known:
+            raise ValueError(f"{row['algo']} has no setting {row['parameter']}; it takes {sorted(known)}")
+        given = known[row["parameter"]]
+        text = row["value"]
+        if isinstance(given, bool):
+            value: Any = text.lower() == "true"
+        elif isinstance(given, tuple):
+            value = tuple(v.strip() for v in text.split(",") if v.strip())
+        elif isinstance(given, int) and text.lstrip("-").isdigit():
+            value = int(text)
+        else:
+            value = text if isinstance(given, str) else float(text)
+        out.setdefault(row["algo"], {})[row["parameter"]] = value
+    return out
+
+
 def parameter_table(spark: SparkSession, overrides: Mapping[str, Mapping[str, Any]] | None = None) -> DataFrame:
     rows = [(a, k, str(v)) for a in DEFAULTS for k, v in parameters(a, overrides).items()]
     return spark.createDataFrame(rows, "algo string, parameter string, value string")

@@ -85,15 +85,33 @@ def ml_algo_isolation(spark, d):
     return in_unit(E.with_ensemble(MD.score_all(models, t), weights).select("row_id", "glm", "gam", "rf", "ensemble"), "glm", "rf", "ensemble")
 
 
-PARAMETERS = ", ".join(f"('{a}', '{k}', $${v}$$)" for a in MD.DEFAULTS for k, v in MD.parameters(a, MD.TUNED).items())
+def _values(rows) -> str:
+    return ", ".join(f"('{a}', '{k}', $${v}$$)" for a, k, v in rows)
 
 
-@query("ml_tuned_params", f"SELECT n AS n_rows, algo, parameter, value FROM (SELECT count(*) AS n FROM embeddings), (VALUES {PARAMETERS}) AS t(algo, parameter, value)")
+PLAIN = [(a, k, str(v)) for a in MD.DEFAULTS for k, v in MD.parameters(a).items()]
+TUNED = [(a, k, str(v)) for a, settings in MD.TUNED.items() for k, v in settings.items()]
+
+
+@query(
+    "ml_tuned_params",
+    f"""WITH customers AS (SELECT n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+    tuned AS (SELECT list_extract({list(S.ALGORITHMS)}, n_regionkey + 1) AS algo FROM customers WHERE n >= (SELECT avg(n) FROM customers)),
+    plain AS (SELECT * FROM (VALUES {_values(PLAIN)}) AS t(algo, parameter, value)), own AS (SELECT * FROM (VALUES {_values(TUNED)}) AS t(algo, parameter, value))
+    SELECT p.algo, p.parameter, coalesce(o.value, p.value) AS value, o.value IS NOT NULL AS is_tuned FROM plain p
+    LEFT JOIN own o ON o.algo = p.algo AND o.parameter = p.parameter AND o.algo IN (SELECT algo FROM tuned)""",
+)
 def ml_tuned_params(spark, d):
-    """Settings in force, next to the number of training rows they apply to."""
-    n = V.features(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("_one"))
-    table = MD.parameter_table(spark, MD.TUNED).withColumn("_one", F.lit(1))
-    return table.join(F.broadcast(n), "_one").drop("_one")  # a single row
+    """Settings in force when a table selects which algorithms are tuned: one region stands for each."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = customers.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    algo = F.element_at(F.lit(list(S.ALGORITHMS)), (F.col("n_regionkey") + 1).cast("int"))
+    tuned = n.join(n.agg(F.avg("n").alias("mean")), F.col("n") >= F.col("mean")).select(algo.alias("algo"))  # a single mean
+    settings = spark.createDataFrame(TUNED, "algo string, parameter string, value string").join(tuned, "algo", "left_semi")
+    overlay = MD.read_overlay(settings)
+    own = settings.select("algo", "parameter", F.lit(True).alias("is_tuned"))
+    in_force = MD.parameter_table(spark, overlay).join(own, ["algo", "parameter"], "left")
+    return in_force.select("algo", "parameter", "value", F.coalesce("is_tuned", F.lit(False)).alias("is_tuned"))
 
 
 @query("ml_fit_full")
