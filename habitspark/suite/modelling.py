@@ -138,16 +138,23 @@ CORR = "cor AS (SELECT species, count(*) AS n, corr(elevation, b1) AS r01, corr(
 
 
 def crowded(df):
+    """Species with rows enough for an inflation of three variables."""
     n = df.groupBy("species").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").select("species")
     return df.join(n, "species", "left_semi")
 
 
 @query(
     "ag_corr_matrix",
-    with_views([V.ENV, ENV_OK, CORR], "SELECT species, 'elevation' AS var_a, 'b1' AS var_b, round(r01, 6) AS r FROM cor UNION ALL SELECT species, 'elevation', 'b2', round(r02, 6) FROM cor UNION ALL SELECT species, 'b1', 'b2', round(r12, 6) FROM cor"),
+    with_views(
+        [V.ENV, ENV_OK],
+        " UNION ALL ".join(
+            f"SELECT species, '{a}' AS var_a, '{b}' AS var_b, round(CASE WHEN var_samp({a}) > 0 AND var_samp({b}) > 0 THEN corr({a}, {b}) END, 6) AS r FROM env_ok GROUP BY species"
+            for a, b in (("elevation", "b1"), ("elevation", "b2"), ("b1", "b2"))
+        ),
+    ),
 )
 def ag_corr_matrix(spark, d):
-    return rounded(SE.correlations(crowded(V.env(spark, d).na.drop(subset=VARS)), VARS, ["species"]))
+    return rounded(SE.correlations(V.env(spark, d), VARS, ["species"]))
 
 
 @query(
