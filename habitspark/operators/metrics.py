@@ -298,7 +298,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rx = average_ranks(rows, keys, x).select(*keys, x, F.col("avg_rank").alias("_rx"))
     ry = average_ranks(rows, keys, y).select(*keys, y, F.col("avg_rank").alias("_ry"))
-    both = attach(attach(pairs, rx, [*keys, x]), ry, [*keys, y])
+    # the ranks can be as many as the rows: ordinary joins, no copies
+    both = pairs.join(rx, [*keys, x]).join(ry, [*keys, y])
     a, b, w = F.col("_rx"), F.col("_ry"), _d("_w")
     sums = both.groupBy(*keys).agg(
         F.sum(w).alias("n"),

@@ -2,8 +2,8 @@
 
 Three rules are applied everywhere:
 
-* a table is broadcast only after its size has been measured; beyond the limit the
-  join is salted instead;
+* a table is broadcast only after its size has been measured; beyond the limit it is
+  joined by key, keys with very many rows apart;
 * an ordered window runs over a whole group only after the largest group has been
   measured; beyond the limit the ordered work is cut into range slices;
 * what is cut into slices is first written to a table in the shared folder, so a lost
@@ -96,18 +96,13 @@ def measured(df: DataFrame) -> tuple[DataFrame, bool]:
 def attach(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-key lookup onto ``big``.
 
-    Small lookups are broadcast, so ``big`` is not shuffled. Larger ones are repeated
-    once per salt, which spreads a dominant key over many tasks. Rows that are equal in
-    every column share a salt; adaptive execution splits those further.
+    Small lookups are broadcast, so ``big`` is not shuffled. Larger ones are joined by key; keys
+    with very many rows are joined apart, and adaptive execution splits what is left of skew.
     """
-    spark = big.sparkSession
     lookup, small = measured(lookup)
     if small:
         return big.join(F.broadcast(lookup), list(keys), how)
-    n = salts(spark)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(n)))
-    repeated = lookup.withColumn("_salt", every_salt(n))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join_hot(big, lookup, keys, how)
 
 
 def every_salt(n: int) -> Column:
@@ -224,18 +219,19 @@ def join_hot(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str =
     """Join many rows per key onto a large lookup (one row per key).
 
     Keys holding more than ``habitspark.join.hotKeyRows`` rows are joined apart against
-    their own few lookup rows, which are at most rows / limit and hence broadcast; all
-    other keys go through an ordinary shuffled join.
+    their own lookup rows, if those are measured to be few enough to broadcast; all other keys go
+    through an ordinary shuffled join.
     """
     spark = big.sparkSession
     limit = int(spark.conf.get("habitspark.join.hotKeyRows", "1000000"))
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot, small = measured(counts.filter(F.col("_n") > limit).select(*keys))
-    if not small or hot.isEmpty():
+    hot, few = measured(counts.filter(F.col("_n") > limit).select(*keys))
+    if not few or hot.isEmpty():
         return big.join(lookup, list(keys), how)
     hot = F.broadcast(hot)
-    apart = big.join(hot, list(keys), "left_semi").join(
-        F.broadcast(lookup.join(hot, list(keys), "left_semi")), list(keys), how
-    )
+    rows, small = measured(lookup.join(hot, list(keys), "left_semi"))
+    if not small:
+        return big.join(lookup, list(keys), how)
+    apart = big.join(hot, list(keys), "left_semi").join(F.broadcast(rows), list(keys), how)
     rest = big.join(hot, list(keys), "left_anti").join(lookup, list(keys), how)
     return apart.unionByName(rest)
