@@ -10,11 +10,11 @@ A shingle with more than ``COMMON`` groups is common and counts as last in the o
 a pair of documents that hold enough rarer ones shares at least one of them, and the number
 they share is a further exact filter on pairs of groups. The few *dense* documents
 without enough rare indexed shingles (short ones, or made of common passages) are joined
-among themselves on prefixes ordered by exact frequency.
+among themselves on prefixes ordered by exact frequency, with positional and parity filters.
 
 Surviving pairs of groups are expanded to members and verified on whole sets. Links of members with one
-representative of their group or bucket come first; further pairs are expanded only between
-parts that are not yet connected, so a group of copies costs one comparison per member.
+representative of their group, or with a few drawn neighbours, come first; further pairs are expanded only between
+parts that are not yet connected, so a group of copies costs a few comparisons per member.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ COMMON = 32
 POSTINGS = 250_000
 FLUSH = 250_000
 SKETCH = 4
+DRAWS = 4
+MAPS = 8
 
 
 def _digest(values: np.ndarray, n: int) -> int:
@@ -76,7 +78,7 @@ def _summaries(percent: int, size: int):
     return run
 
 
-def _postings(percent: int, buckets: int):
+def _postings(percent: int, buckets: int, limit_groups: int):
     limit = _share(percent)
     width = np.uint64(int(limit) // buckets + 1)
 
@@ -90,7 +92,7 @@ def _postings(percent: int, buckets: int):
         # a shingle that is common within this batch already: enough owners to show it, the rest as counts
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-        over = place > COMMON
+        over = place > limit_groups
         extra, times = np.unique(own[over], return_counts=True)
         h, own = h[~over], own[~over]
         bucket = (h // width).astype(np.int64)
@@ -136,7 +138,11 @@ def _postings(percent: int, buckets: int):
     return run
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(limit_groups: int):
+    return lambda table: _bucket_pairs(table, limit_groups)
+
+
+def _bucket_pairs(table: pa.Table, limit_groups: int) -> pa.Table:
     """Counts of common shingles per group (b null) and pairs of groups with the number of rare shingles they share."""
     h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
     own = np.frombuffer(b"".join(table["owners"].to_pylist()), np.int64)
@@ -150,9 +156,9 @@ def _bucket(table: pa.Table) -> pa.Table:
     h, own = h[fresh], own[fresh]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     size = np.diff(np.r_[first, len(h)])
-    common, times = np.unique(own[np.repeat(size > COMMON, size)], return_counts=True)
+    common, times = np.unique(own[np.repeat(size > limit_groups, size)], return_counts=True)
     lefts, rights = [], []
-    for m in np.unique(size[(size > 1) & (size <= COMMON)]).tolist():
+    for m in np.unique(size[(size > 1) & (size <= limit_groups)]).tolist():
         rows = own[first[size == m][:, None] + np.arange(m)]
         i, j = np.triu_indices(m, 1)
         lefts.append(rows[:, i].ravel())
@@ -199,6 +205,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set, 64 * ``MAPS`` parities of its shingles by hash."""
+    for batch in batches:
+        maps = np.zeros((batch.num_rows, MAPS), np.uint64)
+        for k, raw in enumerate(batch.column(1)):
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            np.bitwise_xor.at(maps[k], ((s >> np.uint64(6)) % np.uint64(MAPS)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(maps[:, i].view(np.int64).copy()) for i in range(MAPS)]], ["cls", *[f"m{i}" for i in range(MAPS)]])
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column(1)]
@@ -237,7 +253,7 @@ def _prefix_of(n: str, percent: int):
     return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
 
 
-def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", common_groups: int = COMMON) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``.
 
     A text with fewer than five words is one shingle, a null text or one without words has
@@ -245,6 +261,7 @@ def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", t
     repeated id gives one row for each input row. A null id comes back with a null component unless
     a linked row has an id. Other columns are ignored. Sets are identified by a 64-bit
     digest, so that two different texts fall together with odds of about rows squared / 2^65.
+    ``common_groups`` only moves work between the two joins.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -256,9 +273,9 @@ def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", t
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTINGS))
     texts = rows.select("text").filter(F.col("text").isNotNull())
     index = stored(
-        texts.mapInArrow(_postings(percent, buckets), "bucket long, hashes binary, owners binary")
+        texts.mapInArrow(_postings(percent, buckets, common_groups), "bucket long, hashes binary, owners binary")
         .groupBy("bucket")
-        .applyInArrow(_bucket, "a long, b long, c long")
+        .applyInArrow(_bucket(common_groups), "a long, b long, c long")
     )
     common = index.filter("b is null").groupBy(F.col("a").alias("grp")).agg(F.sum("c").alias("common"))
     groups = stored(
@@ -297,35 +314,32 @@ def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", t
     found = texts.mapInArrow(_sets, "cls long, shingles binary").join(wanted, "cls", "left_semi")
     sets = stored(found.dropDuplicates(["cls"]))
 
-    # one representative each: members with the head of their group, heads of paired groups, dense sets with a sketch neighbour
+    # representatives first: members with the head of their group, heads of paired groups, and dense sets with
+    # a few drawn ones among those of the same sketch key
     dense_sets = sets.join(dense, "cls", "left_semi")
-    sketch = stored(dense_sets.select("cls", "shingles").mapInArrow(_sketch, "key long, cls long"))
-    hubs = sketch.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub <> last").drop("last")
-    sized = classes.select("cls", "n")
+    sketch = stored(dense_sets.select("cls", "shingles").mapInArrow(_sketch, "key long, cls long").join(classes.select("cls", "n"), "cls"))
+    draws = [F.min(F.struct(F.xxhash64("cls", "key", F.lit(r)).alias("draw"), F.col("cls").alias("hub"), F.col("n").alias("n_hub"))) for r in range(DRAWS)]
+    hubs = sketch.groupBy("key").agg(F.array(*draws).alias("hubs"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     near = (
-        sketch.join(hubs, "key").filter("cls <> hub").select("hub", "cls").distinct()
-        .join(sized, "cls")
-        .join(sized.select(F.col("cls").alias("hub"), F.col("n").alias("n_hub")), "hub")
-        .filter(_near_size("n", "n_hub", percent))
+        sketch.join(hubs, "key").select("cls", "n", F.explode("hubs").alias("h")).select("cls", "n", "h.hub", "h.n_hub")
+        .filter(F.col("cls") != F.col("hub")).filter(_near_size("n", "n_hub", percent))
         .select(F.col("hub").alias("a"), F.col("cls").alias("b"))
     )
-    stars = (
+    tested = stored(
         members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
         .unionByName(group_pairs.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
         .unionByName(near)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    tested = stored(stars)
     links = stored(verify(tested, sets, percent))
-
-    # the rest: only pairs whose ends are not connected yet
     roots = components(links)
 
     def rooted(df: DataFrame, key: str) -> DataFrame:
         known = roots.select(F.col("node").alias(key), "root")
         return df.join(known, key, "left").withColumn("root", F.coalesce("root", key))
 
+    # the rest: only pairs whose ends are not connected yet
     inside = rooted(members.select("grp", "cls"), "cls")
     split = inside.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("grp")
     inside = inside.join(split, "grp", "left_semi")
@@ -342,20 +356,27 @@ def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", t
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "h"))
     prefix = stored(
         rooted(
-            exploded.join(counts, "h").withColumn("rank", rank)
+            exploded.join(counts, "h").withColumns({"rank": rank, "alone": F.count_if(F.col("df") == 1).over(Window.partitionBy("cls"))})
             .filter(F.col("rank") <= _prefix_of("n", percent))
             .filter("df > 1")
-            .select("h", "cls", "n", "rank"),
+            .select("h", "cls", "n", "rank", "alone"),
             "cls",
         )
     )
+    kinds = ", ".join(f"m{i} long" for i in range(MAPS))
+    maps = stored(dense_sets.select("cls", "shingles").mapInArrow(_parities, f"cls long, {kinds}"))
     mixed = prefix.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("h")
-    x = prefix.join(mixed, "h", "left_semi")
-    rest = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + F.least("rank_a", "rank_b")
+    x = prefix.join(mixed, "h", "left_semi").join(maps, "cls")
+    # every parity that differs is a shingle that only one of the two has
+    differ = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(MAPS)), F.lit(0))
+    # what comes later, and what came before less the shingles that no other set has
+    rest = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b")) + F.least(
+        F.col("rank_a") - F.col("alone_a"), F.col("rank_b") - F.col("alone_b")
+    )
     ordered = _sided(x, "_a").join(_sided(x, "_b").withColumnRenamed("h_b", "h_a"), "h_a")
     dense_pairs = (
         ordered.filter("root_a <> root_b and cls_a < cls_b")
-        .filter(_near_size("n_a", "n_b", percent) & (rest >= overlap))
+        .filter(_near_size("n_a", "n_b", percent) & (rest >= overlap) & (differ <= F.col("n_a") + F.col("n_b") - 2 * overlap))
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     )
     left = (
