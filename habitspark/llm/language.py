@@ -47,7 +47,7 @@ def _piece_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys:
     out = np.full((LONGEST, len(data)), len(keys), np.int32)
     inside = np.arange(len(data)) - np.repeat(starts, lengths)
     key = np.zeros(len(data), np.uint64)
-    for size in range(1, LONGEST + 1):
+    for size in range(1, min(LONGEST, len(data)) + 1):
         back = size - 1
         key[back:] |= data[: len(data) - back].astype(np.uint64) << np.uint64(8 * back)
         at = np.flatnonzero(inside >= back)

@@ -127,7 +127,8 @@ def surrogate(key: str, kind: Column, canon: Column, e: Column, attempt: Column)
     person = F.regexp_replace(e, r"^\S+ ", "")
     name: Column = F.lit("")
     for (gender, script), names in NAMES.items():
-        pick = F.element_at(F.lit(names), _draw(h, F.lit(0), len(names)) + 1)
+        others = F.array_except(F.lit(names), F.array(F.regexp_extract(person, r"^(\S+)", 1)))
+        pick = F.element_at(others, F.pmod(_draw(h, F.lit(0), 9973), F.size(others)) + 1)
         name = F.when((_gender(e) == gender) & (_script(person) == script), pick).otherwise(name)
     family = F.regexp_extract(person, r" (.+)$", 1)
     named = F.concat(F.regexp_extract(e, r"^(\S+ )", 1), name, F.when(family != "", F.concat(F.lit(" "), _mapped(h, family, F.lit(0)))).otherwise(""))
