@@ -1,0 +1,356 @@
+"""Operators on text collections against brute force, on awkward rows and on empty tables."""
+
+import os
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import brute  # noqa: E402
+from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, quality, surrogates, templates, urls, words  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, n long, score string, cls string"
+
+BASE = "the quick brown fox jumps over the lazy dog while seven old men watch from a wooden bridge near the river"
+AWKWARD = [
+    (1, BASE),
+    (2, BASE),
+    (3, BASE.replace("seven", "eleven")),
+    (4, BASE.replace("brown", "red") + " today"),
+    (5, None),
+    (6, ""),
+    (7, " \n\t "),
+    (8, "one"),
+    (9, "One"),
+    (10, "two words"),
+    (11, "a b c d"),
+    (12, "A\tb\nc  d"),
+    (13, "42 17 99 % # !"),
+    (14, "word " * 3000),
+    (15, "word " * 2999 + "other"),
+    (None, "a text without any number of its own"),
+    (16, "éèà ñandú größe łódź " * 6),
+    (17, "x" * 5000),
+    (18, "first line of five words\nsecond line with five words\nfirst line of five words"),
+    (18, "first line of five words\nsecond line with five words\nfirst line of five words"),
+]
+
+
+def table(spark, rows, lang="en"):
+    """Rows with further columns whose names the operators use themselves."""
+    full = [(i, t, lang, "s", len(t or ""), 7, "x", "y") for i, t in rows]
+    return spark.createDataFrame(full, KIND)
+
+
+def given(spark, name, folder=FOLDER):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [tuple(r) for r in given(spark, "documents").select("doc_id", "text").collect()]
+
+
+def key(row):
+    return tuple((v is not None, v) for v in row)
+
+
+def test_words_match_the_rule(documents):
+    texts = [t for _, t in [*documents, *AWKWARD]]
+    column = pa.array(texts, pa.string())
+    got = []
+    for _, w in words.slices(column, 50_000):
+        for a, b in zip(w.first[:-1], w.first[1:]):
+            got.append([w.data[s:e].tobytes().decode() for s, e in zip(w.starts[a:b], w.ends[a:b])])
+    assert got == [brute.split(t) for t in texts]
+    sizes = [len(s) for s in words.shingle_sets(column)]
+    assert sizes == [len(brute.shingles(t)) for t in texts]
+
+
+@pytest.mark.parametrize("common", [1, 32])
+def test_document_join(spark, documents, common):
+    rows = [*documents[:120], *[(i + 1000 if i else i, t) for i, t in AWKWARD]]
+    got = sorted((tuple(r) for r in jaccard.link_documents(table(spark, rows), common_groups=common).collect()), key=key)
+    assert got == sorted(brute.linked(rows), key=key)
+
+
+def test_document_join_of_nothing(spark):
+    assert jaccard.link_documents(table(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("long_list", [1, 256])
+def test_line_dedup(spark, documents, long_list):
+    rows = [*documents[:120], *[(i + 1000 if i else i, t) for i, t in AWKWARD[:-1]]]
+    out = lines.deduplicate_lines(table(spark, rows), long_list=long_list, keep=("n", "score"))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=key)
+    assert got == sorted(brute.without_repeats(rows), key=key)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "n", "score"]
+
+
+def test_line_dedup_of_repeated_rows_and_nothing(spark):
+    twice = [r for r in AWKWARD if r[0] == 18]
+    got = lines.deduplicate_lines(table(spark, twice)).collect()
+    assert [(r.text.count("first"), r.n_removed) for r in got] == [(1, 1), (1, 1)]
+    assert lines.deduplicate_lines(table(spark, [])).collect() == []
+
+
+def test_decontamination(spark):
+    item = "A train leaves the old station at 9 km per hour with 45 passengers and Mr Miller pays 12 dollars for the short trip to London before noon"
+    moved = item.replace("45", "81").replace("12", "30").replace("9 km", "7 miles").replace("Miller", "Jones")
+    mixed = item.replace("45", "9").replace("London before noon", "London")  # another value for the same slot of no other place
+    rows = [(1, "Well now. " + item + " That is all."), (2, moved), (3, "nothing of that kind is here at all today"), (4, None), (5, ""), (6, mixed), (7, "1 2 3 4 5 6 7 8 9 10 11 12"), (None, item)]
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in templates.decontaminate(table(spark, rows), bench).collect()}
+    assert got[1] == (True, 1) and got[2] == (True, 1) and got[None] == (True, 1)
+    assert not any(got[i][0] for i in (3, 4, 5, 7))
+    assert templates.find_leaks(table(spark, rows), bench.limit(0)).collect() == []
+    assert templates.decontaminate(table(spark, []), bench).collect() == []
+
+
+def test_inconsistent_slots_are_no_template(spark):
+    item = "we give 5 to anna then 5 to bert then 5 to carl then 5 to dora and that makes the whole sum of it"
+    other = item
+    for k in range(4):
+        other = other.replace(" 5 ", f" {70 + k} ", 1)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    same = item.replace(" 5 ", " 8 ")
+    got = {r.doc_id: r.contaminated for r in templates.decontaminate(table(spark, [(1, same), (2, other)]), bench).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_decontamination_finds_every_verbatim_item(spark, documents):
+    bench = given(spark, "benchmark")
+    norm = lambda t: " ".join((t or "").lower().split())
+    items = [norm(r.text) for r in bench.collect()]
+    truth = {i for i, t in documents if any(x in norm(t) for x in items)}
+    found = {r.doc_id for r in templates.decontaminate(given(spark, "documents"), bench).collect() if r.contaminated}
+    assert found == truth
+
+
+def test_base_scores_and_probabilities(spark, documents):
+    rows = [*documents, *[(i, t) for i, t in AWKWARD if i is not None and i != 18]]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    got = {r.doc_id: r for r in contextmix.score_texts(table(spark, rows), fold != 2).collect()}
+    assert len(got) == len(rows)
+    for i, n, known, train, base in brute.unigram(rows):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, train)
+        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9)
+        assert np.isfinite(r.score) and r.score < 0
+
+
+def test_scores_without_training_and_of_nothing(spark):
+    got = contextmix.score_texts(table(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert [(r.n_known, r.train_tokens, r.base_score) for r in got] == [(0, 0, 0.0)] * 2
+    assert contextmix.score_texts(table(spark, []), F.lit(True)).collect() == []
+
+
+def test_symbol_probabilities_sum_to_one():
+    alphabet = contextmix.Alphabet(np.arange(40, dtype=np.uint64) * np.uint64(1 << 40), np.arange(40) + 5, np.ones(640, int), np.ones(640, int), 1000, 700)
+    # every path of the tree ends in one symbol
+    assert sum(2.0 ** -alphabet.length[: alphabet.size]) == pytest.approx(1.0)
+    mixer = contextmix.Mixer(alphabet, np.zeros((alphabet.size, contextmix.DOMAINS), np.float32), [])
+    total = sum(2.0 ** mixer.run([np.array([3, s])])[0] for s in range(alphabet.size))
+    assert total == pytest.approx(2.0 ** mixer.run([np.array([3])])[0], rel=1e-6)
+
+
+def test_raking_meets_all_marginals(spark):
+    rng = np.random.default_rng(1)
+    cells = [(f"s{a}", f"l{b}", f"t{c}", float(rng.integers(1, 500))) for a in range(5) for b in range(3) for c in range(2)]
+    df = spark.createDataFrame(cells, "s string, l string, t string, n double")
+    shares = {f"s{a}": x for a, x in enumerate([0.1, 0.2, 0.3, 0.25, 0.15])}
+    sources = spark.createDataFrame(list(shares.items()), "s string, share double")
+    langs, topics = {"l0": 0.5, "l1": 0.3, "l2": 0.2}, {"t0": 0.6, "t1": 0.4}
+    out, _, error = mixing.rake(df, sources, langs, topics)
+    got = out.collect()
+    assert error <= 1e-6
+    for column, want in (("s", shares), ("l", langs), ("t", topics)):
+        for k, v in want.items():
+            assert sum(r.n * r.weight for r in got if r[column] == k) == pytest.approx(v, abs=2e-6)
+    # plain iterative proportional fitting ends at the same cells
+    mass = np.array([c[3] for c in cells]).reshape(5, 3, 2)
+    for _ in range(500):
+        mass *= (np.array(list(shares.values())) / mass.sum(axis=(1, 2)))[:, None, None]
+        mass *= (np.array(list(langs.values())) / mass.sum(axis=(0, 2)))[None, :, None]
+        mass *= (np.array(list(topics.values())) / mass.sum(axis=(0, 1)))[None, None, :]
+    plain = {c[:3]: m for c, m in zip(cells, mass.ravel())}
+    for r in got:
+        assert r.n * r.weight == pytest.approx(plain[r.s, r.l, r.t], rel=1e-4)
+
+
+def test_mix_draws_the_budget(spark):
+    docs = given(spark, "documents")
+    got = mixing.mix(docs, budget_share=0.4).collect()
+    whole = sum(r.n_tokens for r in got)
+    assert sum(r.n_tokens * r.probability for r in got) == pytest.approx(0.4 * whole, rel=1e-3)
+    assert all(0 <= r.probability <= 1 for r in got)
+    odd = table(spark, AWKWARD).withColumns({"lang": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "source": F.when(F.col("doc_id") % 3 == 0, F.col("source"))})
+    out = mixing.mix(odd).collect()
+    assert len(out) == len(AWKWARD) and not any(r.selected for r in out if not r.n_tokens)
+    assert mixing.mix(table(spark, [])).collect() == []
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_neighbours_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((8, 32))
+    x = (centres[rng.integers(0, 8, 9000)] + 0.6 * rng.standard_normal((9000, 32))).astype(np.float32)
+    x[100:2000] = x[100]  # a large group of copies
+    odd = [(20001, None), (20002, [0.0] * 32), (20003, [float("nan")] * 32), (20004, [1.0, None] * 16), (20005, [1.0] * 5), (None, [1.0] * 32), (20006, [])]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(i, v, 1) for i, v in odd] + [(7, x[7].tolist(), 1)], VECTORS)
+    vectors = neighbours.usable(df)
+    got = {}
+    for r in neighbours.nearest(vectors, vectors.filter("vec_id % 300 = 0")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, 9000, 300))
+    hits, y = 0, x.astype(float)
+    for q, found in got.items():
+        cosine = neighbours.exact(y, y[q])
+        cosine[q] = -2
+        best = np.lexsort((np.arange(len(y)), -cosine))[:5]
+        hits += len({v for v, _ in found.values()} & set(best.tolist()))
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert all(s == pytest.approx(cosine[v], abs=1e-12) for v, s in found.values())
+    assert hits >= 0.95 * 5 * len(got)
+    assert [got[0][k] for k in (1, 2)] == sorted(got[0].values(), key=lambda p: (-p[1], p[0]))[:2]
+
+
+def test_error_bounds_hold():
+    rng = np.random.default_rng(9)
+    x = neighbours._unit(rng.standard_normal((4000, 64)))
+    centre, turn = x.mean(axis=0), neighbours.rotation(64)
+    codes, scale, width = neighbours.encode(x, centre, turn)
+    ones = np.bitwise_count(codes).sum(axis=1).astype(float)
+    q = neighbours._unit(rng.standard_normal((1, 64)))[0]
+    near = centre @ q + scale * neighbours.estimate(codes, ones, turn @ q)
+    assert np.mean(np.abs(near - x @ q) <= width) > 0.99
+
+
+def test_neighbours_of_few_and_none(spark):
+    few = neighbours.usable(spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)], VECTORS))
+    got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(few, few.filter("vec_id = 0")).collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 2)]
+    none = neighbours.usable(spark.createDataFrame([], VECTORS))
+    assert neighbours.nearest(none, none).collect() == []
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
+
+
+def test_url_rules_and_trees(spark):
+    odd = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Example.COM/en/x?y#z"), (5, "http://a.example.com/en/1"), (6, "http://notexample.net/es/"), (7, "x://host?q"), (8, "http://b.com"), (8, "http://b.com"), (9, "http://c.com/é/" + "a" * 9000), (None, "http://d.net/es/1")]
+    many = [(100 + k, f"http://spam{k}-win.example.com/en/{k}{k}{k}" if k % 2 else f"http://good.com/page/{k}") for k in range(400)]
+    unknown = [(600, "http://spam77-win.example.org/en/999"), (601, "http://good.org/page/5")]
+    df = spark.createDataFrame([(i, u, "h") for i, u in odd + many + unknown], "page_id long, url string, host string")
+    got = {r.page_id: r for r in urls.judge(df, RULES).collect()}
+    assert (got[4].host, got[4].path, got[4].rule, got[4].verdict) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert (got[5].rule, got[5].verdict) == ("example.com/en/", "block") and (got[6].rule, got[6].verdict) == ("net/es/", "block")
+    assert (got[1].host, got[1].path, got[1].rule) == ("", "", None) and (got[3].host, got[7].host, got[7].path) == ("", "host", "")
+    assert got[8].rule is None and got[None].verdict == "block"
+    assert (got[600].verdict, got[601].verdict) == ("block", "allow")
+    assert urls.judge(df.limit(0), RULES).collect() == []
+    one = urls.judge(df.filter("page_id in (601, 4)"), RULES).collect()
+    assert {r.page_id: r.verdict for r in one} == {601: "allow", 4: "allow"}
+
+
+def test_trees_split_and_flatten():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, len(quality.FEATURES)))
+    y = ((x[:, 3] > 0.2) ^ (x[:, 5] > 0)).astype(float)
+    model = quality.grow(x[:2000], y[:2000], depth=3)
+    assert ((quality.predict(model, x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    # one row at a time, by the definition of the trees
+    row, score = x[2500], model["base"]
+    for f, t, leaf in zip(model["feature"], model["limit"], model["leaf"]):
+        node = 0
+        for _ in range(3):
+            node = 2 * node + 1 + int(row[f[node]] > t[node])
+        score += leaf[node - 7]
+    assert quality.predict(model, x[2500:2501])[0] == pytest.approx(1 / (1 + np.exp(-score)))
+    assert quality.predict(quality.grow(x[:0], y[:0]), x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_quality_of_held_out_documents(spark):
+    larger = FOLDER.replace("0.001", "0.01")
+    docs, labels = given(spark, "documents", larger), given(spark, "labels", larger)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = quality.score_quality(docs, labels, fold != 0)
+    assert scored.count() == docs.count()
+    held = scored.filter(fold == 0).join(labels, "doc_id").collect()
+    assert np.mean([(r.score >= 0.3) == bool(r.quality) for r in held]) >= 0.9
+    odd = table(spark, AWKWARD)
+    got = quality.score_quality(odd, labels, F.lit(True)).collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in quality.score_quality(odd, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert quality.score_quality(table(spark, []), labels, F.lit(True)).collect() == []
+
+
+def test_language_of_held_out_documents(spark):
+    docs = given(spark, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.fit(docs, fold != 2)
+    got = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(fold == 2).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) >= 0.95
+    odd = {r.doc_id: r for r in language.identify(table(spark, AWKWARD), model, keep=("n",)).collect()}
+    assert [odd[i].lang_pred for i in (5, 6, 7, 13)] == ["und"] * 4 and odd[5].score == 0.0
+    assert odd[16].lang_pred != "und" and 0 < odd[16].score <= 1
+    assert language.identify(table(spark, []), model).collect() == []
+    blank = language.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert {r.lang_pred for r in language.identify(docs.limit(5), blank).collect()} == {"und"}
+
+
+def test_forward_sum_over_segmentations():
+    keys = np.sort(np.array([int.from_bytes(p, "big") | len(p) << 56 for p in (b"a", b"b", b"ab", b"aba")], np.uint64))
+    prob = np.vstack([np.linspace(0.1, 0.4, 4)[:, None], np.zeros((1, 1))])
+    p = {k: prob[i, 0] for i, k in enumerate(keys.tolist())}
+    of = lambda s: p.get(int.from_bytes(s, "big") | len(s) << 56, 0.0)
+
+    def total(w):
+        return 1.0 if not w else sum(of(w[:k]) * total(w[k:]) for k in range(1, len(w) + 1))
+
+    spelled = [b"a", b"ab", b"abab", b"ababab" * 4]
+    lengths = np.array([len(w) for w in spelled])
+    got = language.word_scores(np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(lengths) - lengths, lengths, keys, prob)
+    assert np.exp(got[:, 0]) == pytest.approx([total(w) for w in spelled])
+
+
+def test_surrogates(spark):
+    card = "4539578763621486"
+    text = f"Write to Ann.Lee@mail.example.com or +1 (212) 555-7713, card {card}, ip 10.20.30.40, ssn 123-45-6789. Mrs Jane Dow and Mr Иван Петров know."
+    again = "ann.lee@MAIL.example.com called +1 212 555 7713. token = \"" + "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" + "\""
+    rows = [(1, text), (2, again), (3, None), (4, ""), (5, "nothing private here"), (5, "nothing private here"), (None, text)]
+    got = {r.doc_id: r for r in surrogates.replace_entities(table(spark, rows), "k", keep=("n",)).collect()}
+    out = got[1].text
+    for secret in ("Ann.Lee", "212", card, "10.20.30.40", "123-45-6789", "Jane", "Dow", "Иван", "Петров"):
+        assert secret not in out
+    assert got[1].kinds == ["card", "email", "ip", "name", "phone", "ssn"]
+    made = next(w.strip(",") for w in out.split() if w.strip(",").isdigit())
+    digits = [int(c) for c in made]
+    check = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
+    assert len(made) == 16 and check % 10 == 0
+    # the same entity written otherwise gets the same replacement in the other writing
+    mail = out.split()[2]
+    assert got[2].text.split()[0].lower() == mail.lower()
+    phone = "".join(c for c in out[out.index("+1") : out.index(", card")] if c.isdigit())
+    assert phone == "".join(c for c in got[2].text[got[2].text.index("+1") : got[2].text.index(". token")] if c.isdigit())
+    assert any(f"Mrs {n} " in out for n in surrogates.NAMES["f", "latin"]) and any(f"Mr {n} " in out for n in surrogates.NAMES["m", "cyrillic"])
+    assert got[3].text is None and got[4].text == "" and got[5].text == "nothing private here" and got[None].text == out
+    other = {r.doc_id: r for r in surrogates.replace_entities(table(spark, rows), "another key").collect()}
+    assert other[1].text != out
+    assert surrogates.replace_entities(table(spark, []), "k").collect() == []
+
+
+def test_surrogates_stay_distinct(spark):
+    # three digits leave many collisions to settle
+    many = spark.createDataFrame([(f"10.0.{a}.{b}",) for a in range(20) for b in range(20)] + [(f"Mr Max{chr(97 + k)}",) for k in range(10)], "e string")
+    got = surrogates.mapping(many, "k").collect()
+    ips = [r for r in got if r.kind == "ip"]
+    assert len({r.new for r in ips}) == 400 and not {r.new for r in ips} & {r.e for r in ips}
