@@ -38,7 +38,18 @@ def op4(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
-@query("op5_nearest_neighbours")
+# the exact answer, summed in the order of the components; the search finds the same where it misses no neighbour
+EXACT_NEIGHBOURS = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  scored AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(v.e, q.e), lambda p: p[1] * p[2]), lambda a, b: a + b)
+      / (sqrt(list_reduce(list_transform(v.e, lambda x: x * x), lambda a, b: a + b)) * sqrt(list_reduce(list_transform(q.e, lambda x: x * x), lambda a, b: a + b))) AS score
+    FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
+@query("op5_nearest_neighbours", EXACT_NEIGHBOURS)
 def op5(spark, folder):
     vectors = neighbours.usable(table(spark, folder, "embeddings"))
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
