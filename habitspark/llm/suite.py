@@ -83,6 +83,21 @@ def op9(spark, folder):
     return surrogates.replace_entities(table(spark, folder, "documents"), key="registered query")
 
 
-@query("op10_ngram_jaccard_join")
+DOCUMENT_LINKS = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+  shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * m >= 80 * (p.n + q.n - m)),
+  edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT doc_id AS node, doc_id AS found FROM words UNION SELECT node, y FROM reach JOIN edges ON found = x)
+SELECT node AS doc_id, coalesce(max(n), 0) AS n_shingles, min(found) AS component_id FROM reach LEFT JOIN sizes ON doc_id = node GROUP BY node"""
+
+
+@query("op10_ngram_jaccard_join", DOCUMENT_LINKS)
 def op10(spark, folder):
     return jaccard.link_documents(table(spark, folder, "documents"))
