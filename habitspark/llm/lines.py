@@ -8,174 +8,225 @@ too short to judge and always stay.
 Equal sets are one class, found by digest. For different sets, words are ordered by rarity:
 by the magnitude of a count kept in a table of fixed size (4 MB, words share
 counters by hash), then by hash. Any two similar sets share a word among the first
-few of each, the prefix. Pairs that share one pass the length and the positional
-filter before their whole sets are compared. A prefix word of more than ``COMMON`` classes is not paired directly: all its
-classes are compared with the earliest one, and those still without an earlier match
-meet the others on pairs of prefix words.
+few of each, the prefix, and a second one among those and the next. A class is listed under each rare word of its prefix, and
+for a common word (over ``COMMON`` lines) under the pairs of that word and each later one instead, so lists stay short. Pairs on one list pass the length and the
+positional filter, and one on 64 parities of the words of each set, before their whole sets are
+compared. A list that is long all the same is not paired directly: all its classes are compared with the
+earliest one, and those still without an earlier match then meet the others.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitspark.llm import words
 from habitspark.plans.scale import broadcast_bytes_limit, stored
 
-COMMON = 64
+COMMON = 1024
+NEAREST = 1
 POSTINGS = 250_000
 FLUSH = 250_000
 SKETCH_BITS = 22
 PAGE_BITS = 12
 
 
-def _digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _sorted(high: np.ndarray, mid: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """Order by ``high`` (below 2^18), then ``mid`` (below 2^8), then hash."""
+    key = high.astype(np.uint64) << np.uint64(46)
+    if mid is None:
+        key |= h >> np.uint64(18)
+    else:
+        key |= mid.astype(np.uint64) << np.uint64(38) | h >> np.uint64(26)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    # bits cut off may only hide equal hashes
+    if (same & (h[order][1:] != h[order][:-1])).any():
+        return np.lexsort((h, high) if mid is None else (h, mid, high))
+    return order
 
 
-def line_sets(column: pa.Array, min_tokens: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """For every text its lines of enough distinct words: (line number, sorted word hashes)."""
-    for _, w in words.slices(column):
+class Lines:
+    """The lines of enough words of some texts: sets of word hashes, one after the other."""
+
+    def __init__(self, w: words.Words, min_tokens: int, base: int):
         h = w.hashes()
         feeds = np.flatnonzero(w.data == 10)
-        # number of line feeds before each word, and before each text
-        row = np.searchsorted(feeds, w.starts)
-        base = np.searchsorted(feeds, w.offsets[:-1])
-        for t, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-            out: list = []
-            if b > a:
-                r = row[a:b] - base[t]
-                cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).tolist()
-                for x, y in zip(cuts, [*cuts[1:], b - a]):
-                    if y - x >= min_tokens:
-                        s = np.unique(h[a + x : a + y])
-                        if len(s) >= min_tokens:
-                            out.append((int(r[x]), s))
-            yield out
-
-
-def _sketch_counts(min_tokens: int):
-    def packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pages = counts.reshape(-1, 1 << PAGE_BITS)
-        keys, at, n = [], [], []
-        for page in np.flatnonzero(pages.any(axis=1)):
-            used = np.flatnonzero(pages[page])
-            keys.append(int(page))
-            at.append(used.astype(np.uint16).tobytes())
-            n.append(pages[page][used].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["page", "at", "n"])
+        text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        # a new text is a new line as well
+        row = np.searchsorted(feeds, w.starts) + text
+        order = _sorted(row, None, h) if len(h) and row[-1] < 1 << 18 else np.lexsort((h, row))
+        h, row = h[order], row[order]
+        fresh = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
+        h, row, text = h[fresh], row[fresh], text[fresh]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(h)])
+        long = n >= min_tokens
+        self.hashes = h[np.repeat(long, n)]
+        self.n = n[long]
+        self.first = np.cumsum(self.n) - self.n
+        self.text = text[first[long]] + base
+        self.number = row[first[long]] - text[first[long]] - np.searchsorted(feeds, w.offsets[:-1])[text[first[long]]]
+        if len(self.n):
+            one = np.add.reduceat(words.mix(self.hashes), self.first)
+            two = np.add.reduceat(words.mix(self.hashes ^ np.uint64(0x2545F4914F6CDD1D)), self.first)
+            self.cls = words.mix(one ^ words.mix(two + self.n.astype(np.uint64))).view(np.int64)
+            bit = np.uint64(1) << ((self.hashes >> np.uint64(7)) & np.uint64(63))
+            self.parity = np.bitwise_xor.reduceat(bit, self.first).view(np.int64)
+        else:
+            self.cls = self.parity = np.zeros(0, np.int64)
+
+
+def lines_of(column: pa.Array, min_tokens: int) -> Iterator[Lines]:
+    for at, w in words.slices(column):
+        yield Lines(w, min_tokens, at)
+
+
+def _summaries(min_tokens: int):
+    """Lines (page null), and per task the counts of words (doc_id and line null) in pages of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        names = ["doc_id", "line", "cls", "n", "parity", "page", "at", "counts"]
         for batch in batches:
-            for lines in line_sets(batch.column(0), min_tokens):
-                if lines:
-                    np.add.at(counts, np.concatenate([s for _, s in lines]) >> np.uint64(64 - SKETCH_BITS), 1)
-        yield from packed(counts)
+            for found in lines_of(batch.column(1), min_tokens):
+                m = len(found.n)
+                slot = np.sort((found.hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+                counts[slot[first]] += np.diff(np.r_[first, len(slot)]).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.cls), pa.array(found.n.astype(np.int32)),
+                        pa.array(found.parity), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
+                    ],
+                    names,
+                )
+        pages = counts.reshape(-1, 1 << PAGE_BITS)
+        used = np.flatnonzero(pages.any(axis=1))
+        at = [np.flatnonzero(pages[p]).astype(np.uint16) for p in used]
+        m = len(used)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
+                pa.array(used.astype(np.int32)), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([pages[p][a].tobytes() for p, a in zip(used, at)], pa.binary()),
+            ],
+            names,
+        )
 
     return run
 
 
 def _page(table: pa.Table) -> pa.Table:
     total = np.zeros(1 << PAGE_BITS, np.int64)
-    for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
+    for at, n in zip(table["at"].to_pylist(), table["counts"].to_pylist()):
         total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
     level = np.ceil(np.log2(np.maximum(total, 1)) * 4).astype(np.uint8)
     return pa.table({"page": table["page"][:1], "level": pa.array([level.tobytes()], pa.binary())})
 
 
-def rarity(texts: DataFrame, min_tokens: int) -> bytes:
+def rarity(summaries: DataFrame) -> bytes:
     """Magnitude of the number of lines that hold a word, one byte for each hash range."""
-    pages = (
-        texts.mapInArrow(_sketch_counts(min_tokens), "page int, at binary, n binary")
-        .groupBy("page")
-        .applyInArrow(_page, "page int, level binary")
-    )
+    pages = summaries.filter("page is not null").select("page", "at", "counts").groupBy("page").applyInArrow(_page, "page int, level binary")
     out = bytearray(1 << SKETCH_BITS)
     for page, level in pages.collect():  # at most 2^SKETCH_BITS bytes, whatever the input
         out[page << PAGE_BITS : (page + 1) << PAGE_BITS] = level
     return bytes(out)
 
 
-def _ordered(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, level[s >> np.uint64(64 - SKETCH_BITS)]))]
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-n * percent // 100) + 1
+
 
+def _keys(found: Lines, new: np.ndarray, percent: int, level: np.ndarray, common_level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the prefixes of the marked lines, with the line and the rank of the first word of each key."""
+    line = np.repeat(np.arange(len(found.n)), found.n)
+    often = level[found.hashes >> np.uint64(64 - SKETCH_BITS)]
+    order = _sorted(line, often, found.hashes) if line[-1] < 1 << 18 else np.lexsort((found.hashes, often, line))
+    hashes, often = found.hashes[order], often[order]
+    rank = np.arange(len(line)) - found.first[line] + 1
+    length = _need(found.n, percent)[line]
+    first = (rank <= length) & new[line]
+    # a word counted once has no other line
+    one = np.flatnonzero(first & (often > 0) & (often <= common_level))
+    two = np.flatnonzero(first & (often > common_level))
+    times = length[two] + 1 - rank[two]
+    two = np.repeat(two, times)
+    later = two + 1 + np.arange(len(two)) - np.repeat(np.cumsum(times) - times, times)
+    pairs = words.mix(hashes[two] * np.uint64(3) + words.mix(hashes[later]))
+    at = np.r_[one, two]
+    return np.r_[hashes[one], pairs], line[at], rank[at]
 
-def _need(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
 
+def _common_level(long_list: int) -> int:
+    return int(np.floor(np.log2(long_list) * 4))
 
-def _summaries(min_tokens: int):
+
+def _keys_of_classes(min_tokens: int, percent: int, level_bytes: bytes, long_list: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(level_bytes, np.uint8)
         for batch in batches:
-            ids, at, cls, n = [], [], [], []
-            for doc, lines in zip(batch.column(0).to_pylist(), line_sets(batch.column(1), min_tokens)):
-                for number, s in lines:
-                    ids.append(doc)
-                    at.append(number)
-                    cls.append(_digest(s))
-                    n.append(len(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(cls, pa.int64()), pa.array(n, pa.int32())],
-                ["doc_id", "line", "cls", "n"],
-            )
+            for found in lines_of(batch.column(0), min_tokens):
+                if len(found.n):
+                    keys, line, _ = _keys(found, np.ones(len(found.n), bool), percent, level, _common_level(long_list))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.cls[line]), pa.array(keys.view(np.int64))], ["cls", "key"])
 
     return run
 
 
-def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int):
-    def flush(hashes: list, cls: list, sizes: list) -> Iterator[pa.RecordBatch]:
-        if not hashes:
-            return
-        counts = np.array([len(x) for x in hashes])
-        h = np.concatenate(hashes)
-        own = np.repeat(np.array(cls, np.int64), counts)
-        rank = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-        shape = (np.repeat(np.array(sizes), counts) << 20 | rank).astype(np.int64)
+def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, long_list: int, wanted: np.ndarray | None):
+    """Distinct lines under the keys (the wanted ones, sorted) of their prefixes: hash, class, size, rank of the first word, parities, document."""
+
+    def flush(parts: list) -> Iterator[pa.RecordBatch]:
+        h, own, n, rank, parity, doc = (np.concatenate([p[i] for p in parts]) for i in range(6))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         # of a word that is common within this batch already, enough classes to show it go to its bucket
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-        over = order[place > COMMON]
+        over = order[place > long_list]
         bucket[over] = -1 - own[over] % buckets
         order = np.lexsort((h, bucket))
-        h, own, shape, bucket = h[order], own[order], shape[order], bucket[order]
+        bucket = bucket[order]
+        values = [v[order] for v in (h, own, n.astype(np.uint32), rank.astype(np.uint32), parity, doc)]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = np.r_[cuts[1:], len(h)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cuts]), *[pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for v in (h, own, shape)]],
-            ["bucket", "hashes", "owners", "shapes"],
+            [pa.array(bucket[cuts]), *[pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for v in values]],
+            ["bucket", "hashes", "owners", "sizes", "ranks", "maps", "docs"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(level_bytes, np.uint8)
-        hashes: list = []
-        cls: list = []
-        sizes: list = []
-        seen: set = set()
+        parts: list = []
+        seen = np.zeros(0, np.int64)
         held = 0
         for batch in batches:
-            for lines in line_sets(batch.column(0), min_tokens):
-                for _, s in lines:
-                    c = _digest(s)
-                    if c in seen:
-                        continue
-                    seen.add(c)
-                    part = _ordered(s, level)[: _need(len(s), percent)]
-                    hashes.append(part)
-                    cls.append(c)
-                    sizes.append(len(s))
-                    held += len(part)
+            ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
+            for found in lines_of(batch.column(1), min_tokens):
+                if not len(found.n):
+                    continue
+                _, once = np.unique(found.cls, return_index=True)
+                new = np.zeros(len(found.n), bool)
+                new[once] = True
+                new &= ~np.isin(found.cls, seen)
+                keys, at, rank = _keys(found, new, percent, level, _common_level(long_list))
+                if wanted is not None:
+                    place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                    hit = wanted[place] == keys
+                    keys, at, rank = keys[hit], at[hit], rank[hit]
+                parts.append((keys, found.cls[at], found.n[at], rank, found.parity[at], ids[found.text[at]]))
+                seen = np.concatenate([seen, found.cls[new]])
+                held += len(at)
                 if held >= FLUSH:
-                    yield from flush(hashes, cls, sizes)
-                    hashes, cls, sizes, seen, held = [], [], [], set(), 0
-        yield from flush(hashes, cls, sizes)
+                    yield from flush(parts)
+                    parts, held, seen = [], 0, np.zeros(0, np.int64)
+        if parts and held:
+            yield from flush(parts)
 
     return run
 
@@ -184,41 +235,64 @@ def _least(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n_a + n_b) * percent // (100 + percent))
 
 
-def _bucket(percent: int):
+def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int | None):
+    """Pairs of classes that pass the length, positional and parity filters; classes on long lists (b null).
+
+    A class gets the ``nearest`` earliest partners of a list (by the document ids at hand); a row without a key
+    and partner says that it has more. Without that limit, and with ``only``, pairs of these classes are given in full.
+    """
+
     def run(table: pa.Table) -> pa.Table:
-        h, own, shape = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("hashes", np.uint64), ("owners", np.int64), ("shapes", np.int64)))
+        kinds = (("hashes", np.uint64), ("owners", np.int64), ("sizes", np.uint32), ("ranks", np.uint32), ("maps", np.uint64), ("docs", np.int64))
+        h, own, n, rank, parity, doc = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in kinds)
         if table["bucket"][0].as_py() < 0:
-            return pa.table({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "word": pa.array(h.view(np.int64))})
-        order = np.lexsort((own, h))
-        h, own, shape = h[order], own[order], shape[order]
+            return pa.table({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "key": pa.array(h.view(np.int64))})
+        order = np.lexsort((doc, own, h))
+        h, own = h[order], own[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]
-        h, own, shape = h[fresh], own[fresh], shape[fresh]
+        order = order[fresh]
+        h, own, doc = h[fresh], own[fresh], doc[order]
+        again = np.lexsort((own, doc, h))  # earliest documents first within a list
+        h, own, order = h[again], own[again], order[again]
+        n, rank, parity = n[order].astype(np.int64), rank[order].astype(np.int64), parity[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[first, len(h)])
-        common = np.repeat(size > COMMON, size)
-        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for m in np.unique(size[(size > 1) & (size <= COMMON)]).tolist():
+        common = np.repeat(size > long_list, size)
+        lefts, rights, more = ([np.zeros(0, np.int64)] for _ in range(3))
+        for m in np.unique(size[(size > 1) & (size <= long_list)]).tolist():
             at = first[size == m][:, None] + np.arange(m)
-            i, j = np.triu_indices(m, 1)
-            for block in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
-                a, b = block[:, i].ravel(), block[:, j].ravel()
-                na, nb, ra, rb = shape[a] >> 20, shape[b] >> 20, shape[a] & 0xFFFFF, shape[b] & 0xFFFFF
-                ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (
-                    np.minimum(ra, rb) + np.minimum(na - ra, nb - rb) >= _least(na, nb, percent)
-                )
-                lefts.append(own[a[ok]])
-                rights.append(own[b[ok]])
+            # later classes of a list down, earlier ones across; so a class's pairs lie in one run
+            j, i = np.tril_indices(m, -1)
+            for block in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+                a, b = block[:, i], block[:, j]
+                na, nb, ra, rb = n[a], n[b], rank[a], rank[b]
+                need = _least(na, nb, percent)
+                ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (np.minimum(ra, rb) + np.minimum(na - ra, nb - rb) >= need)
+                # every parity that differs is a word that only one of the two has
+                ok &= np.bitwise_count(parity[a] ^ parity[b]) <= na + nb - 2 * need
+                a, b, list_of = own[a[ok]], own[b[ok]], np.nonzero(ok)[0]
+                if nearest is not None and len(a):
+                    run_start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (list_of[1:] != list_of[:-1])])
+                    place = np.arange(len(b)) - np.repeat(run_start, np.diff(np.r_[run_start, len(b)]))
+                    more.append(np.unique(b[place >= nearest]))
+                    a, b = a[place < nearest], b[place < nearest]
+                if only is not None:
+                    take = np.isin(a, only) | np.isin(b, only)
+                    a, b = a[take], b[take]
+                lefts.append(a)
+                rights.append(b)
         a, b = np.concatenate(lefts), np.concatenate(rights)
+        a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         a, b = a[start], b[start]
-        none = pa.nulls(len(a), pa.int64())
+        longer, extra = np.flatnonzero(common), np.unique(np.concatenate(more))
         return pa.table(
             {
-                "a": pa.array(np.r_[a, own[common]]),
-                "b": pa.concat_arrays([pa.array(b), pa.nulls(int(common.sum()), pa.int64())]),
-                "word": pa.concat_arrays([none, pa.array(h[common].view(np.int64))]),
+                "a": pa.array(np.r_[a, own[longer], extra]),
+                "b": pa.concat_arrays([pa.array(b), pa.nulls(len(longer) + len(extra), pa.int64())]),
+                "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(h[longer].view(np.int64)), pa.nulls(len(extra), pa.int64())]),
             }
         )
 
@@ -228,36 +302,13 @@ def _bucket(percent: int):
 def _sets(min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {_digest(s): s for lines in line_sets(batch.column(0), min_tokens) for _, s in lines}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["cls", "tokens"]
-            )
-
-    return run
-
-
-def _pair_keys(percent: int, level_bytes: bytes):
-    """Keys of two words: a common one of the prefix and a later one of the prefix and the word after it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(level_bytes, np.uint8)
-        for batch in batches:
-            keys, cls, n, rank = [], [], [], []
-            for c, raw, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                p = _need(len(s), percent)
-                part = _ordered(s, level)[: p + 1]
-                is_hot = np.isin(part[:p].view(np.int64), np.array(hot, np.int64))
-                for i in np.flatnonzero(is_hot).tolist():
-                    rest = part[i + 1 :]
-                    keys.append(words.mix(part[i] * np.uint64(3) + words.mix(rest)))
-                    cls += [c] * len(rest)
-                    n += [len(s)] * len(rest)
-                    rank += [i + 1] * len(rest)
-            k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(rank, pa.int32())], ["key", "cls", "n", "rank"]
-            )
+            for found in lines_of(batch.column(1), min_tokens):
+                ends = pa.array(np.r_[0, np.cumsum(found.n)] * 8, pa.int64())
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found.n), [None, ends.buffers()[1], pa.py_buffer(found.hashes.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.cls), sets.cast(pa.binary())],
+                    ["doc_id", "line", "cls", "tokens"],
+                )
 
     return run
 
@@ -292,14 +343,19 @@ def _without(min_tokens: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, gone = [], [], []
-            for text, drop, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), line_sets(batch.column(1), min_tokens)):
-                parts = text.split("\n") if text is not None else []
-                counts.append(len(parts))
-                marked = {(d["line"], d["cls"]) for d in drop or ()}
-                out = {number for number, s in lines if (number, _digest(s)) in marked} if marked else set()
-                gone.append(len(out))
-                texts.append("\n".join(p for i, p in enumerate(parts) if i not in out) if out else text)
+            texts = batch.column(1).to_pylist()
+            counts = [len(t.split("\n")) if t is not None else 0 for t in texts]
+            gone = [0] * len(texts)
+            marked = [k for k, d in enumerate(batch.column(2).is_valid().to_pylist()) if d and texts[k] is not None]
+            drops = [{(d["line"], d["cls"]) for d in batch.column(2)[k].as_py()} for k in marked]
+            cut: list[set] = [set() for _ in marked]
+            for found in lines_of(batch.column(1).take(pa.array(marked, pa.int64())), min_tokens):
+                for k, number, cls in zip(found.text.tolist(), found.number.tolist(), found.cls.tolist()):
+                    if (number, cls) in drops[k]:
+                        cut[k].add(number)
+            for k, out in zip(marked, cut):
+                texts[k] = "\n".join(p for i, p in enumerate(texts[k].split("\n")) if i not in out)
+                gone[k] = len(out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), *[batch.column(i) for i in range(3, batch.num_columns)]],
                 ["doc_id", "text", "n_lines", "n_removed", *batch.schema.names[3:]],
@@ -314,7 +370,7 @@ def _hinted(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def deduplicate_lines(
-    docs: DataFrame, percent: int = 80, min_tokens: int = 5, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, percent: int = 80, min_tokens: int = 5, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), long_list: int = COMMON
 ) -> DataFrame:
     """Documents without repeated lines: ``doc_id``, ``text``, ``n_lines``, ``n_removed`` and the columns ``keep``.
 
@@ -322,64 +378,98 @@ def deduplicate_lines(
     lines, an empty one is one empty line. Every input row comes back; a document may become
     empty. Rows with the same id count as one place in the order: equal lines at the same
     place of such rows are one line and stay together. A null id comes before all others.
-    Column names of the input other than the named ones do not matter.
+    Column names of the input other than the named ones do not matter. ``long_list`` only moves work between the
+    two ways of comparing.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
-    texts = rows.select("text").filter(F.col("text").isNotNull())
-    level = rarity(texts, min_tokens)
-    lines = stored(rows.select("doc_id", "text").mapInArrow(_summaries(min_tokens), "doc_id long, line int, cls long, n int"))
+    summaries = stored(
+        rows.select("doc_id", "text").mapInArrow(_summaries(min_tokens), "doc_id long, line int, cls long, n int, parity long, page int, at binary, counts binary")
+    )
+    level = rarity(summaries)
+    lines = summaries.filter("page is null").select("doc_id", "line", "cls", "n", "parity")
     classes = stored(
         lines.groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"))
-        .select("cls", "at.doc_id", "at.line", "n")
+        .agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+        .select("cls", "at.doc_id", "at.line", "n", "parity")
     )
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSTINGS))
-    index = stored(
-        texts.mapInArrow(_postings(min_tokens, percent, level, buckets), "bucket long, hashes binary, owners binary, shapes binary")
-        .groupBy("bucket")
-        .applyInArrow(_bucket(percent), "a long, b long, word long")
-    )
-    common = index.filter("b is null").select("word", F.col("a").alias("cls")).distinct()
-    place = classes.select("cls", F.struct("doc_id", "line", "cls").alias("at"))
-    hubs = common.join(place, "cls").groupBy("word").agg(F.min("at").alias("hub")).select("word", F.col("hub.cls").alias("hub"))
-    starred = common.join(hubs, "word").filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    n_of = classes.select("cls", "n")
-    sized = (
-        starred.distinct()
-        .join(n_of.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-        .join(n_of.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b")
-    )
+
+    def indexed(only: np.ndarray | None, every: int | None, keys: np.ndarray | None = None) -> DataFrame:
+        listed = rows.select("doc_id", "text").mapInArrow(
+            _postings(min_tokens, percent, level, buckets, long_list, keys), "bucket long, hashes binary, owners binary, sizes binary, ranks binary, maps binary, docs binary"
+        )
+        return stored(listed.groupBy("bucket").applyInArrow(_bucket(percent, long_list, only, every), "a long, b long, key long"))
+
+    index = indexed(None, NEAREST)
+    common = index.filter("b is null and key is not null").select("key", F.col("a").alias("cls")).distinct()
+    placed = common.join(classes.select("cls", "n", "parity", F.struct("doc_id", "line", "cls").alias("at")), "cls")
+    hubs = placed.groupBy("key").agg(F.min("at").alias("hub")).select("key", F.col("hub.cls").alias("hub"))
+    starred = common.join(hubs, "key").filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("parity").alias("p" + s))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("na") + F.col("nb") - 2 * need)
+    sized = starred.distinct().join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
     first_pairs = stored(
         index.filter("b is not null").select("a", "b").unionByName(sized)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    hot = stored(common.groupBy("cls").agg(F.collect_set("word").alias("hot")))
-    wanted = stored(first_pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct())
-    found = texts.mapInArrow(_sets(min_tokens), "cls long, tokens binary").join(_hinted(wanted, 32), "cls", "left_semi")
-    sets = stored(found.dropDuplicates(["cls"]))
-    matched = stored(_later(first_pairs, sets, classes, percent))
-
-    # classes of common words that have no earlier match yet meet on pairs of words
-    keys = stored(
-        sets.join(hot, "cls").select("cls", "tokens", "hot").mapInArrow(_pair_keys(percent, level), "key long, cls long, n int, rank int")
-        .join(place, "cls")
-        .join(matched.withColumn("done", F.lit(True)), "cls", "left")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Word sets of the classes in some pairs, from their first lines."""
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "line"), "cls"))
+        holders = stored(wanted.select(F.col("doc_id").alias("_id")).distinct())
+        holding = rows.select("doc_id", "text").join(_hinted(holders, 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        found = holding.mapInArrow(_sets(min_tokens), "doc_id long, line int, cls long, tokens binary")
+        at = wanted.select(F.col("cls").alias("_c"), F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
+        here = (F.col("cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
+        return stored(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        return stored(_later(pairs, sets_of(pairs), classes, percent))
+
+    # every class first with the earliest it may match; most that match at all are settled by that
+    at = classes.select("cls", F.struct("doc_id", "line", "cls").alias("at"))
+    placed_pairs = first_pairs.join(at.select(F.col("cls").alias("a"), F.col("at").alias("at_a")), "a").join(
+        at.select(F.col("cls").alias("b"), F.col("at").alias("at_b")), "b"
     )
-    x = keys.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("at").alias("at_a"))
-    z = keys.filter("done is null").select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("at").alias("at_b"))
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
-    rest = (
-        x.join(z, "key").filter("at_a < at_b")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .filter(F.least("ra", "rb") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(first_pairs, ["a", "b"], "left_anti")
+    directed = stored(placed_pairs.select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b")["cls"].alias("late")))
+    unordered = lambda early, late: (F.least(early, late).alias("a"), F.greatest(early, late).alias("b"))
+    earliest = stored(directed.groupBy("late").agg(F.min("early")["cls"].alias("early")))
+    matched = matches(earliest.select(*unordered("early", "late")))
+    open_pairs = stored(
+        directed.select("late", F.col("early.cls").alias("early")).join(matched.withColumnRenamed("cls", "late"), "late", "left_anti")
+        .join(earliest, ["late", "early"], "left_anti").select(*unordered("early", "late"))
     )
-    matched = matched.unionByName(_later(rest, sets, classes, percent)).distinct()
+    if not open_pairs.isEmpty():
+        matched = stored(matched.unionByName(matches(open_pairs)).distinct())
+
+    # classes with further partners on some list, and without an earlier match among the first ones
+    beyond = index.filter("b is null and key is null").select(F.col("a").alias("cls")).distinct()
+    beyond = stored(beyond.join(matched, "cls", "left_anti"))
+    waiting = beyond.count()
+    if waiting:
+        few = waiting * 8 <= broadcast_bytes_limit(spark)
+        holding = rows.select("doc_id", "text").join(
+            _hinted(stored(beyond.join(classes, "cls").select(F.col("doc_id").alias("_id")).distinct()), 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
+        )
+        theirs = holding.select("text").mapInArrow(_keys_of_classes(min_tokens, percent, level, long_list), "cls long, key long")
+        lists = stored(theirs.join(_hinted(beyond, 24), "cls", "left_semi").select("key").distinct())
+        # their lists alone, if those are few enough to name
+        named = 0 < lists.count() * 8 <= broadcast_bytes_limit(spark)
+        keys = np.sort(lists.toArrow()["key"].to_numpy().view(np.uint64)) if named else None
+        again = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, keys).filter("b is not null").select("a", "b").distinct()
+        ends = again.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(beyond, "cls", "left_semi").select("a", "b").distinct()
+        matched = stored(matched.unionByName(matches(stored(ends.join(first_pairs, ["a", "b"], "left_anti")))).distinct())
+
+    # classes of long lists that have no earlier match yet meet the others of their lists
+    keys = stored(placed.join(matched.withColumn("done", F.lit(True)), "cls", "left"))
+    x = keys.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("parity").alias("pa"))
+    z = keys.filter("done is null").select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("parity").alias("pb"))
+    rest = stored(x.join(z, "key").filter("at_a < at_b").filter(alike).select(*unordered("a", "b")).distinct().join(first_pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        matched = stored(matched.unionByName(matches(rest)).distinct())
     heads = classes.join(matched, "cls", "left_anti").select("cls", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
     removed = (
         lines.join(heads, "cls", "left")
