@@ -374,8 +374,10 @@ def link_documents(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", t
         F.col("rank_a") - F.col("alone_a"), F.col("rank_b") - F.col("alone_b")
     )
     ordered = _sided(x, "_a").join(_sided(x, "_b").withColumnRenamed("h_b", "h_a"), "h_a")
+    # the first shared shingle is among the first n - overlap + 1 of either set
+    early = (F.col("rank_a") <= F.col("n_a") - overlap + 1) & (F.col("rank_b") <= F.col("n_b") - overlap + 1)
     dense_pairs = (
-        ordered.filter("root_a <> root_b and cls_a < cls_b")
+        ordered.filter("root_a <> root_b and cls_a < cls_b").filter(early)
         .filter(_near_size("n_a", "n_b", percent) & (rest >= overlap) & (differ <= F.col("n_a") + F.col("n_b") - 2 * overlap))
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     )
