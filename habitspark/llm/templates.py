@@ -7,7 +7,10 @@ Windows of eight tokens with at least five literals are hashed and joined with t
 windows of the benchmark. A document holds an item if at least six different windows of
 the item (13 tokens in a row), or all of a shorter item, match and the values in the slots are consistent:
 each value of the item stands for one value of the document and the other way
-round. So a question asked again with other numbers is found, and a table of unrelated numbers is not.
+round. That is judged for every occurrence by itself: the matches at one distance between the positions of document and
+item, a stretch of matches that goes forward in both (so an occurrence with inserted words), and all
+matches of the document together. One that passes is enough. So a question asked again with other numbers is
+found, also next to the original, and a table of unrelated numbers is not.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from habitspark.llm import words
 from habitspark.plans.scale import broadcast_bytes_limit, stored
@@ -25,6 +29,7 @@ from habitspark.plans.scale import broadcast_bytes_limit, stored
 WINDOW = 8
 LITERALS = 5
 ENOUGH = 6
+GAP = 2 * WINDOW  # positions without a match that end a stretch
 CONSISTENT = 0.8
 # units of measure, currencies and time spans (fixed values)
 UNITS = (
@@ -127,26 +132,29 @@ def _windowed(wanted: np.ndarray | None):
             found = list(_windows(batch.column(1), wanted))
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)], pa.array([f[4] for f in found], pa.list_(pa.string()))],
-                ["id", "pos", "h", "total", "slots"],
-            )
+                [
+                    ids, batch.column(2).take(pa.array([f[0] for f in found], pa.int64())), *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)],
+                    pa.array([f[4] for f in found], pa.list_(pa.string())),
+                ],
+                ["id", "copy", "pos", "h", "total", "slots"],
+            )
 
     return run
 
 
-_SCHEMA = "id long, pos long, h long, total long, slots array<string>"
+_SCHEMA = "id long, copy long, pos long, h long, total long, slots array<string>"
 
 
 def windows(df: DataFrame, key: str, text: str, wanted: np.ndarray | None = None) -> DataFrame:
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).filter(F.col("text").isNotNull())
     return rows.mapInArrow(_windowed(wanted), _SCHEMA)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id``, ``item_id``, ``windows``, ``slots``, ``consistent``.
 
-    One row per document and item found. Rows with the same id are judged together, and so
-    are items; null texts hold nothing. An item without a window (under eight tokens, or mostly
+    One row per document and item found, with the figures of its occurrence of most windows. Rows with the same id are also
+    judged together, and so are items; null texts hold nothing. An item without a window (under eight tokens, or mostly
     placeholders) is never found. With no item the result is empty.
     """
     spark = docs.sparkSession
@@ -157,23 +165,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         # few enough to send along, so that only matching windows leave the scan
         wanted = np.sort(distinct.toArrow()["h"].to_numpy()).view(np.uint64)
         wanted = np.sort(wanted)
-    hits = windows(docs, doc_id, text, wanted).select(F.col("id").alias("doc_id"), "h", F.col("slots").alias("doc_slots")).distinct()
-    matched = stored(hits.join(items.select("item_id", "pos", "h", "total", "slots"), "h"))
-    per_item = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("pos").alias("windows"), F.max("total").alias("total"))
-    pairs = matched.filter(F.size("slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "doc_slots")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", F.col("s.slots").alias("there"), F.col("s.doc_slots").alias("here")).distinct()
-    seen = pairs.groupBy("doc_id", "item_id", "there").agg(F.count(F.lit(1)).alias("to"), F.min("here").alias("here"))
-    back = seen.groupBy("doc_id", "item_id", "here").agg(F.count(F.lit(1)).alias("from"), F.sum((F.col("to") == 1).cast("int")).alias("single"))
-    share = back.groupBy("doc_id", "item_id").agg(
-        F.sum("from").alias("slots"), F.sum(F.when(F.col("from") == 1, F.col("single")).otherwise(0)).alias("good")
+    hits = windows(docs, doc_id, text, wanted).select(F.col("id").alias("doc_id"), "copy", F.col("pos").alias("doc_pos"), "h", F.col("slots").alias("doc_slots"))
+    matched = stored(hits.join(items.select("item_id", F.col("copy").alias("item_copy"), "pos", "h", "total", "slots"), "h"))
+    pair = ["doc_id", "copy", "item_id", "item_copy"]
+    forward = Window.partitionBy(*pair).orderBy("doc_pos", "pos")
+    # a stretch ends where nothing matches for long, or where the item begins anew
+    back = (F.col("doc_pos") > F.lag("doc_pos").over(forward)) & (F.col("pos") < F.lag("pos").over(forward))
+    ends = F.coalesce(back | (F.col("doc_pos") - F.lag("doc_pos").over(forward) > GAP), F.lit(False))
+    stretch = F.sum(F.col("ends").cast("int")).over(forward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # each match counts for its distance, for its stretch and for the whole document
+    places = F.array(
+        F.xxhash64(F.lit("distance"), *[F.coalesce(F.col(c), F.lit(-1)) for c in pair], F.col("doc_pos") - F.col("pos")),
+        F.xxhash64(F.lit("stretch"), *[F.coalesce(F.col(c), F.lit(-1)) for c in pair], "stretch"),
+        F.xxhash64(F.lit("all"), F.col("doc_id").isNull(), F.col("item_id").isNull(), "doc_id", "item_id"),
     )
-    judged = per_item.join(share, ["doc_id", "item_id"], "left")
+    placed = matched.withColumn("ends", ends).withColumn("stretch", stretch).withColumn("place", F.explode(places))
+    per_place = placed.groupBy("doc_id", "item_id", "place").agg(F.countDistinct("pos").alias("windows"), F.max("total").alias("total"))
+    enough = stored(per_place.filter(F.col("windows") >= F.least(F.lit(ENOUGH), F.col("total"))).drop("total"))
+    pairs = placed.filter(F.size("slots") > 0).join(enough.select("place"), "place", "left_semi").select("place", F.explode(F.arrays_zip("slots", "doc_slots")).alias("s"))
+    pairs = pairs.select("place", F.col("s.slots").alias("there"), F.col("s.doc_slots").alias("here")).distinct()
+    seen = pairs.groupBy("place", "there").agg(F.count(F.lit(1)).alias("to"), F.min("here").alias("here"))
+    back = seen.groupBy("place", "here").agg(F.count(F.lit(1)).alias("from"), F.sum((F.col("to") == 1).cast("int")).alias("single"))
+    share = back.groupBy("place").agg(F.sum("from").alias("slots"), F.sum(F.when(F.col("from") == 1, F.col("single")).otherwise(0)).alias("good"))
     consistent = F.coalesce(F.col("good") / F.col("slots"), F.lit(1.0))
-    return (
-        judged.select("doc_id", "item_id", "windows", "total", F.coalesce("slots", F.lit(0)).alias("slots"), consistent.alias("consistent"))
-        .filter((F.col("windows") >= F.least(F.lit(ENOUGH), F.col("total"))) & (F.col("consistent") >= CONSISTENT))
-        .drop("total")
-    )
+    judged = enough.join(share, "place", "left").select("doc_id", "item_id", "windows", consistent.alias("consistent"), F.coalesce("slots", F.lit(0)).alias("slots"))
+    best = judged.filter(F.col("consistent") >= CONSISTENT).groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", "consistent", "slots")).alias("b"))
+    return best.select("doc_id", "item_id", "b.windows", "b.slots", "b.consistent")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

@@ -123,6 +123,28 @@ def test_inconsistent_slots_are_no_template(spark):
     assert got == {1: True, 2: False}
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    item = "A train leaves the old station at 9 km per hour with 45 passengers who pay 12 dollars for the short trip before noon"
+    moved = item.replace("45", "81").replace("12", "30").replace("9 km", "7 km")
+    longer = lambda t: t.replace("the old station", "the very old station")
+    steps = "then we add 3 cups of flour to the bowl then we add 5 cups of flour to the bowl then we add 8 cups of flour to the bowl and stir"
+    other = steps.replace("3", "4").replace("5", "4").replace("8", "4")  # one value for three
+    rows = [
+        (1, f"{item}. Some further words lie between the two of them here. {moved}."),
+        (2, f"{item}. {moved}. {item.replace('45', '12').replace('9 km', '45 km')}."),
+        (3, f"{longer(item)}. {longer(moved)}."),
+        (4, "Here it is. " + steps),
+        (5, steps.replace("3", "4").replace("5", "6").replace("8", "9")),
+        (6, other),
+        (7, moved),
+        (7, item.replace("45", "77").replace("12", "31").replace("9 km", "8 km")),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, steps)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in templates.find_leaks(table(spark, rows), bench).collect()}
+    assert sorted(found) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (7, 1)]
+    assert all(r.consistent >= templates.CONSISTENT for r in found.values())
+
+
 def test_decontamination_finds_every_verbatim_item(spark, documents):
     bench = given(spark, "benchmark")
     norm = lambda t: " ".join((t or "").lower().split())
