@@ -179,10 +179,11 @@ def _keys_of_classes(min_tokens: int, percent: int, level_bytes: bytes, long_lis
 
 
 def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, long_list: int, wanted: np.ndarray | None):
-    """Distinct lines under the keys (the wanted ones, sorted) of their prefixes: hash, class, size, rank of the first word, parities, document."""
+    """Distinct lines under the keys (the wanted ones, sorted) of their prefixes: hash, class, size, rank of the first word, parities, smallest document."""
 
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        h, own, n, rank, parity, doc = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    def flush(parts: list, seen: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, own, n, rank, parity = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        doc = least[np.searchsorted(seen, own)]
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         # of a word that is common within this batch already, enough classes to show it go to its bucket
         order = np.argsort(h, kind="stable")
@@ -203,7 +204,7 @@ def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(level_bytes, np.uint8)
         parts: list = []
-        seen = np.zeros(0, np.int64)
+        seen = least = np.zeros(0, np.int64)  # classes since the last flush, with their smallest document
         held = 0
         for batch in batches:
             ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
@@ -219,14 +220,17 @@ def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, l
                     place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
                     hit = wanted[place] == keys
                     keys, at, rank = keys[hit], at[hit], rank[hit]
-                parts.append((keys, found.cls[at], found.n[at], rank, found.parity[at], ids[found.text[at]]))
-                seen = np.concatenate([seen, found.cls[new]])
+                parts.append((keys, found.cls[at], found.n[at], rank, found.parity[at]))
+                cls, doc = np.r_[seen, found.cls], np.r_[least, ids[found.text]]
+                order = np.lexsort((doc, cls))
+                order = order[np.r_[True, cls[order][1:] != cls[order][:-1]]]
+                seen, least = cls[order], doc[order]
                 held += len(at)
                 if held >= FLUSH:
-                    yield from flush(parts)
-                    parts, held, seen = [], 0, np.zeros(0, np.int64)
+                    yield from flush(parts, seen, least)
+                    parts, held, seen, least = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
         if parts and held:
-            yield from flush(parts)
+            yield from flush(parts, seen, least)
 
     return run
 
@@ -238,8 +242,8 @@ def _least(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
 def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int | None):
     """Pairs of classes that pass the length, positional and parity filters; classes on long lists (b null).
 
-    A class gets the ``nearest`` earliest partners of a list (by the document ids at hand); a row without a key
-    and partner says that it has more. Without that limit, and with ``only``, pairs of these classes are given in full.
+    A class gets the ``nearest`` earliest partners of a list, by the smallest documents; a row without a key
+    and partner says that it has more. Within one document either of the two may be the earlier, so both are said to have more. Without that limit, and with ``only``, pairs of these classes are given in full.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,7 +257,7 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
         order = order[fresh]
         h, own, doc = h[fresh], own[fresh], doc[order]
         again = np.lexsort((own, doc, h))  # earliest documents first within a list
-        h, own, order = h[again], own[again], order[again]
+        h, own, order, doc = h[again], own[again], order[again], doc[again]
         n, rank, parity = n[order].astype(np.int64), rank[order].astype(np.int64), parity[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[first, len(h)])
@@ -270,11 +274,12 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
                 ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (np.minimum(ra, rb) + np.minimum(na - ra, nb - rb) >= need)
                 # every parity that differs is a word that only one of the two has
                 ok &= np.bitwise_count(parity[a] ^ parity[b]) <= na + nb - 2 * need
+                one_doc = doc[a[ok]] == doc[b[ok]]
                 a, b, list_of = own[a[ok]], own[b[ok]], np.nonzero(ok)[0]
                 if nearest is not None and len(a):
                     run_start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (list_of[1:] != list_of[:-1])])
                     place = np.arange(len(b)) - np.repeat(run_start, np.diff(np.r_[run_start, len(b)]))
-                    more.append(np.unique(b[place >= nearest]))
+                    more.append(np.unique(np.r_[b[place >= nearest], a[(place >= nearest) & one_doc]]))
                     a, b = a[place < nearest], b[place < nearest]
                 if only is not None:
                     take = np.isin(a, only) | np.isin(b, only)

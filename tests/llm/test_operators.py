@@ -99,6 +99,17 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark):
     assert lines.deduplicate_lines(table(spark, [])).collect() == []
 
 
+def test_line_chains_within_a_document(spark):
+    # x ~ z and z ~ y, but x not ~ y, all on the lists of their rare words: y goes only if it meets z, whatever the order of digests
+    rows = []
+    for k in range(40):
+        own = [*[f"often{i}" for i in range(4)], *[f"rare{k}n{i}" for i in range(16)], *[f"often{i}" for i in range(4, 8)]]
+        rows.append((k, "\n".join(" ".join(w) for w in (own[:20], own[2:22], own[4:24]))))
+    got = sorted((r.doc_id, r.text) for r in lines.deduplicate_lines(table(spark, rows)).collect())
+    assert got == sorted(brute.without_repeats(rows))
+    assert all("\n" not in t for _, t in got)
+
+
 def test_decontamination(spark):
     item = "A train leaves the old station at 9 km per hour with 45 passengers and Mr Miller pays 12 dollars for the short trip to London before noon"
     moved = item.replace("45", "81").replace("12", "30").replace("9 km", "7 miles").replace("Miller", "Jones")
