@@ -6,7 +6,8 @@ dimension, with two scalars per vector: its length over the inner product with i
 the width of the error bound that follows from it. A query is rotated once and rounded to eight bits, so an
 inner product is a sum of bit counts of packed words. In every block the vectors whose
 upper bound reaches the k-th best lower bound are compared exactly, in double precision on the
-original values.
+original values. A query first looks at its nearest centres, then at every other centre whose radius still
+allows a better cosine than its k-th best so far; on vectors without clusters that is most of them.
 """
 
 from __future__ import annotations
@@ -125,6 +126,38 @@ def _placed(centres: np.ndarray, probes: int):
     return run
 
 
+def _open(centres: np.ndarray, radius: np.ndarray, probes: int):
+    """The centres of every query beyond the nearest ``probes`` that may hold a cosine of at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(_matrix(batch.column(1)))
+            least = batch.column(2).to_numpy(zero_copy_only=False)
+            dot = x @ centres.T if len(x) else np.zeros((0, len(centres)))
+            near = np.argsort(-2 * dot + (centres * centres).sum(axis=1), axis=1, kind="stable")[:, :probes]
+            may = dot + radius >= least[:, None] - 1e-9
+            np.put_along_axis(may, near, False, axis=1)
+            take, centre = np.nonzero(may)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(take)) for i in range(2)], pa.array(centre.astype(np.int32))], ["vec_id", "embedding", "centre"])
+
+    return run
+
+
+def _radii(centres: np.ndarray):
+    """The largest distance from each centre to the vectors placed there, per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            far = np.sqrt(((_unit(_matrix(batch.column(0))) - centres[own]) ** 2).sum(axis=1)) if len(own) else np.zeros(0)
+            top = np.full(len(centres), -1.0)
+            np.maximum.at(top, own, far)
+            used = np.flatnonzero(top >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(top[used])], ["centre", "far"])
+
+    return run
+
+
 def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """Centres of unit vectors by a few rounds of k-means."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
@@ -156,8 +189,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` most similar vectors of every query but itself.
 
     Both frames come from ``usable``. Ties go to the smaller id; an empty frame gives no rows. A query looks
-    at the ``probes`` nearest centres; up to that many centres, every vector is estimated.
-    Centres with many vectors are split into blocks, so neither a block of vectors nor a
+    at the ``probes`` nearest centres, then at each other one that may hold a nearer vector than its ``k``-th so far, so the
+    choice of centres loses no neighbour. Centres with many vectors are split into blocks, so neither a block of vectors nor a
     block of queries grows with the data.
     """
     vectors = stored(vectors)
@@ -171,18 +204,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PR
     kind = "vec_id long, embedding array<double>, centre int"
     placed = stored(vectors.mapInArrow(_placed(centres, 1), kind))
     sizes = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).select("centre", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    asked = stored(queries.select("vec_id", "embedding").mapInArrow(_placed(centres, min(probes, len(centres))), kind).join(F.broadcast(sizes), "centre"))
-    parts = asked.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
     at = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    # at most MAX_CENTRES rows in either table that is broadcast
-    left = placed.join(F.broadcast(sizes), "centre").join(F.broadcast(parts), "centre").withColumn("block", at("blocks")).withColumn("part", every("parts"))
-    right = asked.join(F.broadcast(parts), "centre").withColumn("part", at("parts")).withColumn("block", every("blocks"))
     columns = ["centre", "block", "part", "vec_id", "embedding"]
-    best = (
-        left.select(*columns).groupBy("centre", "block", "part")
-        .cogroup(right.select(*columns).groupBy("centre", "block", "part"))
-        .applyInArrow(_search(centres, turn, k), "query_id long, vec_id long, score double")
-    )
+
+    def search(asked: DataFrame) -> DataFrame:
+        asked = stored(asked.join(F.broadcast(sizes), "centre"))
+        parts = asked.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts"))
+        # at most MAX_CENTRES rows in either table that is broadcast
+        left = placed.join(F.broadcast(sizes), "centre").join(F.broadcast(parts), "centre").withColumn("block", at("blocks")).withColumn("part", every("parts"))
+        right = asked.join(F.broadcast(parts), "centre").withColumn("part", at("parts")).withColumn("block", every("blocks"))
+        return (
+            left.select(*columns).groupBy("centre", "block", "part")
+            .cogroup(right.select(*columns).groupBy("centre", "block", "part"))
+            .applyInArrow(_search(centres, turn, k), "query_id long, vec_id long, score double")
+        )
+
+    best = search(queries.select("vec_id", "embedding").mapInArrow(_placed(centres, min(probes, len(centres))), kind))
+    if probes < len(centres):
+        best = stored(best)
+        radius = np.full(len(centres), -np.inf)
+        # one row per centre
+        for centre, far in placed.select("embedding", "centre").mapInArrow(_radii(centres), "centre int, far double").groupBy("centre").agg(F.max("far")).collect():
+            radius[centre] = far
+        kth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        least = best.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        known = queries.select("vec_id", "embedding").join(least, "vec_id", "left").select("vec_id", "embedding", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        best = best.unionByName(search(known.mapInArrow(_open(centres, radius, probes), kind)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

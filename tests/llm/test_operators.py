@@ -256,6 +256,19 @@ def test_neighbours_are_those_of_brute_force(spark):
     assert [got[0][k] for k in (1, 2)] == sorted(got[0].values(), key=lambda p: (-p[1], p[0]))[:2]
 
 
+def test_neighbours_beyond_the_nearest_centres(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CENTRE_ROWS", 15)  # 200 centres, 4 of them looked at first, no clusters
+    x = np.random.default_rng(8).standard_normal((3000, 24))
+    vectors = neighbours.usable(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    found = neighbours.nearest(vectors, vectors.filter("vec_id % 60 = 0"), probes=4).collect()
+    hits = 0
+    for q in range(0, 3000, 60):
+        cosine = neighbours.exact(x, x[q])
+        cosine[q] = -2
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-cosine)[:5].tolist()))
+    assert len(found) == 250 and hits >= 0.95 * 250
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     x = neighbours._unit(rng.standard_normal((4000, 64)))
