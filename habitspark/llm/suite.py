@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, quality, surrogates, templates, urls
+from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, quality, spellings, surrogates, templates, turntrie, urls
 from habitspark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -101,3 +101,77 @@ SELECT node AS doc_id, coalesce(max(n), 0) AS n_shingles, min(found) AS componen
 @query("op10_ngram_jaccard_join", DOCUMENT_LINKS)
 def op10(spark, folder):
     return jaccard.link_documents(table(spark, folder, "documents"))
+
+
+# crc32 by bytes: a table of 256 values, and a fold over the list of bytes
+CRC_TABLE = """crc AS MATERIALIZED (
+    SELECT list(v ORDER BY i) AS t
+    FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v
+          FROM range(256) AS r(i)))"""
+
+
+def _crc_sql(byte_list: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {byte_list}), lambda c, b: xor(c // 256, crc.t[1 + xor(c % 256, b)])), 4294967295)"
+
+
+VARIANTS = rf"""
+WITH RECURSIVE {CRC_TABLE},
+  runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents),
+  points AS (
+    SELECT run, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: unicode(x)::BIGINT) AS p FROM runs),
+  hashed AS (
+    SELECT run, {_crc_sql("flatten(list_transform(p, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + x // 64, 128 + x % 64] END))")} AS h FROM points, crc),
+  words AS (
+    SELECT word, count(*) AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+  cuts AS (SELECT word, n, i, word[1 : i] || word[i + 2 :] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+  near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+  best AS (
+    SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near),
+  forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 10 * w.n THEN b.other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+  chain AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
+
+
+@query("op11_spelling_variants", VARIANTS)
+def op11(spark, folder):
+    return spellings.spelling_variants(table(spark, folder, "documents"))
+
+
+TRIE = f"""
+WITH {CRC_TABLE},
+  own AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  hashed AS (SELECT conv_id, own.t, {_crc_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM own, crc),
+  rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(b.t[1 : a.h], []), a.t[a.h + 1 :]) AS t
+    FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+  nodes AS (
+    SELECT t[1 : d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(CASE WHEN len(t) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM rebuilt) GROUP BY p, d),
+  children AS (SELECT p[1 : depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+  own_sums AS (
+    SELECT n.p, n.depth, CASE WHEN c.p IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * octet_length(encode(n.p[n.depth].t)) END AS saved
+    FROM nodes n LEFT JOIN children c ON c.p = n.p),
+  below AS (
+    SELECT p[1 : a] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM own_sums) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN children c ON c.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1 : n.depth - 1]"""
+
+
+@query("op12_conversation_trie", TRIE)
+def op12(spark, folder):
+    return turntrie.conversation_trie(table(spark, folder, "conversations"))
