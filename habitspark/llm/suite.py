@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, quality, spellings, surrogates, templates, turntrie, urls
+from habitspark.llm import contextmix, jaccard, language, lines, mixing, neighbours, passages, quality, spellings, surrogates, templates, turntrie, urls
 from habitspark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -175,3 +175,13 @@ FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN children c ON c.p = n.p LEFT JO
 @query("op12_conversation_trie", TRIE)
 def op12(spark, folder):
     return turntrie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark, folder):
+    cut = passages.remove_repeated_passages(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -136,3 +136,20 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield np.array([whole(h[a:b])], np.uint64)
             else:
                 yield np.zeros(0, np.uint64)
+
+
+class Bytes:
+    """Hashes of any stretch of a byte array in constant time each."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=self.total[1:])
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts])
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hash of every stretch of ``size`` bytes."""
+        n = len(self.total) - size
+        return mix((self.total[size:] - self.total[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
