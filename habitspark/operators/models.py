@@ -36,7 +36,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "gam": {"n_splines": 20, "lam": 0.6, "maxIter": 100},
     "rf": {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 1, "featureSubsetStrategy": "sqrt"},
     "gbm": {"maxIter": 400, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 1.0},
-    "maxent": {"features": ("linear", "quadratic", "product"), "beta": 1.5, "background_weight": 100.0, "clamp": True, "maxIter": 200},
+    "maxent": {"features": ("linear", "quadratic", "product"), "beta": 1.5, "background_weight": 100.0, "clamp": True, "maxIter": 200, "hinges": 10},
 }
 TUNED: dict[str, dict[str, Any]] = {
     "glm": {"C": 0.5},
