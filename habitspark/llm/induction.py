@@ -2,7 +2,7 @@
 
 A suffix is of type S if it is smaller than the one that begins a byte later, else of type L; an S suffix after an L suffix
 is a star. Stars are sorted first: the strings from star to star are named by rank, and if names repeat, the string
-of names is sorted by the same procedure. Sorted stars then induce the L suffixes, and these the S suffixes: whatever leaves the
+of names is sorted by the same procedure, until it is short enough to be sorted in memory by doubling. Sorted stars then induce the L suffixes, and these the S suffixes: whatever leaves the
 queue puts the suffix that begins one place earlier into it, keyed by its first symbol. The queue keeps entries
 of equal key in the order of arrival, which is their order as suffixes.
 
@@ -18,6 +18,7 @@ import tempfile
 import numpy as np
 
 QUEUE_BYTES = 8 << 20  # entries beyond that many bytes wait on disk
+MEMORY_NAMES = 1 << 21  # strings of at most so many names are sorted in memory
 RANGES = 256  # key ranges of a queue
 BATCH = 1 << 17
 NEVER = np.iinfo(np.int32).max
@@ -220,17 +221,45 @@ def _induce(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, limit: int,
     return np.concatenate(found), np.concatenate(lengths)
 
 
-def _stars_in_order(text: np.ndarray, types: np.ndarray, limit: int) -> np.ndarray:
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by ranks of strings of doubling length; only groups of equal rank are sorted again."""
+    n = len(names)
+    live = np.argsort(names, kind="stable")
+    rank = np.zeros(n, np.int64)
+    head = np.r_[True, np.diff(names[live]) != 0]
+    rank[live] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    length = 1
+    while len(live):
+        size = np.diff(np.r_[np.flatnonzero(head), len(live)])
+        live = live[np.repeat(size > 1, size)]
+        if not len(live):
+            break
+        group = rank[live]
+        pair = group * n + rank[live + length]  # equal so far, so neither has reached the last symbol
+        order = np.argsort(pair, kind="stable")
+        live, group, pair = live[order], group[order], pair[order]
+        head = np.r_[True, pair[1:] != pair[:-1]]
+        first = np.r_[True, group[1:] != group[:-1]]
+        place = np.arange(len(live))
+        rank[live] = group + np.maximum.accumulate(np.where(head, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        length *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
+
+
+def _stars_in_order(text: np.ndarray, types: np.ndarray, limit: int, memory: int) -> np.ndarray:
     stars = np.flatnonzero(types & np.r_[False, ~types[:-1]])
     names = _names(text, stars)
-    order = np.argsort(names) if names.max() + 1 == len(stars) else suffix_array(names, limit)
-    return stars[order]
+    if names.max() + 1 == len(stars):
+        return stars[np.argsort(names)]
+    return stars[_doubled(names) if len(names) <= memory else suffix_array(names, limit, memory)]
 
 
-def _sorted(text: np.ndarray, limit: int, cap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted(text: np.ndarray, limit: int, memory: int, cap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """L suffixes ascending and S suffixes descending, with the common prefixes of neighbours."""
     types = _types(text)
-    stars = _stars_in_order(text, types, limit)
+    stars = _stars_in_order(text, types, limit, memory)
     seam, low = None, None
     if cap:
         words = _words(text, cap)
@@ -244,11 +273,11 @@ def _sorted(text: np.ndarray, limit: int, cap: int = 0) -> tuple[np.ndarray, np.
     return larger, shared, smaller, shared_s
 
 
-def suffix_array(text: np.ndarray, limit: int = QUEUE_BYTES) -> np.ndarray:
+def suffix_array(text: np.ndarray, limit: int = QUEUE_BYTES, memory: int = MEMORY_NAMES) -> np.ndarray:
     """Start positions of all suffixes in ascending order; the last symbol must be 0 and the only 0."""
     if len(text) == 1:
         return np.zeros(1, np.int64)
-    larger, _, smaller, _ = _sorted(text, limit)
+    larger, _, smaller, _ = _sorted(text, limit, memory)
     # the last symbol is a star that no other suffix induces
     both = np.concatenate([larger, smaller[::-1]]).astype(np.int64)
     kind = np.r_[np.zeros(len(larger), np.int64), np.ones(len(smaller), np.int64)]
@@ -273,12 +302,12 @@ def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -
     return out
 
 
-def repeated_starts(text: np.ndarray, size: int, limit: int = QUEUE_BYTES) -> np.ndarray:
+def repeated_starts(text: np.ndarray, size: int, limit: int = QUEUE_BYTES, memory: int = MEMORY_NAMES) -> np.ndarray:
     """Positions whose first ``size`` bytes also begin at another position; ``text`` ends with its only 0."""
     again = np.zeros(len(text), bool)
     if len(text) <= size:
         return again
-    larger, shared, smaller, shared_s = _sorted(text, limit, size)
+    larger, shared, smaller, shared_s = _sorted(text, limit, memory, size)
     for order, low in ((larger, shared), (smaller, shared_s)):
         hit = np.flatnonzero(low >= size)
         again[order[hit]] = True
