@@ -26,7 +26,7 @@ from habitspark.llm.induction import QUEUE_BYTES, repeated_starts
 from habitspark.llm.words import Bytes
 from habitspark.plans.scale import stored
 
-BLOCK = 1 << 20  # windows of a text that are looked at together
+BLOCK = 1 << 17  # bytes that are looked at together
 LONGEST_RUN = 4096
 PIECE_ROWS = 100_000  # rows that a task sends on together
 CUT_BYTES = 16 << 20
@@ -45,17 +45,30 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(values) - width + 1], out[width - size :]) if size < width else out
 
 
-def _runs(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of equal key: key, digest of the extract, first window, windows, and 2 if a window may come twice."""
+def _runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of equal key in texts that lie one after another.
+
+    Columns: index of the text, key, digest of the extract, first window, windows, and 2 if a window may come twice.
+    """
     hashes = Bytes(data)
     grams = hashes.grams(gram)
     width = size - gram + 1
     least = _slide(grams, width, np.minimum)
-    fresh = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    inside = np.zeros(len(data) + 1, np.int8)  # windows that end within their text
+    lengths = np.diff(offsets)
+    some = lengths >= size
+    inside[offsets[:-1][some]] += 1
+    inside[offsets[1:][some] - size + 1] -= 1
+    inside = np.cumsum(inside[: len(least)]) > 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge = edge[: len(least)] | np.r_[True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]
+    fresh = np.flatnonzero(edge)
     ends = np.r_[fresh[1:], len(least)]
+    fresh, ends = fresh[inside[fresh]], ends[inside[fresh]]
     pieces = -(-(ends - fresh) // LONGEST_RUN)
     starts = np.repeat(fresh, pieces) + LONGEST_RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    ends = np.r_[starts[1:], len(least)]
+    ends = np.minimum(np.repeat(ends, pieces), starts + LONGEST_RUN)
     key = least[starts]
     digest = hashes.between(starts, ends + size - 1)
     # a window can come twice in a run only if the least gram does
@@ -63,30 +76,43 @@ def _runs(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     anchors = np.flatnonzero(grams == around)
     first, last = np.searchsorted(anchors, starts), np.searchsorted(anchors, ends + width - 1)
     n = last - first
-    inside = np.repeat(np.arange(len(starts)), n)
+    run = np.repeat(np.arange(len(starts)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    same = np.bincount(inside, weights=grams[anchors[place]] == key[inside], minlength=len(starts))
-    return key, digest, starts, ends - starts, np.where(same > 1, 2, 1)
+    same = np.bincount(run, weights=grams[anchors[place]] == key[run], minlength=len(starts))
+    text = np.searchsorted(offsets, starts, "right") - 1
+    return text, key, digest, starts - offsets[text], ends - starts, np.where(same > 1, 2, 1)
 
 
 def _blocks(texts: pa.Array, size: int, gram: int) -> Iterator[tuple]:
-    """Runs of every text, a block of windows at a time: index of the text, then the columns of ``_runs``."""
+    """Runs of all texts, about ``BLOCK`` bytes at a time: index of the text, then the columns of ``_runs``."""
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def sent() -> tuple:
+        owner, begin = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        offsets = np.r_[0, np.cumsum([len(h[2]) for h in held])]
+        piece, key, digest, start, n, weight = _runs(np.concatenate([h[2] for h in held]), offsets, size, gram)
+        return owner[piece], key, digest, start + begin[piece], n, weight
+
     for at, raw in enumerate(texts):
         data = np.frombuffer(raw.as_buffer(), np.uint8) if raw.is_valid else np.zeros(0, np.uint8)
         for begin in range(0, len(data) - size + 1, BLOCK):
-            key, digest, start, n, weight = _runs(data[begin : begin + BLOCK + size - 1], size, gram)
-            yield at, key, digest, start + begin, n, weight
+            held.append((at, begin, data[begin : begin + BLOCK + size - 1]))
+            if len(held) * size >= BLOCK or sum(len(h[2]) for h in held) >= BLOCK:
+                yield sent()
+                held = []
+    if held:
+        yield sent()
 
 
 def _found(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "digest", "uid", "start", "n", "weight"]
         for batch in batches:
-            uids = batch.column(0).to_pylist()
+            uids = batch.column(0).to_numpy()
             out: list[tuple] = []
             held = 0
             for at, key, digest, start, n, weight in _blocks(batch.column(1), size, gram):
-                out.append((key.view(np.int64), digest.view(np.int64), np.full(len(key), uids[at]), start, n, weight))
+                out.append((key.view(np.int64), digest.view(np.int64), uids[at], start, n, weight))
                 held += len(key)
                 if held > PIECE_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)

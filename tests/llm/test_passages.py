@@ -24,7 +24,7 @@ def test_suffixes_in_order(kind, limit):
     for _ in range(200):
         symbols = draw.choice([1, 2, 3, 5, 200])
         text = [draw.randint(1, symbols) for _ in range(draw.randint(0, 60))] + [0]
-        got = induction.suffix_array(np.array(text, kind), limit).tolist()
+        got = induction.suffix_array(np.array(text, kind), limit, draw.choice([1, 8, 1 << 21])).tolist()
         assert got == sorted(range(len(text)), key=lambda i: text[i:])
 
 
@@ -37,14 +37,14 @@ def test_carried_prefixes_find_repeats(limit):
         text = text + text[draw.randint(0, len(text)) :] + [symbols] * draw.randint(0, 30) + [0]
         seen = collections.Counter(tuple(text[i : i + size]) for i in range(len(text) - size + 1))
         want = [i + size <= len(text) and seen[tuple(text[i : i + size])] > 1 for i in range(len(text))]
-        assert induction.repeated_starts(np.array(text, np.uint8), size, limit).tolist() == want
+        assert induction.repeated_starts(np.array(text, np.uint8), size, limit, draw.choice([1, 8, 1 << 21])).tolist() == want
 
 
 def test_large_shard_waits_on_disk():
     draw = np.random.default_rng(5)
     part = draw.integers(1, 250, 40_000).astype(np.uint8)
     text = np.r_[part, draw.integers(1, 250, 60_000).astype(np.uint8), part, np.uint8(0)]
-    small, large = (induction.repeated_starts(text, 200, limit) for limit in (1000, 1 << 30))
+    small, large = (induction.repeated_starts(text, 200, limit, memory) for limit, memory in ((1000, 100), (1 << 30, 1 << 21)))
     assert (small == large).all() and small.sum() == 2 * (40_000 - 199)
 
 
