@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.operators.audit import fold_balance, folds_with_presence
-from habitspark.plans.scale import attach, stored, measured
+from habitspark.plans.scale import attach, group_rows_limit, hash_unit, stored
 
 
 def _projection(presences: DataFrame, key: str) -> DataFrame:
@@ -39,72 +44,142 @@ def nearest_cluster(points: DataFrame, centres: DataFrame, scale: DataFrame | No
     return t.withColumn("cv_fold", F.coalesce(found, F.lit(0)).cast("int")).drop("centres", "_scale")
 
 
-def _spread(i: int) -> list[str]:
-    return [c for j in range(i) for c in (f"x{j}", f"y{j}")]
+def _moved(x: np.ndarray, y: np.ndarray, w: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For every start and cluster: weight, weighted x and y, and summed squared distance of the places nearest to its centre."""
+    starts, k, _ = centres.shape
+    out = np.zeros((starts, k, 4))
+    for s in range(starts):
+        d = (x[:, None] - centres[s, :, 0]) ** 2 + (y[:, None] - centres[s, :, 1]) ** 2
+        d[:, np.isnan(centres[s, :, 0])] = np.inf  # fewer places than clusters
+        near = d.argmin(axis=1)
+        for j, v in enumerate((w, w * x, w * y, w * d[np.arange(len(x)), near])):
+            out[s, :, j] = np.bincount(near, v, k)
+    return out
+
+
+def _means(sums: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """New centres; one without places stays where it is."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(sums[:, :, :1] > 0, sums[:, :, 1:3] / sums[:, :, :1], centres)
+
+
+def _settled(new: np.ndarray, old: np.ndarray, tolerance: float) -> bool:
+    return not np.nanmax(np.abs(new - old), initial=0.0) > tolerance
+
+
+def _best(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The start with the smallest sum of squares, the first of equals (to twelve digits, as sums depend on their order)."""
+    inertia = sums[:, :, 3].sum(axis=1)
+    return centres[int(np.flatnonzero(inertia <= inertia.min() * (1 + 1e-12))[0])]
 
 
-def _closest(k: int) -> str:
-    """(squared distance, cluster) over the k centre columns of the row; absent ones are skipped."""
-    d = [f"(x{j} - x) * (x{j} - x) + (y{j} - y) * (y{j} - y)" for j in range(k)]
-    ranked = ", ".join(f"if(x{j} IS NULL, NULL, named_struct('d', {d[j]}, 'cluster', {j}))" for j in range(k))
-    return f"array_min(array({ranked}))"
+def _array(flat: Sequence[float], k: int) -> np.ndarray:
+    return np.array(flat, float).reshape(-1, k, 2)
 
 
-def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, rounds: int | None = None, tolerance: float = 1e-4, key: str = "species"):
+def _starts(places: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """``n`` starts per group, each the ``k`` places with the smallest draws: column ``centres``, flat, null for missing places.
+
+    Draws follow from the place and the number of the start. The rank limits rows per group before the shuffle.
+    """
+    drawn = places.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("draw", hash_unit(F.col("x"), F.col("y"), F.col("start"), seed=S.SEED))
+    order = Window.partitionBy(key, "start").orderBy("draw", "x", "y")
+    first = drawn.withColumn("cluster", F.row_number().over(order) - 1).filter(F.col("cluster") < k)
+    per_start = first.groupBy(key, "start").agg(F.map_from_entries(F.collect_list(F.struct("cluster", F.struct("x", "y")))).alias("m"))
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.array(F.try_element_at("m", j)["x"], F.try_element_at("m", j)["y"])))
+    ordered = F.array_sort(F.collect_list(F.struct("start", flat.alias("c"))))
+    return per_start.groupBy(key).agg(F.flatten(F.transform(ordered, lambda s: s["c"])).alias("centres"))
+
+
+def _in_one_task(places: DataFrame, starts: DataFrame, key: str, k: int, tolerance: float) -> DataFrame:
+    """Rounds of groups whose places fit into a task."""
+
+    def run(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({key: [], "centres": []})
+        part = part.sort_values(["x", "y"])
+        x, y, w = (part[c].to_numpy(float) for c in ("x", "y", "w"))
+        centres = _array(start["centres"].iloc[0], k)
+        while True:
+            sums = _moved(x, y, w, centres)
+            new = _means(sums, centres)
+            if _settled(new, centres, tolerance):
+                return pd.DataFrame({key: [part[key].iloc[0]], "centres": [_best(new, _moved(x, y, w, new)).ravel().tolist()]})
+            centres = new
+
+    kind = starts.schema[key].dataType.simpleString()
+    return places.groupBy(key).cogroup(starts.groupBy(key)).applyInPandas(run, f"`{key}` {kind}, centres array<double>")
+
+
+def _over_tasks(places: DataFrame, starts: DataFrame, key: str, k: int, tolerance: float) -> DataFrame:
+    """Rounds of groups of any size: one pass over packed places a round, sums of all starts per group and task."""
+    kind = starts.schema[key].dataType.simpleString()
+
+    def pack(batches):
+        for frame in batches:
+            rows = [(g, part[["x", "y", "w"]].to_numpy(float).tobytes()) for g, part in frame.groupby(key, sort=False)]
+            yield pd.DataFrame(rows, columns=[key, "xyw"])
+
+    def add(batches):
+        for frame in batches:
+            rows = []
+            for g, xyw, flat in frame[[key, "xyw", "centres"]].itertuples(index=False):
+                x, y, w = np.frombuffer(xyw).reshape(-1, 3).T
+                rows += [(g, i, float(v)) for i, v in enumerate(_moved(x, y, w, _array(flat, k)).ravel())]
+            yield pd.DataFrame(rows, columns=[key, "i", "v"])
+
+    def move(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.to_dict("records"):
+                old, sums = _array(r["centres"], k), np.array(r["sums"], float).reshape(-1, k, 4)
+                if r["settled"]:
+                    rows.append((r[key], _best(old, sums).ravel().tolist(), True, True))
+                else:
+                    new = _means(sums, old)
+                    rows.append((r[key], new.ravel().tolist(), _settled(new, old, tolerance), False))
+            yield pd.DataFrame(rows, columns=[key, "centres", "settled", "done"])
+
+    packed = stored(places.select(key, "x", "y", "w").mapInPandas(pack, f"`{key}` {kind}, xyw binary"))
+    state = starts.withColumns({"settled": F.lit(False), "done": F.lit(False)})
+    ended = []
+    while True:
+        state = stored(state)
+        ended.append(state.filter("done").select(key, "centres"))
+        state = state.filter("NOT done")
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        added = attach(packed, state.select(key, "centres"), [key]).mapInPandas(add, f"`{key}` {kind}, i int, v double")
+        sums = added.groupBy(key, "i").agg(F.sum("v").alias("v")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+        state = state.join(sums, key).mapInPandas(move, f"`{key}` {kind}, centres array<double>, settled boolean, done boolean")
+
+
+def presence_clusters(presences: DataFrame, k: int = S.N_FOLDS, starts: int = 10, tolerance: float = 1e-4, key: str = "species"):
     """Cluster centres per group and the longitude scale used.
 
-    Presences are first combined to weighted localities. Starting centres are spread out
-    by taking the locality farthest from those chosen; then assignment and averaging
-    alternate until no centre moves by more than ``tolerance`` degrees (``rounds`` sets a limit, by default there is
-    none: the sum of squares falls in every round, so the loop ends). The state is one row per group with k centres, so a
-    round is one combined aggregate whatever the size of a group.
+    Presences are first combined to weighted localities. Of ``starts`` sets of starting centres, all carried together, the one
+    with the smallest sum of squares is kept. Assignment and averaging alternate until no centre of any start moves by more than
+    ``tolerance`` degrees; sums of squares fall in every round, so this ends. A group of at most
+    ``habitspark.window.maxGroupRows`` localities goes through its rounds in one task, larger ones in passes over all
+    tasks that add up sums per start and cluster. Both take the same steps.
     """
     scale = _projection(presences, key)
     places = presences.groupBy(key, "lon", "lat").agg(F.count(F.lit(1)).cast("double").alias("w"))
     places = attach(places, scale, [key]).select(key, (F.col("lon") * F.col("_scale")).alias("x"), F.col("lat").alias("y"), "w")
     places = stored(places)
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    mean = places.groupBy(key).agg((F.sum(w * x) / F.sum(w)).alias("x0"), (F.sum(w * y) / F.sum(w)).alias("y0"))
-    mean, small = measured(mean)  # the state keeps this many rows throughout
-
-    def with_state(state: DataFrame) -> DataFrame:
-        return places.join(F.broadcast(state) if small else state, key)
-
-    def carried(n: int) -> list[Column]:
-        return [F.expr(f"max({c}) AS {c}") for c in _spread(n)]  # constant within a group
-
-    # the first centre is the locality farthest from the mean, which is then left out
-    state = mean
-    for i in range(k):
-        # a group with fewer localities than k keeps fewer centres
-        t = with_state(state).selectExpr("*", f"{_closest(max(i, 1))}.d AS d")
-        far = F.expr("max(named_struct('d', d, 'x', x, 'y', y))" + (" FILTER (WHERE d > 0)" if i else ""))
-        pick = t.groupBy(key).agg(far.alias("m"), *carried(i))
-        state = pick.selectExpr(key, *_spread(i), f"m.x AS x{i}", f"m.y AS y{i}")
-    state = stored(state)
-    sums = [
-        F.expr(f"sum({v}) FILTER (WHERE cluster = {j}) AS {n}{j}")
-        for j in range(k)
-        for n, v in (("sw", "w"), ("sx", "w * x"), ("sy", "w * y"))
-    ]
-    means = [f"coalesce(s{a}{j} / sw{j}, {a}{j}) AS {a}{j}" for j in range(k) for a in ("x", "y")]
-    gap = ", ".join(f"coalesce(abs({c} - o_{c}), 0)" for c in _spread(k))
-    done = 0
-    while rounds is None or done < rounds:
-        steps = 5 if rounds is None else min(5, rounds - done)
-        done += steps
-        for step in range(steps):
-            if step == steps - 1:
-                state = start = stored(state)
-            t = with_state(state).selectExpr("*", f"{_closest(k)}.cluster AS cluster")
-            state = t.groupBy(key).agg(*sums, *carried(k)).selectExpr(key, *means)
-        state = stored(state)
-        old = start.selectExpr(key, *[f"{c} AS o_{c}" for c in _spread(k)])
-        shift = state.join(old, key).agg(F.expr(f"max(greatest({gap}))")).first()[0] or 0.0
-        if shift <= tolerance:
-            break
-    rows = ", ".join(f"named_struct('cluster', {j}, 'x', x{j}, 'y', y{j})" for j in range(k))
-    return state.selectExpr(key, f"inline(array({rows}))").filter("x IS NOT NULL"), scale
+    limit = group_rows_limit(presences.sparkSession)
+    sizes = places.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    first = stored(_starts(places, key, k, starts).join(sizes, key))
+    small, large = (first.filter(c) for c in (F.col("_n") <= limit, F.col("_n") > limit))
+    found = []
+    if not small.isEmpty():
+        found.append(_in_one_task(attach(places, small.select(key), [key], "left_semi"), small.select(key, "centres"), key, k, tolerance))
+    if not large.isEmpty():
+        found.append(_over_tasks(attach(places, large.select(key), [key], "left_semi"), large.select(key, "centres"), key, k, tolerance))
+    flat = reduce(DataFrame.unionByName, found) if found else first.select(key, "centres")
+    point = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(j.alias("cluster"), F.get("centres", 2 * j).alias("x"), F.get("centres", 2 * j + 1).alias("y")))
+    rows = stored(flat.select(key, F.explode(point).alias("c")).select(key, "c.*").filter("x IS NOT NULL AND NOT isnan(x)"))
+    return rows, scale
 
 
 def spatial_folds(df: DataFrame, k: int = S.N_FOLDS, key: str = "species") -> DataFrame:

@@ -6,15 +6,17 @@ models (linear, quadratic, product, hinge) share one fit and one scoring express
     sum of weight * log-loss  +  sum of l1_j * |coefficient_j|  +  coefficients' P coefficients / 2
 
 with a free intercept. Training rows are written once as packed pieces, clustered by species and fold; a species of any size
-is many pieces. Each round is one pass over the pieces for all models still running: a task adds up loss, gradient and
-curvature of its pieces, the sums are added per model in two steps, and one small task per model takes a proximal Newton
-step. What moves between tasks grows with models and terms, not with rows.
+is many pieces. Species of at most ``habitspark.window.maxGroupRows`` rows go through all rounds in one task each. For larger
+ones, each round is one pass over the pieces for all models still running: a task adds up loss, gradient and curvature of
+its pieces, the sums are added per model in two steps, and one small task per model takes a proximal Newton step. What
+moves between tasks then grows with models and terms, not with rows. Both take the same steps.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 from typing import Any
 
@@ -26,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitspark.operators.models import parameters, regularisation
-from habitspark.plans.scale import attach, stored
+from habitspark.plans.scale import attach, group_rows_limit, stored
 
 LINEAR = ("glm", "gam", "maxent")
 PIECE_ROWS = 4096
 TASK_ROWS = 250_000
 PARTS = 32
+MOST_TASKS = 10_000
 RIDGE = 1e-6  # splines of a predictor add up to one, so their level is only fixed by this
 TOLERANCE = 1e-12
 MOST_ROUNDS = 100
@@ -179,7 +182,7 @@ def plan_models(training: DataFrame, chosen: DataFrame, names: Sequence[str], al
                 weight = float(q["background_weight"]) if algo == "maxent" else n_pres / n_bg
                 l1 = [1.0 / q["C"] if algo == "glm" else 0.0] * len(terms)
                 rows.append((frame["species"].iloc[0], fold, algo, n_pres, n_bg, len(own), weight, float(q.get("lam", 0.0)), terms, l1))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MODEL.split(", ")]).astype({"held_out": "Int32"})
+        return pd.DataFrame(rows, columns=_FIT).astype({"held_out": "Int32"})
 
     names = list(names)
     # five folds or so per species: a small group whatever the number of rows
@@ -203,9 +206,37 @@ def _statistics(part: pd.DataFrame, n: int) -> dict[str, np.ndarray]:
     return {k: np.array(v) for k, v in out.items()}
 
 
+FITTED = (
+    "species string, held_out int, algo string, n_pres long, n_bg long, n_pred int, intercept double, shift double, "
+    f"terms array<struct<term:{TERM},coefficient:double>>, value double, rounds int, status string"
+)
+_COMMON = ["species", "held_out", "algo", "n_pres", "n_bg", "n_pred"]
+_FIT = [*_COMMON, "weight", "lam", "terms", "l1"]
+COLUMNS = {
+    MODEL: _FIT,
+    STATE: [*_FIT, "beta", "last", "move", "share", "value", "rounds", "status"],
+    FITTED: [*_COMMON, "intercept", "shift", "terms", "value", "rounds", "status"],
+}
+
+
 # ---- sums over pieces
 
 
+def _of_rows(m: Mapping[str, Any], x: np.ndarray, y: np.ndarray, mode: str) -> np.ndarray:
+    if mode == "terms":
+        z = design(x[y == 1], m["terms"])
+        return np.concatenate([z.sum(0), (z * z).sum(0)])
+    beta = np.array(m["beta"])
+    if mode == "shift":
+        return _shifted(design(x[y == 0], m["terms"]) @ beta)
+    z = design(x, m["terms"])
+    eta = z @ beta
+    w = np.where(y == 1, 1.0, m["weight"])
+    mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+    loss = (w * np.logaddexp(0.0, np.where(y == 1, -eta, eta))).sum()
+    return np.concatenate([[loss], z.T @ (w * (mu - y)), (z.T @ (z * (w * mu * (1 - mu))[:, None])).ravel()])
+
+
 def _added(width: int, mode: str):
     """Sums over the pieces of a task, one row per model.
 
@@ -213,20 +244,6 @@ def _added(width: int, mode: str):
     score over the background, and the sums of its weights and weighted scores relative to that.
     """
 
-    def of_piece(m: Mapping[str, Any], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        if mode == "terms":
-            z = design(x[y == 1], m["terms"])
-            return np.concatenate([z.sum(0), (z * z).sum(0)])
-        beta = np.array(m["beta"])
-        if mode == "shift":
-            return _shifted(design(x[y == 0], m["terms"]) @ beta)
-        z = design(x, m["terms"])
-        eta = z @ beta
-        w = np.where(y == 1, 1.0, m["weight"])
-        mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-        loss = (w * np.logaddexp(0.0, np.where(y == 1, -eta, eta))).sum()
-        return np.concatenate([[loss], z.T @ (w * (mu - y)), (z.T @ (z * (w * mu * (1 - mu))[:, None])).ravel()])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() % PARTS
         sums: dict[tuple, np.ndarray] = {}
@@ -239,7 +256,7 @@ def _added(width: int, mode: str):
                     if m["held_out"] == fold.as_py():
                         continue
                     key = (species.as_py(), m["held_out"], m["algo"])
-                    new = of_piece(m, values, labels)
+                    new = _of_rows(m, values, labels, mode)
                     held += 0 if key in sums else new.nbytes
                     sums[key] = new if key not in sums else _joined(sums[key], new, mode)
                 if held > 64 << 20:
@@ -292,7 +309,8 @@ def _sums(packed: DataFrame, models: DataFrame, width: int, mode: str) -> DataFr
     per_species = models.groupBy("species").agg(F.collect_list(F.struct(*fields)).alias("models"))
     given = attach(packed, per_species, ["species"]).select("species", "cv_fold", "x", "y", "models")
     added = given.mapInArrow(_added(width, mode), SUMS)
-    for keys in ([*KEYS, "part"], KEYS):
+    few = packed.rdd.getNumPartitions() <= PARTS  # at most one row per task and model, a few dozen in all
+    for keys in [KEYS] if few else ([*KEYS, "part"], KEYS):
         added = added.groupBy(*keys).applyInArrow(_total(mode), SUMS)
     return added.select(*KEYS, "sums")
 
@@ -337,75 +355,123 @@ def _newton(beta: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, l1: n
     return new
 
 
-def _stepped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One step of every model: shorten the last move if it went up, else take the next one or stop."""
-    for frame in frames:
-        rows = []
-        for r in frame.to_dict("records"):
-            sums = np.frombuffer(r.pop("sums"), np.float64)
-            n = len(r["terms"]) + 1
-            loss, gradient, curvature = sums[0], sums[1 : n + 1], sums[n + 1 :].reshape(n, n)
-            beta, l1 = np.array(r["beta"], float), np.r_[0.0, np.array(r["l1"], float)]
-            p = _penalty(r["terms"], r["lam"])
-            value = float(loss + (l1 * np.abs(beta)).sum() + beta @ p @ beta / 2)
-            r["rounds"] += 1
-            before = r["value"]
-            if before is not None and before == before and value > before + 1e-13 * abs(before):
-                r["share"] /= 2
-                if r["share"] < 1e-10:
-                    r["beta"], r["status"] = r["last"], "ok"
-                else:
-                    r["beta"] = (np.array(r["last"], float) + r["share"] * np.array(r["move"], float)).tolist()
-            else:
-                settled = before is not None and before == before and before - value <= TOLERANCE * (1 + abs(value))
-                new = _newton(beta, gradient + p @ beta, curvature + p, l1) if not settled else beta
-                if settled or not np.isfinite(new).all():
-                    r["status"] = "ok" if settled else "failed"
-                else:
-                    r |= {"last": beta.tolist(), "move": (new - beta).tolist(), "share": 1.0, "beta": new.tolist()}
-                r["value"] = value
-            if r["status"] == "running" and r["rounds"] >= MOST_ROUNDS:
-                r["status"] = "not converged"
-            rows.append(r)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")]).astype({"held_out": "Int32"})
-
-
-def _term_penalties(beta_factor: float):
+def _advanced(r: dict[str, Any], sums: np.ndarray) -> dict[str, Any]:
+    """One step of a model: shorten the last move if it went up, else take the next one or stop."""
+    n = len(r["terms"]) + 1
+    loss, gradient, curvature = sums[0], sums[1 : n + 1], sums[n + 1 :].reshape(n, n)
+    beta, l1 = np.array(r["beta"], float), np.r_[0.0, np.array(r["l1"], float)]
+    p = _penalty(r["terms"], r["lam"])
+    value = float(loss + (l1 * np.abs(beta)).sum() + beta @ p @ beta / 2)
+    before = r["value"]
+    known = before is not None and before == before
+    r = {**r, "rounds": r["rounds"] + 1}
+    if known and value > before + 1e-13 * abs(before):
+        r["share"] /= 2
+        if r["share"] < 1e-10:
+            r |= {"beta": r["last"], "status": "ok"}
+        else:
+            r["beta"] = (np.array(r["last"], float) + r["share"] * np.array(r["move"], float)).tolist()
+    else:
+        settled = known and before - value <= TOLERANCE * (1 + abs(value))
+        new = beta if settled else _newton(beta, gradient + p @ beta, curvature + p, l1)
+        if settled or not np.isfinite(new).all():
+            r["status"] = "ok" if settled else "failed"
+        else:
+            r |= {"last": beta.tolist(), "move": (new - beta).tolist(), "share": 1.0, "beta": new.tolist()}
+        r["value"] = value
+    if r["status"] == "running" and r["rounds"] >= MOST_ROUNDS:
+        r["status"] = "not converged"
+    return r
+
+
+def _penalised(r: dict[str, Any], sums: np.ndarray, beta_factor: float) -> dict[str, Any]:
     """The l1 penalty of every maximum-entropy term from its spread over the presences."""
+    sums = sums.reshape(2, -1)
+    n = sums[0, 0]
+    mean = sums[0, 1:] / n
+    sd = np.sqrt(np.maximum(sums[1, 1:] / n - mean**2, 0.0) * (n / max(n - 1, 1)))
+    hinge = np.array([t["kind"] in ("hinge", "reverse") for t in r["terms"]], bool)
+    factor = np.where(hinge, HINGE_REGULARISATION * np.maximum(sd, 1 / math.sqrt(n)), regularisation(int(n)) * sd)
+    return {**r, "l1": (beta_factor * np.maximum(factor / math.sqrt(n), LEAST_PENALTY) * n).tolist()}
+
+
+def _started(r: dict[str, Any]) -> dict[str, Any]:
+    first = math.log(r["n_pres"] / (r["n_bg"] * r["weight"]))
+    return {**r, "beta": [first, *[0.0] * len(r["terms"])], "last": [], "move": [], "share": 1.0, "value": None, "rounds": 0, "status": "running"}
+
+
+def _frame(rows: list[dict[str, Any]], kind: str) -> pd.DataFrame:
+    names = COLUMNS[kind]
+    return pd.DataFrame([{k: r[k] for k in names} for r in rows], columns=names).astype({"held_out": "Int32"})
+
+
+def _each(step, kind: str):
+    """``step(model, its sums or None)`` for every row of a table of models."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
-                sums = np.frombuffer(r.pop("sums"), np.float64).reshape(2, -1)
-                n = sums[0, 0]
-                mean = sums[0, 1:] / n
-                sd = np.sqrt(np.maximum(sums[1, 1:] / n - mean**2, 0.0) * (n / max(n - 1, 1)))
-                hinge = np.array([t["kind"] in ("hinge", "reverse") for t in r["terms"]], bool)
-                factor = np.where(hinge, HINGE_REGULARISATION * np.maximum(sd, 1 / math.sqrt(n)), regularisation(int(n)) * sd)
-                r["l1"] = (beta_factor * np.maximum(factor / math.sqrt(n), LEAST_PENALTY) * n).tolist()
-                rows.append(r)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MODEL.split(", ")]).astype({"held_out": "Int32"})
+                raw = r.pop("sums", None)
+                rows.append(step(r, None if raw is None else np.frombuffer(raw, np.float64)))
+            yield _frame(rows, kind)
 
     return run
 
 
-FITTED = f"species string, held_out int, algo string, n_pres long, n_bg long, n_pred int, intercept double, shift double, terms array<struct<term:{TERM},coefficient:double>>, value double, rounds int, status string"
-
-
-def _finished(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for r in frame.to_dict("records"):
-            raw, shift = r["sums"], 0.0
-            if raw is not None:
-                top, z, ze = np.frombuffer(raw, np.float64)
-                normaliser = -(top + math.log(z))
-                shift = normaliser - (ze / z + normaliser)
-            beta = np.array(r["beta"], float)
-            used = [{"term": t, "coefficient": float(c)} for t, c in zip(r["terms"], beta[1:]) if c != 0]
-            rows.append((r["species"], r["held_out"], r["algo"], r["n_pres"], r["n_bg"], r["n_pred"], float(beta[0]), shift, used, r["value"], r["rounds"], r["status"]))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FITTED.split(", ")][:8] + ["terms", "value", "rounds", "status"]).astype({"held_out": "Int32"})
+def _finished(r: dict[str, Any], sums: np.ndarray | None) -> dict[str, Any]:
+    shift = 0.0
+    if sums is not None:
+        top, z, ze = sums
+        normaliser = -(top + math.log(z))
+        shift = float(normaliser - (ze / z + normaliser))
+    beta = np.array(r["beta"], float)
+    used = [{"term": t, "coefficient": float(c)} for t, c in zip(r["terms"], beta[1:]) if c != 0]
+    return {**r, "intercept": float(beta[0]), "shift": shift, "terms": used}
+
+
+def _in_one_task(packed: DataFrame, models: DataFrame, width: int, factor: float) -> DataFrame:
+    """All rounds of the models of species whose rows fit into a task, by the same steps."""
+
+    def fit(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        x = {int(k): np.concatenate([np.frombuffer(v).reshape(-1, width) for v in g["x"]]) for k, g in part.groupby("cv_fold")}
+        y = {int(k): np.concatenate([np.frombuffer(v, np.uint8) for v in g["y"]]) for k, g in part.groupby("cv_fold")}
+        out = []
+        for r in own.to_dict("records"):
+            held = None if pd.isna(r["held_out"]) else int(r["held_out"])
+            rows = (np.concatenate([v for k, v in t.items() if k != held]) for t in (x, y))
+            values, labels = rows
+            r = {**r, "held_out": held}
+            if r["algo"] == "maxent":
+                r = _penalised(r, _of_rows(r, values, labels, "terms"), factor)
+            r = _started(r)
+            while r["status"] == "running":
+                r = _advanced(r, _of_rows(r, values, labels, "fit"))
+            out.append(_finished(r, _of_rows(r, values, labels, "shift") if r["algo"] == "maxent" else None))
+        return _frame(out, FITTED)
+
+    # species take long for few rows, so tasks are dealt by their number and not by bytes
+    spark = models.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(models.select("species").distinct().count(), MOST_TASKS))
+    own = packed.join(models.select("species").distinct(), "species", "left_semi").repartition(n, "species")
+    return own.groupBy("species").cogroup(models.repartition(n, "species").groupBy("species")).applyInPandas(fit, FITTED)
+
+
+def _over_tasks(packed: DataFrame, models: DataFrame, width: int, factor: float) -> DataFrame:
+    """Rounds over all pieces for the models of species of any size."""
+    some = models.filter("algo = 'maxent'")
+    scaled = _with_sums(some, _sums(packed, some, width, "terms")).mapInPandas(_each(lambda r, s: _penalised(r, s, factor), MODEL), MODEL)
+    models = models.filter("algo <> 'maxent'").unionByName(scaled)
+    running = stored(models.mapInPandas(_each(lambda r, _: _started(r), STATE), STATE))
+    done: list[DataFrame] = []
+    while not running.isEmpty():
+        stepped = stored(_with_sums(running, _sums(packed, running, width, "fit")).mapInPandas(_each(_advanced, STATE), STATE))
+        done.append(stepped.filter("status <> 'running'"))
+        running = stepped.filter("status = 'running'")
+    ended = stored(reduce(DataFrame.unionByName, done, running))
+    cloglog = ended.filter("algo = 'maxent'")
+    plain = ended.filter("algo <> 'maxent'").withColumn("sums", F.lit(None).cast("binary"))
+    return plain.unionByName(_with_sums(cloglog, _sums(packed, cloglog, width, "shift"))).mapInPandas(_each(_finished, FITTED), FITTED)
 
 
 def fit_linear(training: DataFrame, chosen: DataFrame, names: Sequence[str], algorithms: Sequence[str] = LINEAR, overrides=None, folds: bool = True) -> DataFrame:
@@ -419,31 +485,15 @@ def fit_linear(training: DataFrame, chosen: DataFrame, names: Sequence[str], alg
     names = list(names)
     packed = pieces(training, names)
     models = stored(plan_models(training, chosen, names, algorithms, overrides, folds))
-    if "maxent" in algorithms:
-        some = models.filter("algo = 'maxent'")
-        factor = float(parameters("maxent", overrides)["beta"])
-        scaled = _with_sums(some, _sums(packed, some, len(names), "terms")).mapInPandas(_term_penalties(factor), MODEL)
-        models = stored(models.filter("algo <> 'maxent'").unionByName(scaled))
-    nothing = F.array().cast("array<double>")
-    start = F.array_insert(F.array_repeat(F.lit(0.0), F.size("terms").cast("int")), 1, F.log(F.col("n_pres") / (F.col("n_bg") * F.col("weight"))))
-    running = models.select(
-        "*", start.alias("beta"), nothing.alias("last"), nothing.alias("move"), F.lit(1.0).alias("share"), F.lit(None).cast("double").alias("value"),
-        F.lit(0).alias("rounds"), F.lit("running").alias("status"),
-    )
-    done: list[DataFrame] = []
-    running = stored(running)
-    while not running.isEmpty():
-        stepped = stored(_with_sums(running, _sums(packed, running, len(names), "fit")).mapInPandas(_stepped, STATE))
-        done.append(stepped.filter("status <> 'running'"))
-        running = stepped.filter("status = 'running'")
-    ended = done[0] if done else running
-    for more in done[1:]:
-        ended = ended.unionByName(more)
-    ended = stored(ended)
-    cloglog = ended.filter("algo = 'maxent'")
-    plain = ended.filter("algo <> 'maxent'").withColumn("sums", F.lit(None).cast("binary"))
-    whole = plain.unionByName(_with_sums(cloglog, _sums(packed, cloglog, len(names), "shift"))) if "maxent" in algorithms else plain
-    return stored(whole.mapInPandas(_finished, FITTED))
+    factor = float(parameters("maxent", overrides)["beta"])
+    limit = group_rows_limit(training.sparkSession)
+    sizes = training.groupBy("species").agg(F.count(F.lit(1)).alias("_rows"))
+    sized = stored(models.join(sizes, "species"))
+    small, large = (sized.filter(c).drop("_rows") for c in (F.col("_rows") <= limit, F.col("_rows") > limit))
+    fitted = _in_one_task(packed, small, len(names), factor)
+    if not large.isEmpty():
+        fitted = fitted.unionByName(_over_tasks(packed, large, len(names), factor))
+    return stored(fitted)
 
 
 def coefficient_table(fitted: DataFrame, names: Sequence[str]) -> DataFrame:

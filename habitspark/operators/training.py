@@ -31,7 +31,8 @@ def build(presences: DataFrame, layers: DataFrame, plan: TrainingPlan) -> tuple[
     all predictors but must be complete in the chosen ones.
     """
     names = list(plan.predictors)
-    area = spatial.accessible_cells(presences, layers.filter("land").select("row", "col", "lon", "lat"), radius_km=plan.radius_km)
+    # written once: the sizes of its groups are looked at before it is sampled
+    area = stored(spatial.accessible_cells(presences, layers.filter("land").select("row", "col", "lon", "lat"), radius_km=plan.radius_km))
     background = sampling.jitter(sampling.sample_cells(area, ["species"], plan.n_background, plan.seed), plan.grid, ["species"], plan.seed)
     points = sampling.presence_background(presences.select("species", "lon", "lat"), background.select("species", "lon", "lat"))
     # written once: selection, folds and weights all read these rows

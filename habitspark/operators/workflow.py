@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.functions import text
 from habitspark.functions.geo import Grid
+from habitspark.operators import boosting, linear
 from habitspark.operators import ensemble as E
 from habitspark.operators import mess as ME
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
 from habitspark.operators import spatial
-from habitspark.plans.scale import attach, scratch_folder, stored
+from habitspark.plans.scale import attach, measured, scratch_folder, stored
 
 log = logging.getLogger(__name__)
 
@@ -58,6 +63,131 @@ def cross_validate_species(
     return spark.read.parquet(path)
 
 
+@dataclass
+class Trained:
+    """Models of all species: linear and boosted ones as tables, forests as pipelines by species and left-out fold (None: none)."""
+
+    names: list[str]
+    chosen: DataFrame
+    linear: DataFrame
+    boosted: DataFrame
+    forests: dict[tuple[str, int | None], MD.Model]
+    status: DataFrame
+
+
+def train_species(
+    training: DataFrame, chosen: DataFrame, names: Sequence[str], overrides=None, boosting_settings: Mapping | None = None, forests: bool = True,
+    folds: bool = True, threads: int = 8,
+) -> Trained:
+    """Fit all algorithms of all species, on all rows and without each usable fold.
+
+    ``training`` and ``chosen`` come from ``training.build``. Linear models and boosted trees of all species are a few
+    plans in all. Forests are Spark ML fits on distributed rows, ``threads`` of them in flight; so are boosted trees of species too
+    large for one task. The driver holds names of species and their predictors. ``status`` has a row per species,
+    left-out fold and algorithm: ok, or what went wrong.
+    """
+    names = list(names)
+    spark = training.sparkSession
+    # clustered by species, so that a fit reads the row groups of its own
+    data = stored(training.sortWithinPartitions("species")).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = linear.fit_linear(data, chosen, names, overrides=overrides, folds=folds)
+    boosted = boosting.fit_boosted(data, chosen, names, boosting_settings, folds)
+    states = [fitted.select("species", "held_out", "algo", "status"), boosted.select("species", "held_out", F.lit("gbm").alias("algo"), "status")]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "predictor"))), lambda p: p["predictor"])
+    own = {r["species"]: r["predictors"] for r in chosen.groupBy("species").agg(ordered.alias("predictors")).collect()}
+    jobs = [(r["species"], r["held_out"], "gbm") for r in boosted.filter("status = 'too large'").select("species", "held_out").collect()]
+    profiles = {}
+    if forests:
+        for r in boosted.filter("status = 'ok'").select("species", "held_out", "n_pres", "n_bg").collect():
+            jobs.append((r["species"], r["held_out"], "rf"))
+            profiles[jobs[-1]] = MD.Profile(r["n_pres"], r["n_bg"], {}, {}, {}, {})  # a forest needs the counts only
+        jobs += [(species, held_out, "rf") for species, held_out, algo in jobs if algo == "gbm"]
+    tried: list = []
+
+    def one(job: tuple[str, int | None, str]) -> MD.Model | None:
+        species, held_out, algo = job
+        rows = data.filter(F.col("species") == species)
+        rows = rows if held_out is None else rows.filter(F.col("cv_fold") != held_out)
+        return MD.attempt(lambda: MD.fit(rows, own[species], algo, overrides, profiles.get(job)), tried, species, held_out, algo)
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = {job: m for job, m in zip(jobs, pool.map(one, jobs)) if m is not None}
+    data.unpersist()
+    if tried:
+        states.append(spark.createDataFrame([(s, k, a, text if state == "failed" else state) for s, k, a, state, text in tried], "species string, held_out int, algo string, status string"))
+    table = states[0]
+    for more in states[1:]:
+        table = table.unionByName(more)
+    return Trained(names, chosen, fitted, boosted, found, table.filter("status <> 'too large'"))
+
+
+def _scored_by_trees(rows: DataFrame, trained: Trained, keys: Sequence[str], threads: int = 8) -> DataFrame:
+    """Add ``gbm`` and ``rf``; rows of species without such a model get null.
+
+    A forest scores the rows of its species and fold from a written table and writes them to a folder of its own, several
+    at a time, so the plan does not grow with the number of models.
+    """
+    models = trained.boosted if "held_out" in keys else trained.boosted.filter("held_out IS NULL")
+    out = boosting.score_boosted(rows, models, trained.names, keys).withColumn("rf", F.lit(None).cast("double"))
+    for algo in ("gbm", "rf"):
+        wanted = {k[:2]: m for k, m in trained.forests.items() if k[2] == algo and ("held_out" in keys) == (k[1] is not None)}
+        if wanted:
+            out = _appended(stored(out), algo, wanted, keys, threads)
+    return out
+
+
+def _appended(table: DataFrame, algo: str, wanted: Mapping[tuple[str, int | None], MD.Model], keys: Sequence[str], threads: int) -> DataFrame:
+    spark, path = table.sparkSession, scratch_folder(table.sparkSession)
+
+    def one(job: tuple[int, tuple[tuple[str, int | None], MD.Model]]) -> None:
+        number, ((species, held_out), model) = job
+        part = table.filter(F.col("species") == species)
+        part = part if held_out is None else part.filter(F.col("held_out") == held_out)
+        complete = reduce(Column.__and__, [F.col(p).isNotNull() for p in model.predictors])
+        scored = model.score(part.filter(complete).drop(algo)).select(*table.columns)
+        scored.unionByName(part.filter(~complete)).write.parquet(f"{path}/part={number}")
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(one, enumerate(wanted.items())))
+    known = spark.createDataFrame([(s, k) for s, k in wanted], "species string, held_out int").select(*keys)
+    rest = table.join(known, list(keys), "left_anti").select(*table.columns)
+    return rest.unionByName(spark.read.schema(table.schema).parquet(*[f"{path}/part={n}" for n in range(len(wanted))]))
+
+
+def cross_scores(training: DataFrame, trained: Trained) -> DataFrame:
+    """Scores of every row by the models of each left-out fold, in one written table for ``evaluate``."""
+    rows = linear.cross_scores(training, trained.linear, trained.names)
+    scored = _scored_by_trees(rows, trained, ["species", "held_out"])
+    order = [c for c in rows.columns if c not in S.ALGORITHMS]
+    return stored(scored.select(*order, *S.ALGORITHMS))
+
+
+def predict_species(cells: DataFrame, trained: Trained, weights: DataFrame) -> DataFrame:
+    """Ensemble suitability of every cell for every species, from its own predictors, with cross-validated weights.
+
+    ``cells`` has row, col and the layers. A cell lacking a predictor that a species uses has no row for it.
+    """
+    lists = trained.chosen.groupBy("species").agg(F.collect_set("predictor").alias("_own"))
+    lists, small = measured(lists)
+    pairs = cells.join(F.broadcast(lists) if small else lists)  # every cell for every species is the result asked for
+    complete = F.lit(True)
+    for n in trained.names:
+        complete = complete & (F.col(n).isNotNull() | ~F.array_contains("_own", n))
+    rows = linear.score_models(pairs.filter(complete).drop("_own"), trained.linear.filter("held_out IS NULL"), trained.names)
+    scored = E.with_ensemble(_scored_by_trees(rows, trained, SPECIES), weights)
+    return scored.filter("ensemble IS NOT NULL").select("species", "row", "col", F.col("ensemble").cast("float").alias("suitability"))
+
+
+def run_table(evaluated: DataFrame, chosen: DataFrame, status: DataFrame, training: DataFrame) -> DataFrame:
+    """One row per species that was asked for: counts, predictors, metrics if any, and whether all of its fits went well."""
+    y = F.col("presence")
+    counts = training.groupBy("species").agg(F.count_if(y == 1).alias("n_pres"), F.count_if(y == 0).alias("n_bg"))
+    n_pred = chosen.groupBy("species").agg(F.count(F.lit(1)).alias("n_pred"))
+    state = status.groupBy("species").agg(F.count_if(F.col("status") != "ok").alias("n_failed"), F.count(F.lit(1)).alias("n_fits"))
+    out = counts.join(n_pred, "species", "left").join(state, "species", "left").join(evaluated.drop("n_pres", "n_bg", "n_pred"), "species", "left")
+    return out.withColumn("status", F.when(F.col("n_fits").isNull(), "no model").when(F.col("n_failed") > 0, "incomplete").otherwise("ok"))
+
+
 def status_table(spark: SparkSession, status: Sequence[tuple]) -> DataFrame:
     """What was fitted and what was not, one row per species, fold and algorithm."""
     return spark.createDataFrame(list(status), "species string, fold int, algo string, status string, message string")

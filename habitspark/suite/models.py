@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
@@ -12,12 +15,16 @@ from habitspark.operators import mess as ME
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
 from habitspark.operators import scenarios as SC
+from habitspark.operators import training as TR
 from habitspark.operators import workflow as W
 from habitspark.sources import rasters, sinks
+from habitspark.plans.scale import stored
 from habitspark.suite import views as V
 from habitspark.suite import spatial as _spatial  # noqa: F401  registers ml_eoo
 from habitspark.suite.metrics import BOYCE_UNIT, ENS, RANKED, TRAIN_BEST, WEIGHTS, fold_table, rounded
+from habitspark.suite.modelling import COMPLETE, ENV_OK, VARS
 from habitspark.suite.registry import SQL, query
+from habitspark.suite.spatial import DISTANCES
 from habitspark.suite.views import with_views
 
 # Fewer trees and rounds than in production keep the checks short; the rows are all used.
@@ -132,9 +139,9 @@ def ml_spatial_cv(spark, d):
     return folds.select("species", "algo", "held_out", F.round("auc", 4).alias("auc"), F.round("tss", 4).alias("tss"))
 
 
-@query("ml_ensemble_train")
-def ml_ensemble_train(spark, d):
-    """Full evaluation row of the five algorithms and their ensemble."""
+@query("ml_ensemble_metrics")
+def ml_ensemble_metrics(spark, d):
+    """Full evaluation row of the five algorithms and their ensemble, for one species."""
     _, full, _ = W.evaluate(oof(spark, d), P)
     return full.withColumns({n: F.round(n, 4) for n, t in full.dtypes if t == "double"})
 
@@ -146,11 +153,63 @@ def trained(spark, d):
     return models, weights
 
 
-@query("ml_predict_grid")
+# forests are Spark ML fits one by one, minutes for all species and folds (README), so these queries run the other four, in full
+WHOLE = [a for a in S.ALGORITHMS if a != "rf"]
+
+
+def whole_run(spark, d):
+    """Training table of all species (background: all accessible cells up to 10 000), all models, and cross-validated scores."""
+    layers = V.cells(spark, d).join(V.bands_wide(spark, d), ["row", "col"], "left").select("row", "col", "lon", "lat", "land", *VARS)
+    layers = stored(layers)
+    built = TR.build(V.occ(spark, d).select("species", "lon", "lat"), layers, TR.TrainingPlan(grid=V.grid(spark, d), predictors=VARS))
+    training, chosen = stored(built[0]), stored(built[1])
+    trained = W.train_species(training, chosen, VARS, forests=False)
+    return layers, training, trained, W.cross_scores(training, trained)
+
+
+AREA_ENV = "area_env AS (SELECT species, a.row, a.col, c.elevation, b.b1, b.b2 FROM distances a JOIN cells c ON c.row = a.row AND c.col = a.col LEFT JOIN bands_wide b ON b.row = a.row AND b.col = a.col WHERE distance_km <= 300)"
+
+
+@query(
+    "ml_ensemble_train",
+    with_views(
+        [V.ENV, ENV_OK, DISTANCES, AREA_ENV],
+        f"""SELECT p.species, p.n_pres, coalesce(b.n_bg, 0) AS n_bg, CASE WHEN p.r <= 0.7 THEN 3 END AS n_pred, p.folds AS n_folds, 4 * (p.folds + 1) AS n_fits, 0 AS n_failed,
+        'ok' AS status, true AS metrics_in_range, CAST(p.n_pres + coalesce(b.n_bg, 0) AS BIGINT) AS n_tested
+        FROM (SELECT species, count(*) AS n_pres, least(5, count(DISTINCT (lon, lat))) AS folds, greatest(abs(corr(elevation, b1)), abs(corr(elevation, b2)), abs(corr(b1, b2))) AS r FROM env_ok GROUP BY species) p
+        LEFT JOIN (SELECT species, count(*) AS n_bg FROM area_env WHERE {COMPLETE} GROUP BY species) b ON b.species = p.species""",
+    ),
+)
+def ml_ensemble_train(spark, d):
+    """Whole run of all species: four algorithms, spatial folds, ensemble. One row per species with its counts and state.
+
+    ``n_tested`` counts the rows that some fold left out and scored; ``metrics_in_range`` says that AUC and TSS of all algorithms and
+    of the ensemble exist and lie where they can lie. The metrics themselves come from ``workflow.evaluate``.
+    """
+    _, training, trained, oof = whole_run(spark, d)
+    compact, _, _ = W.evaluate(oof, VARS)
+    inside = [F.col(f"auc_{a}").between(0, 1) & F.col(f"tss_{a}").between(-1, 1) for a in [*WHOLE, "ensemble"]]
+    checked = compact.withColumn("metrics_in_range", F.coalesce(reduce(Column.__and__, inside), F.lit(False)))
+    complete = reduce(Column.__and__, [F.col(a).isNotNull() for a in WHOLE])
+    tested = oof.filter("split = 'test'").filter(complete).groupBy("species").agg(F.count(F.lit(1)).alias("n_tested"))
+    run = W.run_table(checked, trained.chosen, trained.status, training).join(tested, "species", "left")
+    return run.select("species", "n_pres", "n_bg", F.col("n_pred").cast("int").alias("n_pred"), "n_folds", F.col("n_fits").cast("int").alias("n_fits"), F.col("n_failed").cast("int").alias("n_failed"), "status", "metrics_in_range", "n_tested")
+
+
+@query(
+    "ml_predict_grid",
+    with_views(
+        [V.ENV, ENV_OK, V.CELLS, V.BANDS_WIDE],
+        f"""SELECT species, n AS n_cells, n AS n_in_range FROM (SELECT DISTINCT species FROM env_ok),
+        (SELECT count(*) AS n FROM cells c LEFT JOIN bands_wide b ON b.row = c.row AND b.col = c.col WHERE {COMPLETE})""",
+    ),
+)
 def ml_predict_grid(spark, d):
-    models, weights = trained(spark, d)
-    suit = W.predict_grid(models, V.feature_cells(spark, d), weights, "Species e")
-    return rasters.full_grid(V.cells(spark, d), suit.select("row", "col", "suitability"))
+    """Suitability of the whole grid for every species from four algorithms with their cross-validated weights."""
+    layers, _, trained, oof = whole_run(spark, d)
+    _, _, folds = W.per_fold_scores(oof, WHOLE)
+    maps = W.predict_species(layers, trained, E.tss_weights(stored(folds)))
+    return maps.groupBy("species").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("suitability").between(0, 1)).alias("n_in_range"))
 
 
 @query("ml_project_present")

@@ -31,12 +31,14 @@ def data():
     return rows_of("s1", 400, 1) + rows_of("s2", 150, 2)
 
 
-@pytest.fixture(scope="module")
-def fitted(spark, data):
+@pytest.fixture(scope="module", params=["1000000", "20"], ids=["one task", "rounds over tasks"])
+def fitted(spark, data, request):
+    spark.conf.set("habitspark.window.maxGroupRows", request.param)
     chosen = spark.createDataFrame([("s1", 1, "a"), ("s1", 2, "b"), ("s1", 3, "c"), ("s2", 1, "c"), ("s2", 2, "a"), ("s3", 1, "a")], "species string, position int, predictor string")
     training = spark.createDataFrame(data, KIND)
     table = L.fit_linear(training, chosen, NAMES, overrides=HINGES)
-    return training, table, {(r.species, r.held_out, r.algo): r for r in table.collect()}
+    yield training, table, {(r.species, r.held_out, r.algo): r for r in table.collect()}
+    spark.conf.unset("habitspark.window.maxGroupRows")
 
 
 def parts(data, species, held_out):
