@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
+from habitspark.operators import boosting as BO
 from habitspark.operators import ensemble as E
 from habitspark.operators import folds as FD
 from habitspark.operators import importance as IM
+from habitspark.operators import linear as LI
 from habitspark.operators import mess as ME
 from habitspark.operators import metrics as M
 from habitspark.operators import models as MD
@@ -46,10 +48,20 @@ def in_unit(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def fitted_scores(spark, d, algo, overrides=LIGHT):
-    t = V.features(spark, d)
-    model = MD.fit(t, P, algo, overrides)
-    return in_unit(model.score(t).select("row_id", "presence", algo), algo)
+def one_species(spark, d):
+    """Rows of ``features`` as a training table, all predictors chosen."""
+    chosen = spark.createDataFrame([("Species e", i, p) for i, p in enumerate(P)], "species string, position int, predictor string")
+    return V.features(spark, d).withColumn("cv_fold", F.lit(0)), chosen
+
+
+def fitted_scores(spark, d, algo, overrides=None):
+    """Scores by one algorithm, fitted to all rows with its full settings."""
+    t, chosen = one_species(spark, d)
+    if algo == "gbm":
+        scored = BO.score_boosted(t, BO.fit_boosted(t, chosen, P, folds=False), P)
+    else:
+        scored = LI.score_models(t, LI.fit_linear(t, chosen, P, [algo], overrides, folds=False), P, [algo])
+    return in_unit(scored.select("row_id", "presence", algo), algo)
 
 
 @query("ml_glm")
@@ -64,7 +76,9 @@ def ml_gam(spark, d):
 
 @query("ml_rf")
 def ml_rf(spark, d):
-    return fitted_scores(spark, d, "rf")
+    """A forest of 300 trees of full depth."""
+    t = V.features(spark, d)
+    return in_unit(MD.fit(t, P, "rf").score(t).select("row_id", "presence", "rf"), "rf")
 
 
 @query("ml_gbm")
