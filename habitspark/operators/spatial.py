@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,8 @@ from habitspark.plans import proximity
 from habitspark.plans.scale import attach, every_salt, join_hot, measured, salts
 
 BAND_DEG = 0.5
+DIRECTIONS = 32
+INSIDE_DEG = 1e-9  # a point nearer to the ring than that is left to the exact hull
 
 
 def _crosses(x: Column, y: Column, e) -> Column:
@@ -202,11 +205,34 @@ def _turn_hull(xy: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+def outer_points(points: DataFrame, key: str = "species") -> DataFrame:
+    """Points of each group without those that surely lie inside its hull.
+
+    Plain aggregates find the farthest point in ``DIRECTIONS`` directions; what lies clearly inside the ring of these points
+    cannot be a vertex. The ring is one row per group. Points on its edges, and groups of fewer than three such points, stay.
+    """
+    rows = points.select(key, "lon", "lat").na.drop()
+    turns = [2 * math.pi * i / DIRECTIONS for i in range(DIRECTIONS)]
+    along = [F.col("lon") * F.lit(math.cos(a)) + F.col("lat") * F.lit(math.sin(a)) for a in turns]
+    far = [F.max_by(c, d).alias(f"{c}{i}") for i, d in enumerate(along) for c in ("lon", "lat")]
+    ends = [(i, (i + 1) % DIRECTIONS) for i in range(DIRECTIONS)]
+    edges = F.array(*[F.struct(*[F.col(f"{c}{i}").alias(f"{a}{n}") for n, i in ((1, i), (2, j)) for a, c in (("x", "lon"), ("y", "lat"))]) for i, j in ends])
+    long_enough = F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    ring = rows.groupBy(key).agg(*far).select(key, long_enough.alias("_edges"))
+
+    def inside(e) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        return dx * (F.col("lat") - e["y1"]) - dy * (F.col("lon") - e["x1"]) > F.sqrt(dx * dx + dy * dy) * INSIDE_DEG
+
+    held = attach(rows, ring, [key])
+    return held.filter(~((F.size("_edges") >= 3) & F.forall("_edges", inside))).drop("_edges")
+
+
 def convex_hull(points: DataFrame, key: str = "species") -> DataFrame:
     """Hull vertices per group in order (``seq``).
 
-    Each input partition reduces its rows to hulls before anything is shuffled; the
-    hull of those vertices is the hull of all points.
+    Inner points are dropped by column expressions (``outer_points``). Each partition reduces what is left to hulls before
+    anything is shuffled; the hull of those vertices is the hull of all points.
     """
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 
@@ -223,7 +249,7 @@ def convex_hull(points: DataFrame, key: str = "species") -> DataFrame:
         xy = _turn_hull(part[["lon", "lat"]].to_numpy())
         return pd.DataFrame({key: part[key].iloc[0], "seq": np.arange(len(xy), dtype="int32"), "lon": xy[:, 0], "lat": xy[:, 1]})
 
-    vertices = points.select(key, "lon", "lat").na.drop().mapInPandas(reduce, schema)
+    vertices = outer_points(points, key).mapInPandas(reduce, schema)
     return vertices.groupBy(key).applyInPandas(finish, f"{key} string, seq int, lon double, lat double")
 
 
