@@ -36,7 +36,7 @@ HEADLINE = [
     "ag_scenario_ensemble",
     "ag_area_table",
     "ml_training_table",
-    "ml_predict_grid",
+    "ml_predict_one_species",
 ]
 
 

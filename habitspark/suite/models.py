@@ -226,6 +226,14 @@ def ml_predict_grid(spark, d):
     return maps.groupBy("species").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("suitability").between(0, 1)).alias("n_in_range"))
 
 
+@query("ml_predict_one_species")
+def ml_predict_one_species(spark, d):
+    """One species by two fitted pipelines with given weights, on the whole grid."""
+    models, weights = trained(spark, d)
+    suit = W.predict_grid(models, V.feature_cells(spark, d), weights, "Species e")
+    return rasters.full_grid(V.cells(spark, d), suit.select("row", "col", "suitability"))
+
+
 @query("ml_project_present")
 def ml_project_present(spark, d):
     """Stored models applied to the cells inside the prediction box."""
