@@ -92,6 +92,64 @@ def ellipsoid_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.sqrt(north * north + east * east)
 
 
+def _named(then, **values: Column) -> Column:
+    """``then`` of a struct of values, each evaluated once."""
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(row), then), F.lit(0))
+
+
+def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 8) -> Column:
+    """WGS-84 geodesic in metres: the inverse problem, its longitude on the auxiliary sphere found in ``rounds`` steps.
+
+    The shorter way round is taken, also over 180 degrees of longitude. Good to a millimetre up to three quarters of the way
+    to the antipode; nearer to it the steps settle slowly. Null if an argument is null.
+    """
+    f, a = S.WGS84_F, S.WGS84_A_M
+    b = a * (1 - f)
+    reduced = lambda lat: F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
+    gap = F.radians(F.pmod(lon2 - lon1 + F.lit(180.0), F.lit(360.0)) - F.lit(180.0))
+
+    def measured(p: Column) -> Column:
+        def on_sphere(lam: Column, then) -> Column:
+            """``then`` of the arc (sine, cosine, length) at a longitude gap, with what depends on its azimuth."""
+            x = p["c2"] * F.sin(lam)
+            y = p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)
+            cos_arc = p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)
+
+            def azimuth(q: Column) -> Column:
+                sin_az = F.when(q["s"] == 0, 0.0).otherwise(p["c1"] * p["c2"] * q["l"] / q["s"])
+                return _named(middle, s=q["s"], c=q["c"], arc=F.atan2(q["s"], q["c"]), az=sin_az, h=F.lit(1.0) - sin_az * sin_az)
+
+            def middle(q: Column) -> Column:
+                # along the equator there is no middle latitude
+                m = F.when(q["h"] < 1e-14, 0.0).otherwise(q["c"] - F.lit(2.0) * p["s1"] * p["s2"] / q["h"])
+                return _named(then, s=q["s"], c=q["c"], arc=q["arc"], az=q["az"], h=q["h"], m=m)
+
+            return _named(azimuth, s=F.sqrt(x * x + y * y), c=cos_arc, l=F.sin(lam))
+
+        def next_gap(lam: Column, _: Column) -> Column:
+            def then(q: Column) -> Column:
+                k = F.lit(f / 16) * q["h"] * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * q["h"]))
+                bend = q["m"] + k * q["c"] * (F.lit(2.0) * q["m"] * q["m"] - F.lit(1.0))
+                return p["gap"] + (F.lit(1.0) - k) * F.lit(f) * q["az"] * (q["arc"] + k * q["s"] * bend)
+
+            return on_sphere(lam, then)
+
+        def length(q: Column) -> Column:
+            u = q["h"] * F.lit((a * a - b * b) / (b * b))
+            big = F.lit(1.0) + u / 16384 * (F.lit(4096.0) + u * (F.lit(-768.0) + u * (F.lit(320.0) - u * 175)))
+            small = u / 1024 * (F.lit(256.0) + u * (F.lit(-128.0) + u * (F.lit(74.0) - u * 47)))
+            twice = F.lit(2.0) * q["m"] * q["m"] - F.lit(1.0)
+            third = q["m"] * (F.lit(4.0) * q["s"] * q["s"] - F.lit(3.0)) * (F.lit(4.0) * q["m"] * q["m"] - F.lit(3.0))
+            return F.lit(b) * big * (q["arc"] - small * q["s"] * (q["m"] + small / 4 * (q["c"] * twice - small / 6 * third)))
+
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), p["gap"], next_gap)
+        return _named(lambda w: on_sphere(w["lam"], length), lam=lam)
+
+    start = {"s1": F.sin(reduced(lat1)), "c1": F.cos(reduced(lat1)), "s2": F.sin(reduced(lat2)), "c2": F.cos(reduced(lat2)), "gap": gap}
+    return _named(measured, **start)
+
+
 def cap_half_width_deg(lat_abs_max: Column, radius_km: float) -> Column:
     """Longitude half-width of a circle of ``radius_km`` around a latitude."""
     r = radius_km / S.EARTH_KM

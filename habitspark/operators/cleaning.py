@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.functions.geo import in_bbox, origin_cell
-from habitspark.plans.scale import attach, first_per_key
+from habitspark.plans.scale import attach, first_per_key, stored
 
 EPS = 1e-9
 
@@ -111,23 +112,23 @@ def failed_topography(names: Sequence[str] = tuple(S.TERRAIN)) -> Column:
 def funnel(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, DataFrame]:
     """Run cleaning steps and report before, after, dropped and share kept per step.
 
-    The counts of all steps are taken lazily, one small aggregate per stage.
+    Every step runs once: its rows are written, and both the next step and the counts read what was written.
     """
     stages = [df]
     for _, step in steps:
-        stages.append(step(stages[-1]))
-    counts = None
-    for i, stage in enumerate(stages):
-        one = stage.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    names = F.create_map(*[x for i, (n, _) in enumerate(steps, 1) for x in (F.lit(i), F.lit(n))])
-    after, before = counts.alias("a"), counts.alias("b")
-    report = after.join(before, F.col("a.i") == F.col("b.i") + 1).select(
-        F.col("a.i").alias("step_no"),
-        names[F.col("a.i")].alias("step"),
-        F.col("b.n").alias("n_before"),
-        F.col("a.n").alias("n_after"),
-        (F.col("b.n") - F.col("a.n")).alias("n_dropped"),
-        F.round(F.when(F.col("b.n") > 0, F.lit(100.0) * F.col("a.n") / F.col("b.n")), 4).alias("pct_kept"),
+        stages.append(stored(step(stages[-1])))
+    counts = [s.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, s in enumerate(stages)]
+    # one row per step from here on
+    all_counts = reduce(DataFrame.unionByName, counts).agg(F.sort_array(F.collect_list(F.struct("i", "n")))["n"].alias("n"))
+    names = F.array(*[F.lit(n) for n, _ in steps])
+    placed = all_counts.select("n", F.posexplode(names).alias("at", "step"))
+    before, after = F.get("n", F.col("at")), F.get("n", F.col("at") + 1)
+    report = placed.select(
+        (F.col("at") + 1).alias("step_no"),
+        "step",
+        before.alias("n_before"),
+        after.alias("n_after"),
+        (before - after).alias("n_dropped"),
+        F.round(F.when(before > 0, F.lit(100.0) * after / before), 4).alias("pct_kept"),
     )
     return stages[-1], report

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from habitspark import settings as S
-from habitspark.functions.geo import Grid, ellipsoid_m, in_bbox
+from habitspark.functions.geo import Grid, geodesic_m, in_bbox
 from habitspark.plans import proximity
 from habitspark.plans.scale import attach, every_salt, join_hot, measured, salts
 
@@ -94,22 +94,28 @@ def polygon_centroids(edges: DataFrame, *attributes: str) -> DataFrame:
 def away_from_centroids(points: DataFrame, centroids: DataFrame | None, tolerance_km: float = S.CENTROID_TOLERANCE_KM) -> DataFrame:
     """Drop points within the tolerance of a centroid; without centroids do nothing.
 
-    Each centroid is entered in the lattice squares its circle can touch, so a point
-    looks at the centroids of its own square only.
+    Distances are WGS-84 geodesics. Each centroid is entered in the lattice squares its circle can touch, also those
+    beyond 180 degrees and around a pole, so a point looks at the centroids of its own square only. Longitudes are
+    taken into [-180, 180). Points without a position stay.
     """
     if centroids is None:
         return points
     reach = tolerance_km / 110.0
-    step = max(0.02, reach * 1.01)
-    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs("c_lat") + reach, F.lit(89.9)))), F.lit(1e-3))
-    c = centroids.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
-    xs = F.sequence(F.floor((F.col("c_lon") - wide) / step), F.floor((F.col("c_lon") + wide) / step))
+    # a whole number of squares around the globe
+    around = max(1, math.floor(360.0 / max(0.02, reach * 1.01)))
+    step = 360.0 / around
+    beyond = F.abs("c_lat") + reach
+    wide = F.when(beyond >= 89.0, F.lit(180.0)).otherwise(F.lit(reach) / F.cos(F.radians(beyond)))
+    c = centroids.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).filter("c_lon is not null and c_lat is not null")
+    column = lambda lon: F.floor((lon + F.lit(180.0)) / step)
+    first, last = column(F.col("c_lon") - wide), column(F.col("c_lon") + wide)
+    xs = F.sequence(first, F.least(last, first + F.lit(around - 1)))
     ys = F.sequence(F.floor((F.col("c_lat") - reach) / step), F.floor((F.col("c_lat") + reach) / step))
-    placed = c.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
+    placed = c.withColumn("_x", F.explode(xs)).withColumn("_x", F.pmod("_x", F.lit(around))).withColumn("_y", F.explode(ys))
     near = placed.groupBy("_x", "_y").agg(F.collect_list(F.struct("c_lon", "c_lat")).alias("_near"))
-    t = points.withColumns({"_x": F.floor(F.col("lon") / step), "_y": F.floor(F.col("lat") / step)})
+    t = points.withColumns({"_x": F.pmod(column(F.col("lon")), F.lit(around)), "_y": F.floor(F.col("lat") / step)})
     t = attach(t, near, ["_x", "_y"], "left")
-    close = F.exists("_near", lambda p: ellipsoid_m(F.col("lon"), F.col("lat"), p["c_lon"], p["c_lat"]) <= tolerance_km * 1000.0)
+    close = F.exists("_near", lambda p: geodesic_m(F.col("lon"), F.col("lat"), p["c_lon"], p["c_lat"]) <= tolerance_km * 1000.0)
     return t.filter(~F.coalesce(close, F.lit(False))).drop("_x", "_y", "_near")
 
 

@@ -44,11 +44,13 @@ def ag_polygon_centroid(spark, d):
     return rounded(SP.polygon_centroids(edges(spark, d), "name"))
 
 
-ELLIPSOID = """CASE WHEN true THEN sqrt(pow(6378137::DOUBLE * (1 - e2) / (q * sqrt(q)) * radians(clat - lat), 2)
-  + pow(6378137::DOUBLE / sqrt(q) * cos(radians((lat + clat) / 2)) * radians(clon - lon), 2)) END"""
-CLOSE = f"""close AS (SELECT rec_id FROM (SELECT *, {ELLIPSOID} AS m FROM (SELECT *, 1 - e2 * pow(sin(radians((lat + clat) / 2)), 2) AS q FROM (
-  SELECT o.rec_id, o.lon, o.lat, c.lon AS clon, c.lat AS clat,
-  (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM occ o, centroids c))) WHERE m <= 60000)"""
+# another way to the distance: arc between reduced latitudes, with the flattening's first-order term (within a metre here)
+CLOSE = """close AS (
+  WITH pairs AS (SELECT o.rec_id, atan((1 - f) * tan(radians(o.lat))) AS u, atan((1 - f) * tan(radians(c.lat))) AS v, radians(c.lon - o.lon) AS w, f
+    FROM occ o, centroids c, (SELECT 1 / 298.257223563::DOUBLE AS f)),
+  arcs AS (SELECT *, 2 * asin(sqrt(least(1, pow(sin((v - u) / 2), 2) + cos(u) * cos(v) * pow(sin(w / 2), 2)))) AS s, (u + v) / 2 AS p, (v - u) / 2 AS q FROM pairs)
+  SELECT rec_id FROM arcs WHERE s < 0.1 AND 6378137::DOUBLE * (s - f / 2 * CASE WHEN s = 0 THEN 0 ELSE
+    (s - sin(s)) * pow(sin(p) * cos(q) / cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(q) / sin(s / 2), 2) END) <= 60000)"""
 
 
 @query("jn_centroid_anti", with_views([V.OCC, V.POLYGONS, CENTROIDS, CLOSE], "SELECT rec_id, species FROM occ WHERE rec_id NOT IN (SELECT rec_id FROM close)"))
