@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.operators import boosting as BO
+from habitspark.operators import bundle as BU
 from habitspark.operators import ensemble as E
 from habitspark.operators import folds as FD
 from habitspark.operators import importance as IM
@@ -245,18 +246,38 @@ def ml_project_present(spark, d):
     return W.predict_grid(loaded, cells, meta.select(F.lit("Species e").alias("species"), "algo", "weight"), "Species e")
 
 
-@query("snk_artifact")
+@query(
+    "snk_artifact",
+    """SELECT part, n_rows, n_rows AS n_same FROM (
+        SELECT 'scores' AS part, count(*) AS n_rows FROM embeddings UNION ALL SELECT 'environment', count(*) FROM embeddings
+        UNION ALL SELECT 'weights', 2 UNION ALL SELECT 'thresholds', 2
+        UNION ALL SELECT 'fold_scores', 2 * least(5, count(DISTINCT (embedding[7], embedding[8]))) FROM embeddings WHERE label < 3)""",
+)
 def snk_artifact(spark, d):
-    """Saved models give the scores of the ones in memory."""
-    models, weights = trained(spark, d)
+    """A stored bundle read again: per part, its rows and how many equal those that were written."""
+    algorithms = ["glm", "maxent"]
+    data = stored(training(spark, d))
+    models = MD.fit_all(data, P, algorithms)
+    _, _, folds = W.per_fold_scores(MD.cross_validate(data, P, algorithms), algorithms)
+    folds = stored(folds)
+    scored = stored(MD.score_all(models, data, algorithms).select("row_id", "presence", *algorithms))
+    tables = {
+        "weights": stored(E.tss_weights(folds)), "thresholds": stored(BU.score_thresholds(scored, algorithms)),
+        "fold_scores": folds, "environment": stored(BU.training_environment(data, P)),
+    }
     path = sinks.scratch_folder(spark)
-    MD.save(models, weights.drop("species"), path)
-    loaded, _ = MD.load(spark, path)
-    t = V.features(spark, d)
-    a = MD.score_all(models, t).select("row_id", "glm", "maxent")
-    b = MD.score_all(loaded, t).select("row_id", F.col("glm").alias("glm2"), F.col("maxent").alias("maxent2"))
-    same = (F.abs(F.col("glm") - F.col("glm2")) < 1e-9) & (F.abs(F.col("maxent") - F.col("maxent2")) < 1e-9)
-    return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"))
+    BU.write(path, models, tables)
+    again = BU.read(spark, path)
+    # whole rows as keys with their number, so repeated rows count as often as they are there
+    counted = lambda df, n: df.groupBy(F.xxhash64(*df.columns).alias("h"), F.to_json(F.struct(*df.columns)).alias("r")).agg(F.count(F.lit(1)).alias(n))
+    pairs = {**{k: (tables[k], again.tables[k]) for k in tables}, "scores": (scored.select("row_id", *algorithms), MD.score_all(again.models, data, algorithms).select("row_id", *algorithms))}
+    parts = [
+        counted(x, "n").join(counted(y, "m"), ["h", "r"], "full")
+        .agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.least(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)))), F.lit(0)).alias("n_same"))
+        .select(F.lit(name).alias("part"), "n_rows", "n_same")
+        for name, (x, y) in pairs.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("ml_project_scenarios")
