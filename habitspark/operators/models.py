@@ -60,10 +60,12 @@ def parameters(algo: str, overrides: Mapping[str, Mapping[str, Any]] | None = No
 def read_overlay(settings: DataFrame) -> dict[str, dict[str, Any]]:
     """Settings from a table of ``algo``, ``parameter`` and ``value`` (text), typed like the defaults.
 
-    A row per setting, so the table is as short as the defaults. What no algorithm takes is refused by name.
+    What no algorithm takes is refused by name, and so is a setting with two values; the same row twice counts once.
     """
     out: dict[str, dict[str, Any]] = {}
-    for row in settings.select("algo", "parameter", "value").limit(1000).collect():
+    each = settings.groupBy("algo", "parameter").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    # one row more than there are settings: a longer table holds an unknown one among these
+    for row in each.limit(sum(map(len, DEFAULTS.values())) + 1).collect():
         known = DEFAULTS.get(row["algo"])
         if known is None:
             raise ValueError(f"unknown algorithm: {row['algo']}")
@@ -71,6 +73,8 @@ def read_overlay(settings: DataFrame) -> dict[str, dict[str, Any]]:
             raise ValueError(f"{row['algo']} has no setting {row['parameter']}; it takes {sorted(known)}")
         given = known[row["parameter"]]
         text = row["value"]
+        if text is None or text != row["other"]:
+            raise ValueError(f"{row['algo']} {row['parameter']} needs one value, got {text} and {row['other']}")
         if isinstance(given, bool):
             value: Any = text.lower() == "true"
         elif isinstance(given, tuple):

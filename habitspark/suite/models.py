@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitspark import settings as S
+from habitspark.functions.geo import in_bbox
 from habitspark.operators import boosting as BO
 from habitspark.operators import bundle as BU
 from habitspark.operators import ensemble as E
@@ -242,7 +243,7 @@ def ml_project_present(spark, d):
     path = sinks.scratch_folder(spark)
     MD.save(models, weights.drop("species"), path)
     loaded, meta = MD.load(spark, path)
-    cells = V.feature_cells(spark, d).filter(F.col("lon").between(S.PREDICTION_BBOX[0], S.PREDICTION_BBOX[2]))
+    cells = V.feature_cells(spark, d).filter(in_bbox(F.col("lon"), F.col("lat"), S.PREDICTION_BBOX))
     return W.predict_grid(loaded, cells, meta.select(F.lit("Species e").alias("species"), "algo", "weight"), "Species e")
 
 
