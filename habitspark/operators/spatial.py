@@ -16,59 +16,99 @@ from habitspark.functions.geo import Grid, geodesic_m, in_bbox
 from habitspark.plans import proximity
 from habitspark.plans.scale import attach, every_salt, join_hot, measured, salts
 
-BAND_DEG = 0.5
+TILE_DEG = 0.5  # a power of two, so that borders of tiles are exact
+TOUCH_DEG = 1e-9
 DIRECTIONS = 32
 INSIDE_DEG = 1e-9  # a point nearer to the ring than that is left to the exact hull
 
 
-def _crosses(x: Column, y: Column, e) -> Column:
-    """Does a ray to the east of (x, y) cross the edge? Half-open in latitude."""
-    spans = (e["y1"] > y) != (e["y2"] > y)
-    return spans & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+def _meets(y: Column, e) -> Column:
+    """Does the edge cross this latitude? Half-open, so horizontal edges never do."""
+    return (e["y1"] > y) != (e["y2"] > y)
 
 
-def _edges_by_band(edges: DataFrame) -> DataFrame:
-    """Edges repeated for every latitude band they touch; horizontal ones never count."""
-    first = F.floor(F.least("y1", "y2") / F.lit(BAND_DEG))
-    last = F.floor(F.greatest("y1", "y2") / F.lit(BAND_DEG))
-    return edges.filter("y1 <> y2").select("feature_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).alias("_band"))
+def _x_at(y: Column, e) -> Column:
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
 
 
-def _band(lat: str = "lat") -> Column:
-    return F.floor(F.col(lat) / F.lit(BAND_DEG))
+def _south_of(y: Column, x: Column, e) -> Column:
+    """Does the edge, which has its ends on both sides of the meridian ``x``, pass it south of ``y``?
+
+    Decided by the same crossing with ``y`` that the ray test looks at, so both agree to the last bit.
+    """
+    east_end_up = F.when(e["x2"] > x, e["y2"] > y).otherwise(e["y1"] > y)
+    return F.when(_meets(y, e), (_x_at(y, e) > x) == east_end_up).otherwise(e["y1"] <= y)
+
+
+def _changes(e) -> Column:
+    """Does the edge part a point from the south-east corner of its tile?
+
+    East of the point up to the border of the tile it is met by the ray to the east; from there to the
+    corner it must pass the border between the point's latitude and the corner.
+    """
+    x, y = F.col("lon"), F.col("lat")
+    border, corner = (F.col("_tx") + 1) * F.lit(TILE_DEG), F.col("_ty") * F.lit(TILE_DEG)
+    at = _x_at(y, e)
+    ray = _meets(y, e) & (x < at) & (at <= border)
+    astride = (e["x1"] > border) != (e["x2"] > border)
+    return ray != (astride & (_south_of(y, border, e) != _south_of(corner, border, e)))
+
+
+def tile_index(edges: DataFrame) -> DataFrame:
+    """Rows (feature_id, _tx, _ty) of closed rings: an edge that touches the tile, or nulls when the tile's south-east corner is inside.
+
+    A tile wholly inside a feature has the latter row alone; tiles outside have none. Edges are repeated for the tiles they
+    touch, found latitude band by latitude band, so a long edge costs its length and not its bounding box.
+    """
+    d = F.lit(TILE_DEG)
+    e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    banded = edges.select("feature_id", *e).na.drop().withColumn("_ty", F.explode(F.sequence(F.floor(low / d), F.floor(high / d))))
+    south, north = F.greatest(low, F.col("_ty") * d), F.least(high, (F.col("_ty") + 1) * d)
+    level = F.col("y1") == F.col("y2")
+    xa, xb = F.when(level, e["x1"]).otherwise(_x_at(south, e)), F.when(level, e["x2"]).otherwise(_x_at(north, e))
+    # an edge on the eastern border belongs to the tile as well
+    first, last = F.ceil((F.least(xa, xb) - TOUCH_DEG) / d) - 1, F.floor((F.greatest(xa, xb) + TOUCH_DEG) / d)
+    touched = banded.withColumn("_tx", F.explode(F.sequence(first, last))).select("feature_id", "_tx", "_ty", *e)
+    # tiles whose border lies west of a crossing with the corners' latitude; inside between every second pair of crossings
+    corner = F.col("_ty") * d
+    hits = banded.filter(_meets(corner, e)).select("feature_id", "_ty", (F.ceil(_x_at(corner, e) / d) - 2).alias("k"))
+    ks = hits.groupBy("feature_id", "_ty").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    pairs = ks.withColumn("i", F.explode(F.sequence(F.lit(0), (F.size("k") / 2).cast("int") - 1)))
+    ends = pairs.filter("i >= 0").select("feature_id", "_ty", F.get("k", F.col("i") * 2).alias("a"), F.get("k", F.col("i") * 2 + 1).alias("b"))
+    inner = ends.filter("a < b").select("feature_id", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("_tx"), "_ty")
+    return touched.unionByName(inner, allowMissingColumns=True)
 
 
 def covering(points: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Features that contain each point: ``key`` columns plus ``feature_id``.
 
-    One row per input row and feature, whatever the keys. A layer of checked size travels as
-    one array per latitude band, so points are not shuffled. Beyond that, edges are salted rows and the
-    crossing parity is summed per distinct place, which then goes back to the rows.
+    One row per input row and feature, whatever the keys. Rings must be closed. A point looks at the edges of its own tile
+    only (``tile_index``). An index of checked size travels as one array per tile, so points are not shuffled. Beyond that its
+    rows are salted and the parity is summed per distinct place, which then goes back to the rows.
     """
-    banded = _edges_by_band(edges)
-    placed = points.select(*key, "lon", "lat", _band().alias("_band"))
-    banded, small = measured(banded)
+    index = tile_index(edges)
+    d = F.lit(TILE_DEG)
+    placed = points.select(*key, "lon", "lat", F.floor(F.col("lon") / d).alias("_tx"), F.floor(F.col("lat") / d).alias("_ty"))
+    index, small = measured(index)
+    sides = ("x1", "y1", "x2", "y2")
     if small:
-        per_feature = banded.groupBy("_band", "feature_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-        bands = per_feature.groupBy("_band").agg(F.collect_list(F.struct("feature_id", "edges")).alias("features"))
-        t = placed.join(F.broadcast(bands), "_band")
-        hit = F.filter("features", lambda f: _odd(f["edges"]))
+        inside = F.max(F.col("x1").isNull()).alias("inside")
+        per_feature = index.groupBy("_tx", "_ty", "feature_id").agg(inside, F.collect_list(F.when(F.col("x1").isNotNull(), F.struct(*sides))).alias("edges"))
+        tiles = per_feature.groupBy("_tx", "_ty").agg(F.collect_list(F.struct("feature_id", "inside", "edges")).alias("features"))
+        t = placed.join(F.broadcast(tiles), ["_tx", "_ty"])
+        hit = F.filter("features", lambda f: f["inside"] != (F.size(F.filter(f["edges"], _changes)) % 2 == 1))
         return t.select(*key, F.explode(hit).alias("f")).select(*key, F.col("f.feature_id").alias("feature_id"))
     n = salts(points.sparkSession)
-    places = placed.select("lon", "lat", "_band").distinct()
+    places = placed.select("lon", "lat", "_tx", "_ty").distinct()
     spread = places.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(n)))
-    repeated = banded.withColumn("_salt", every_salt(n))
-    e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
-    crossings = spread.join(repeated, ["_band", "_salt"]).filter(_crosses(F.col("lon"), F.col("lat"), e))
-    hits = crossings.groupBy("lon", "lat", "feature_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
+    repeated = index.withColumn("_salt", every_salt(n))
+    met = spread.join(repeated, ["_tx", "_ty", "_salt"]).filter(F.col("x1").isNull() | _changes({c: F.col(c) for c in sides}))
+    hits = met.groupBy("lon", "lat", "feature_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
     at = hits.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "feature_id")
     return placed.join(at, (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat"))).select(*key, "feature_id")
 
 
-def _odd(edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: _crosses(F.col("lon"), F.col("lat"), e))) % 2 == 1
-
-
 def inside_any(points: DataFrame, edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Points inside at least one feature of the layer (the dissolved layer)."""
     hits = covering(points, edges, key).select(*key).distinct()
