@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 GROUP_ROWS_CONF = "habitspark.window.maxGroupRows"
 BROADCAST_BYTES_CONF = "habitspark.broadcast.maxBytes"
 SALTS_CONF = "habitspark.join.salts"
+RADIX = 4096
+RADIX_LEVELS = 5  # 60 bits, more than a draw in [0, 1) made by hash_unit has
 
 
 def group_rows_limit(spark: SparkSession) -> int:
@@ -177,29 +179,52 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def take_smallest(df: DataFrame, keys: Sequence[str], draw: str, n: int, ties: Sequence[str]) -> DataFrame:
-    """The ``n`` rows of each group with the smallest ``draw``, a uniform value in [0, 1).
+    """The ``n`` rows of each group with the smallest ``draw``, a value in [0, 1); rows without one come first.
 
-    Large groups are cut on a histogram of ``draw``: bins that lie wholly below the
-    n-th row are kept without ordering, only the bin holding it is ranked.
+    In large groups the range of ``draw`` is cut into bins, and the bin that holds the n-th row is cut again and again until its
+    rows fit into a task. Bins below it are kept without ordering, only that bin is ranked. If so many rows have one and the same
+    ``draw``, slices of their order are ranked instead.
     """
+    if n <= 0:
+        return df.filter(F.lit(False))
     order = [F.col(draw), *[F.col(t) for t in ties]]
     if groups_fit(df, keys):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
-    bins = 65_536
-    binned = df.withColumn("_bin", F.floor(F.col(draw) * bins))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    kept_bins = counts.withColumn("_cum", F.sum("_n").over(run)).filter(F.col("_cum") - F.col("_n") < n)
-    joined = attach(binned, kept_bins, [*keys, "_bin"])
-    whole = joined.filter(F.col("_cum") <= n)
-    edge = joined.filter(F.col("_cum") > n)
-    w = Window.partitionBy(*keys, "_bin").orderBy(*order)
-    edge = edge.withColumn("_rank", F.row_number().over(w)).filter(
-        F.col("_rank") <= n - (F.col("_cum") - F.col("_n"))
-    )
-    columns = df.columns
-    return whole.select(*columns).unionByName(edge.select(*columns))
+    level, cut = 1, stored(_cut(df.withColumn("_need", F.lit(n).cast("long")), keys, _bin(draw, 1)))
+    largest = lambda: cut.agg(F.max("_held")).first()[0] or 0
+    limit = group_rows_limit(df.sparkSession)
+    while largest() > limit and level < RADIX_LEVELS:
+        inside = attach(df, cut.select(*keys, "_edge", "_need"), keys).filter(_bin(draw, level) == F.col("_edge"))
+        level += 1
+        cut = stored(_cut(inside, keys, _bin(draw, level)))
+    placed = attach(df, cut.select(*keys, "_edge", "_need"), keys, "left")
+    at = _bin(draw, level)
+    whole = placed.filter(F.col("_edge").isNull() | (at < F.col("_edge")))
+    edge = placed.filter(at == F.col("_edge"))
+    if largest() <= limit:
+        ranked = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        t = edge.withColumns({"_at": F.struct(*order), "_one": F.lit(1)})
+        ranked = running_totals(t, keys, "_at", ["_one"]).withColumnRenamed("cum__one", "_rank")
+    return whole.select(*df.columns).unionByName(ranked.filter(F.col("_rank") <= F.col("_need")).select(*df.columns))
+
+
+def _bin(draw: str, level: int) -> Column:
+    # a power of two only moves the exponent, so bins of a level lie wholly in one bin of the level before
+    return F.floor(F.coalesce(F.col(draw), F.lit(0.0)) * F.lit(float(RADIX**level)))
+
+
+def _cut(rows: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
+    """Per group the bin with the row number ``_need``: its number, its rows and how many of them are needed.
+
+    Groups with fewer rows have none. The rows of a group lie in at most ``RADIX`` bins, so the window stays small.
+    """
+    counts = rows.groupBy(*keys, at.alias("_edge")).agg(F.count(F.lit(1)).alias("_held"), F.first("_need").alias("_need"))
+    run = Window.partitionBy(*keys).orderBy("_edge").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.col("_cum") - F.col("_held")
+    found = counts.withColumn("_cum", F.sum("_held").over(run)).filter((below < F.col("_need")) & (F.col("_need") <= F.col("_cum")))
+    return found.select(*keys, "_edge", "_held", (F.col("_need") - below).alias("_need"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
