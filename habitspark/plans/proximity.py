@@ -1,9 +1,11 @@
 """Distance joins between point groups and grid cells.
 
 Points are first reduced to boxes (one per group and lattice square), cells to tiles.
-Lower and upper bounds of the box-tile distance settle most pairs; only tiles the bounds
-leave open are compared point by point, and only against boxes that can still matter.
-The number of boxes depends on the area covered, not on the number of records.
+A square with more than ``habitspark.box.maxPoints`` points is quartered until each part holds no more.
+Lower and upper bounds of the box-tile distance settle most pairs; what the bounds leave open is looked at again with
+the parts of the tile, and only parts still open are compared point by point, and only against boxes that can still
+matter. So neither a city of records nor a full tile is one join key. The number of boxes depends on the area covered
+and on the distinct places, not on the number of records.
 """
 
 from __future__ import annotations
@@ -16,21 +18,43 @@ from pyspark.sql import functions as F
 
 from habitspark import settings as S
 from habitspark.functions.geo import arc_km, cap_half_width_deg, haversine_km
+from habitspark.plans.scale import attach, stored
 
 KM_PER_DEGREE = S.EARTH_KM * math.pi / 180
 # bounds are widened by a metre so that rounding cannot hide a pair
 SLACK_KM = 0.001
-
-
-def _boxes(points: DataFrame, keys: Sequence[str], box_deg: float) -> tuple[DataFrame, DataFrame]:
-    distinct = points.select(*keys, "lon", "lat").distinct()
-    placed = distinct.withColumns(
-        {"_bx": F.floor(F.col("lon") / F.lit(box_deg)), "_by": F.floor(F.col("lat") / F.lit(box_deg))}
-    )
-    boxes = placed.groupBy(*keys, "_bx", "_by").agg(
+BOX_POINTS_CONF = "habitspark.box.maxPoints"
+QUARTERINGS = 24  # 0.25 degrees become 2 mm
+PARTS = 8  # parts of a tile in each direction
+BOX = ("_level", "_bx", "_by")
+TILE = ("_tx", "_ty")
+PART = (*TILE, "_px", "_py")
+
+
+def _placed(points: DataFrame, keys: Sequence[str], box_deg: float) -> DataFrame:
+    """Distinct places of each group with their boxes; dense boxes are quartered, the level is part of their names."""
+
+    def at(level: Column) -> dict[str, Column]:
+        step = F.lit(box_deg) / F.pow(F.lit(2.0), level)
+        return {"_level": level, "_bx": F.floor(F.col("lon") / step), "_by": F.floor(F.col("lat") / step)}
+
+    limit = int(points.sparkSession.conf.get(BOX_POINTS_CONF, "1000"))
+    placed = points.select(*keys, "lon", "lat").distinct().withColumns(at(F.lit(0)))
+    for level in range(QUARTERINGS):
+        deepest = placed.filter(F.col("_level") == level)
+        dense = stored(deepest.groupBy(*keys, *BOX).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
+        if dense.isEmpty():
+            break
+        marked = attach(placed, dense, [*keys, *BOX], "left")
+        deeper = at(F.when(F.col("_n").isNull(), F.col("_level")).otherwise(F.lit(level + 1)))
+        placed = stored(marked.select(*keys, "lon", "lat", *[c.alias(n) for n, c in deeper.items()]))
+    return placed
+
+
+def _boxes(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return placed.groupBy(*keys, *BOX).agg(
         F.min("lon").alias("b_w"), F.max("lon").alias("b_e"), F.min("lat").alias("b_s"), F.max("lat").alias("b_n")
     )
-    return placed, boxes
 
 
 def _tile(cells: DataFrame, tile_deg: float) -> DataFrame:
@@ -41,6 +65,14 @@ def _tile(cells: DataFrame, tile_deg: float) -> DataFrame:
         F.col("lat").alias("c_lat"),
         F.pmod(F.floor(F.col("lon") / F.lit(tile_deg)), F.lit(round(360 / tile_deg))).alias("_tx"),
         F.floor(F.col("lat") / F.lit(tile_deg)).alias("_ty"),
+        F.floor(F.col("lon") / F.lit(tile_deg / PARTS)).alias("_px"),
+        F.floor(F.col("lat") / F.lit(tile_deg / PARTS)).alias("_py"),
+    )
+
+
+def _extent(tiled: DataFrame, names: Sequence[str]) -> DataFrame:
+    return tiled.groupBy(*names).agg(
+        F.min("c_lon").alias("t_w"), F.max("c_lon").alias("t_e"), F.min("c_lat").alias("t_s"), F.max("c_lat").alias("t_n")
     )
 
 
@@ -72,9 +104,7 @@ def _bounds() -> tuple[Column, Column]:
 
 def _candidates(boxes: DataFrame, tiled: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float) -> DataFrame:
     """Box-tile pairs that may lie within the radius, with their bounds."""
-    tiles = tiled.groupBy("_tx", "_ty").agg(
-        F.min("c_lon").alias("t_w"), F.max("c_lon").alias("t_e"), F.min("c_lat").alias("t_s"), F.max("c_lat").alias("t_n")
-    )
+    tiles = _extent(tiled, TILE)
     around = round(360 / tile_deg)
     reach = radius_km / KM_PER_DEGREE + 0.001
     half = cap_half_width_deg(_abs_max("b_s", "b_n"), radius_km) + F.lit(0.001)
@@ -87,27 +117,38 @@ def _candidates(boxes: DataFrame, tiled: DataFrame, keys: Sequence[str], radius_
     covered = covered.withColumn("_tx", F.pmod(F.col("_tx"), F.lit(around)))
     low, high = _bounds()
     pairs = covered.join(tiles, ["_tx", "_ty"]).withColumns({"low": low, "high": high})
-    return pairs.filter(F.col("low") <= radius_km).select(*keys, "_bx", "_by", "_tx", "_ty", "low", "high")
+    return pairs.filter(F.col("low") <= radius_km).select(*keys, *BOX, *TILE, "low", "high")
+
+
+def _in_parts(candidates: DataFrame, boxes: DataFrame, tiled: DataFrame, keys: Sequence[str], radius_km: float) -> DataFrame:
+    """The same pairs again with the parts of the tiles, under sharper bounds."""
+    low, high = _bounds()
+    pairs = candidates.join(boxes, [*keys, *BOX]).join(_extent(tiled, PART), list(TILE)).withColumns({"low": low, "high": high})
+    return pairs.filter(F.col("low") <= radius_km).select(*keys, *BOX, *PART, "low", "high")
 
 
 def _compare(candidates: DataFrame, placed: DataFrame, tiled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact distances of the open pairs, shortest first combined per cell."""
     d = haversine_km(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))
-    near = candidates.join(placed, [*keys, "_bx", "_by"]).join(tiled, ["_tx", "_ty"])
+    near = candidates.join(placed, [*keys, *BOX]).join(tiled, list(PART))
     return near.groupBy(*keys, "row", "col").agg(F.min(d).alias("distance_km"))
 
 
+def _may_be_nearest(pairs: DataFrame, keys: Sequence[str], where: Sequence[str]) -> DataFrame:
+    """Pairs whose box may hold the point nearest to some cell of the tile or part."""
+    best = pairs.groupBy(*keys, *where).agg(F.min("high").alias("best"))
+    return pairs.join(best, [*keys, *where]).filter(F.col("low") <= F.col("best")).select(*keys, *BOX, *where)
+
+
 def nearest(
     points: DataFrame, cells: DataFrame, keys: Sequence[str], radius_km: float, tile_deg: float = 0.5, box_deg: float = 0.25
 ) -> DataFrame:
     """Distance from each cell to the closest point of each group, up to ``radius_km``."""
-    placed, boxes = _boxes(points, keys, box_deg)
-    tiled = _tile(cells, tile_deg)
-    pairs = _candidates(boxes, tiled, keys, radius_km, tile_deg)
-    best = pairs.groupBy(*keys, "_tx", "_ty").agg(F.min("high").alias("best"))
-    open_pairs = pairs.join(best, [*keys, "_tx", "_ty"]).filter(F.col("low") <= F.col("best"))
-    found = _compare(open_pairs.select(*keys, "_bx", "_by", "_tx", "_ty"), placed, tiled, keys)
-    return found.filter(F.col("distance_km") <= radius_km)
+    placed = _placed(points, keys, box_deg)
+    boxes, tiled = _boxes(placed, keys), _tile(cells, tile_deg)
+    open_tiles = _may_be_nearest(_candidates(boxes, tiled, keys, radius_km, tile_deg), keys, TILE)
+    open_parts = _may_be_nearest(_in_parts(open_tiles, boxes, tiled, keys, radius_km), keys, PART)
+    return _compare(open_parts, placed, tiled, keys).filter(F.col("distance_km") <= radius_km)
 
 
 def within(
@@ -115,14 +156,18 @@ def within(
 ) -> DataFrame:
     """Cells (group, row, col) that have a point of the group within ``radius_km``.
 
-    A tile that one box covers wholly is taken without looking at single points.
+    A tile, or a part of one, that one box covers wholly is taken without looking at single points.
     """
-    placed, boxes = _boxes(points, keys, box_deg)
-    tiled = _tile(cells, tile_deg)
-    pairs = _candidates(boxes, tiled, keys, radius_km, tile_deg)
-    best = pairs.groupBy(*keys, "_tx", "_ty").agg(F.min("high").alias("best"))
-    covered = best.filter(F.col("best") <= radius_km).select(*keys, "_tx", "_ty")
-    inner = covered.join(tiled.select("_tx", "_ty", "row", "col"), ["_tx", "_ty"]).select(*keys, "row", "col")
-    rim = pairs.join(covered, [*keys, "_tx", "_ty"], "left_anti").select(*keys, "_bx", "_by", "_tx", "_ty")
+    placed = _placed(points, keys, box_deg)
+    boxes, tiled = _boxes(placed, keys), _tile(cells, tile_deg)
+
+    def split(pairs: DataFrame, where: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        best = pairs.groupBy(*keys, *where).agg(F.min("high").alias("best"))
+        covered = best.filter(F.col("best") <= radius_km).select(*keys, *where)
+        inner = covered.join(tiled.select(*where, "row", "col"), list(where)).select(*keys, "row", "col")
+        return inner, pairs.join(covered, [*keys, *where], "left_anti").select(*keys, *BOX, *where)
+
+    whole_tiles, rim = split(_candidates(boxes, tiled, keys, radius_km, tile_deg), TILE)
+    whole_parts, rim = split(_in_parts(rim, boxes, tiled, keys, radius_km), PART)
     outer = _compare(rim, placed, tiled, keys).filter(F.col("distance_km") <= radius_km).drop("distance_km")
-    return inner.unionByName(outer)
+    return whole_tiles.unionByName(whole_parts).unionByName(outer)
