@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitspark.llm import words
-from habitspark.plans.scale import broadcast_bytes_limit, stored
+from habitspark.llm.tables import written
+from habitspark.plans.scale import broadcast_bytes_limit
 
 COMMON = 1024
 NEAREST = 1
 POSTINGS = 250_000
+BLOCK = 250_000  # pairs looked at in one piece
 FLUSH = 250_000
 SKETCH_BITS = 22
 PAGE_BITS = 12
@@ -267,7 +269,7 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
             at = first[size == m][:, None] + np.arange(m)
             # later classes of a list down, earlier ones across; so a class's pairs lie in one run
             j, i = np.tril_indices(m, -1)
-            for block in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+            for block in np.array_split(at, max(1, len(at) * len(i) // BLOCK)):
                 a, b = block[:, i], block[:, j]
                 na, nb, ra, rb = n[a], n[b], rank[a], rank[b]
                 need = _least(na, nb, percent)
@@ -388,12 +390,12 @@ def deduplicate_lines(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"_keep_{k}") for k in keep])
-    summaries = stored(
+    summaries = written(
         rows.select("doc_id", "text").mapInArrow(_summaries(min_tokens), "doc_id long, line int, cls long, n int, parity long, page int, at binary, counts binary")
     )
     level = rarity(summaries)
     lines = summaries.filter("page is null").select("doc_id", "line", "cls", "n", "parity")
-    classes = stored(
+    classes = written(
         lines.groupBy("cls")
         .agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"))
         .select("cls", "at.doc_id", "at.line", "n", "parity")
@@ -405,7 +407,7 @@ def deduplicate_lines(
         listed = rows.select("doc_id", "text").mapInArrow(
             _postings(min_tokens, percent, level, buckets, long_list, keys), "bucket long, hashes binary, owners binary, sizes binary, ranks binary, maps binary, docs binary"
         )
-        return stored(listed.groupBy("bucket").applyInArrow(_bucket(percent, long_list, only, every), "a long, b long, key long"))
+        return written(listed.groupBy("bucket").applyInArrow(_bucket(percent, long_list, only, every), "a long, b long, key long"))
 
     index = indexed(None, NEAREST)
     common = index.filter("b is null and key is not null").select("key", F.col("a").alias("cls")).distinct()
@@ -416,72 +418,72 @@ def deduplicate_lines(
     need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
     alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("na") + F.col("nb") - 2 * need)
     sized = starred.distinct().join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
-    first_pairs = stored(
+    first_pairs = written(
         index.filter("b is not null").select("a", "b").unionByName(sized)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Word sets of the classes in some pairs, from their first lines."""
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "line"), "cls"))
-        holders = stored(wanted.select(F.col("doc_id").alias("_id")).distinct())
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "line"), "cls"))
+        holders = written(wanted.select(F.col("doc_id").alias("_id")).distinct())
         holding = rows.select("doc_id", "text").join(_hinted(holders, 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         found = holding.mapInArrow(_sets(min_tokens), "doc_id long, line int, cls long, tokens binary")
         at = wanted.select(F.col("cls").alias("_c"), F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
         here = (F.col("cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
-        return stored(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
+        return written(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
 
     def matches(pairs: DataFrame) -> DataFrame:
-        return stored(_later(pairs, sets_of(pairs), classes, percent))
+        return written(_later(pairs, sets_of(pairs), classes, percent))
 
     # every class first with the earliest it may match; most that match at all are settled by that
     at = classes.select("cls", F.struct("doc_id", "line", "cls").alias("at"))
     placed_pairs = first_pairs.join(at.select(F.col("cls").alias("a"), F.col("at").alias("at_a")), "a").join(
         at.select(F.col("cls").alias("b"), F.col("at").alias("at_b")), "b"
     )
-    directed = stored(placed_pairs.select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b")["cls"].alias("late")))
+    directed = written(placed_pairs.select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b")["cls"].alias("late")))
     unordered = lambda early, late: (F.least(early, late).alias("a"), F.greatest(early, late).alias("b"))
-    earliest = stored(directed.groupBy("late").agg(F.min("early")["cls"].alias("early")))
+    earliest = written(directed.groupBy("late").agg(F.min("early")["cls"].alias("early")))
     matched = matches(earliest.select(*unordered("early", "late")))
-    open_pairs = stored(
+    open_pairs = written(
         directed.select("late", F.col("early.cls").alias("early")).join(matched.withColumnRenamed("cls", "late"), "late", "left_anti")
         .join(earliest, ["late", "early"], "left_anti").select(*unordered("early", "late"))
     )
     if not open_pairs.isEmpty():
-        matched = stored(matched.unionByName(matches(open_pairs)).distinct())
+        matched = written(matched.unionByName(matches(open_pairs)).distinct())
 
     # classes with further partners on some list, and without an earlier match among the first ones
     beyond = index.filter("b is null and key is null").select(F.col("a").alias("cls")).distinct()
-    beyond = stored(beyond.join(matched, "cls", "left_anti"))
+    beyond = written(beyond.join(matched, "cls", "left_anti"))
     waiting = beyond.count()
     if waiting:
         few = waiting * 8 <= broadcast_bytes_limit(spark)
         holding = rows.select("doc_id", "text").join(
-            _hinted(stored(beyond.join(classes, "cls").select(F.col("doc_id").alias("_id")).distinct()), 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
+            _hinted(written(beyond.join(classes, "cls").select(F.col("doc_id").alias("_id")).distinct()), 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
         )
         theirs = holding.select("text").mapInArrow(_keys_of_classes(min_tokens, percent, level, long_list), "cls long, key long")
-        lists = stored(theirs.join(_hinted(beyond, 24), "cls", "left_semi").select("key").distinct())
+        lists = written(theirs.join(_hinted(beyond, 24), "cls", "left_semi").select("key").distinct())
         # their lists alone, if those are few enough to name
         named = 0 < lists.count() * 8 <= broadcast_bytes_limit(spark)
         keys = np.sort(lists.toArrow()["key"].to_numpy().view(np.uint64)) if named else None
         again = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, keys).filter("b is not null").select("a", "b").distinct()
         ends = again.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(beyond, "cls", "left_semi").select("a", "b").distinct()
-        matched = stored(matched.unionByName(matches(stored(ends.join(first_pairs, ["a", "b"], "left_anti")))).distinct())
+        matched = written(matched.unionByName(matches(written(ends.join(first_pairs, ["a", "b"], "left_anti")))).distinct())
 
     # classes of long lists that have no earlier match yet meet the others of their lists
-    keys = stored(placed.join(matched.withColumn("done", F.lit(True)), "cls", "left"))
+    keys = written(placed.join(matched.withColumn("done", F.lit(True)), "cls", "left"))
     x = keys.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("parity").alias("pa"))
     z = keys.filter("done is null").select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("parity").alias("pb"))
-    rest = stored(x.join(z, "key").filter("at_a < at_b").filter(alike).select(*unordered("a", "b")).distinct().join(first_pairs, ["a", "b"], "left_anti"))
+    rest = written(x.join(z, "key").filter("at_a < at_b").filter(alike).select(*unordered("a", "b")).distinct().join(first_pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        matched = stored(matched.unionByName(matches(rest)).distinct())
+        matched = written(matched.unionByName(matches(rest)).distinct())
     heads = classes.join(matched, "cls", "left_anti").select("cls", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
     removed = (
         lines.join(heads, "cls", "left")
         .filter(F.col("l0").isNull() | ~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("line") == F.col("l0"))))
         .select("doc_id", F.struct("line", "cls").alias("drop"))
     )
-    removed = stored(removed.groupBy("doc_id").agg(F.collect_set("drop").alias("drop")).withColumnRenamed("doc_id", "_id"))
+    removed = written(removed.groupBy("doc_id").agg(F.collect_set("drop").alias("drop")).withColumnRenamed("doc_id", "_id"))
     size = removed.agg(F.sum(F.size("drop") * 24 + 32)).first()[0] or 0
     hinted = F.broadcast(removed) if size <= broadcast_bytes_limit(spark) else removed
     kept = [F.col(f"_keep_{k}") for k in keep]
