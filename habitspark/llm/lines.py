@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitspark.llm import words
-from habitspark.llm.tables import written
+from habitspark.llm.tables import dropped, written
 from habitspark.plans.scale import broadcast_bytes_limit
 
 COMMON = 1024
 NEAREST = 1
 POSTINGS = 250_000
 BLOCK = 250_000  # pairs looked at in one piece
+ROUNDS = 4  # whole sets are sent for a quarter of the pairs at a time
 FLUSH = 250_000
 SKETCH_BITS = 22
 PAGE_BITS = 12
@@ -333,10 +334,10 @@ def _verified(percent: int):
     return run
 
 
-def _later(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Classes that a verified pair shows to have an earlier match."""
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+def _later(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Classes that a verified pair shows to have an earlier match; the sets are those of the first and of the second classes."""
+    left = sets_a.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
+    right = sets_b.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     linked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
     at = classes.select("cls", F.struct("doc_id", "line", "cls").alias("at"))
     placed = linked.join(at.select(F.col("cls").alias("a"), F.col("at").alias("at_a")), "a").join(
@@ -431,10 +432,20 @@ def deduplicate_lines(
         found = holding.mapInArrow(_sets(min_tokens), "doc_id long, line int, cls long, tokens binary")
         at = wanted.select(F.col("cls").alias("_c"), F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
         here = (F.col("cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
-        return written(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
+        sets = written(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
+        dropped(spark, wanted)
+        dropped(spark, holders)
+        return sets
 
     def matches(pairs: DataFrame) -> DataFrame:
-        return written(_later(pairs, sets_of(pairs), classes, percent))
+        """Classes with an earlier match among the pairs. Each round takes a share of the second classes of all pairs."""
+        sets, late = sets_of(pairs), None
+        share = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS))
+        for i in range(ROUNDS):
+            one = written(_later(pairs.filter(share("b") == i), sets, sets.filter(share("cls") == i), classes, percent))
+            late = one if late is None else late.unionByName(one)
+        dropped(spark, sets)
+        return late.distinct()
 
     # every class first with the earliest it may match; most that match at all are settled by that
     at = classes.select("cls", F.struct("doc_id", "line", "cls").alias("at"))
@@ -444,7 +455,7 @@ def deduplicate_lines(
     directed = written(placed_pairs.select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b")["cls"].alias("late")))
     unordered = lambda early, late: (F.least(early, late).alias("a"), F.greatest(early, late).alias("b"))
     earliest = written(directed.groupBy("late").agg(F.min("early")["cls"].alias("early")))
-    matched = matches(earliest.select(*unordered("early", "late")))
+    matched = written(matches(earliest.select(*unordered("early", "late"))))
     open_pairs = written(
         directed.select("late", F.col("early.cls").alias("early")).join(matched.withColumnRenamed("cls", "late"), "late", "left_anti")
         .join(earliest, ["late", "early"], "left_anti").select(*unordered("early", "late"))

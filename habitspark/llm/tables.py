@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from habitspark.plans.scale import stored
 
@@ -25,3 +25,10 @@ def written(df: DataFrame) -> DataFrame:
             spark.conf.unset(CLEANUP_CONF)
         else:
             spark.conf.set(CLEANUP_CONF, before)
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table made by ``written`` once nothing reads it any more, so everything made of it must be written itself."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
