@@ -139,3 +139,32 @@ def test_status_names_what_failed():
     assert status == [(1, "glm", "ok", ""), (1, "rf", "failed", "no variation")]
     with pytest.raises(TypeError):
         models.attempt(lambda: len(3), status, 1, "gbm")
+
+
+def test_folds_are_judged_in_one_pass(spark):
+    """Thresholds of the other folds, AUC and TSS as from rows copied per fold, with a fold of one class and one score for all."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{k % 3}", int(rng.integers(0, 3)), int(rng.random() < 0.4), float(rng.integers(0, 12)) / 12) for k in range(400)]
+    rows += [("one", 0, 1, 0.5), ("one", 1, 0, 0.5), ("one", 1, 1, 0.5), ("single", 2, 1, 0.1), ("single", 2, 0, 0.2), ("g0", 1, 1, None)]
+    df = spark.createDataFrame(rows, "g string, cv_fold int, presence int, score double")
+    asked: list[int] = []
+
+    def make():
+        real, scale_rows = metrics.running_totals, []
+        metrics.running_totals = lambda *a, **k: (scale_rows.append(1), real(*a, **k))[1]
+        try:
+            out = metrics.cross_fold_metrics(df, ["g"], "cv_fold", range(3))
+        finally:
+            metrics.running_totals = real
+        asked.append(len(scale_rows))
+        return sorted((r["g"], r["cv_fold"], round(r["auc"], 9), round(r["tss"], 9)) for r in out.collect())
+
+    want = []
+    for f in range(3):
+        limits = metrics.max_tss_roc(df.filter(F.col("cv_fold") != f), ["g"])
+        for r in metrics.fold_metrics(df.filter(F.col("cv_fold") == f), ["g"], "cv_fold", limits).collect():
+            want.append((r["g"], f, round(r["auc"], 9), round(r["tss"], 9)))
+    want = sorted(w for w in want if w[0] != "single")  # no rows outside its fold, so no threshold
+    small, large = both_paths(spark, make)
+    assert small == large == want
+    assert asked == [1, 1]
