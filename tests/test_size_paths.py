@@ -168,3 +168,19 @@ def test_folds_are_judged_in_one_pass(spark):
     small, large = both_paths(spark, make)
     assert small == large == want
     assert asked == [1, 1]
+
+
+def test_summary_reads_its_scores_once(spark, monkeypatch):
+    from habitspark.operators import workflow
+
+    rng = np.random.default_rng(2)
+    rows = [(f"s{k % 2}", k % 3, int(rng.random() < 0.4), *[float(v) for v in rng.random(6)]) for k in range(300)] + [("bare", 0, 0, *[0.5] * 6)]
+    df = spark.createDataFrame(rows, "species string, cv_fold int, presence int, glm double, gam double, rf double, gbm double, maxent double, ensemble double")
+    tables = []
+    real = metrics.roc_table
+    monkeypatch.setattr(metrics, "roc_table", lambda d, keys, *a: (tables.append(tuple(keys)), real(d, keys, *a))[1])
+    got = {r["species"]: r for r in workflow.species_summary(df, spread=False).collect()}
+    assert sorted(tables) == [("species",), ("species", "cv_fold")]
+    assert "algo_sd_mean" in workflow.species_summary(df).columns
+    want = {r["species"]: r for r in metrics.thresholds(df.withColumn("score", F.col("ensemble")), ["species"]).collect()}
+    assert {k: (v["maxTSS"], v["p10"]) for k, v in want.items()} == {k: (v["maxTSS"], v["p10"]) for k, v in got.items()}
