@@ -184,3 +184,28 @@ def test_summary_reads_its_scores_once(spark, monkeypatch):
     assert "algo_sd_mean" in workflow.species_summary(df).columns
     want = {r["species"]: r for r in metrics.thresholds(df.withColumn("score", F.col("ensemble")), ["species"]).collect()}
     assert {k: (v["maxTSS"], v["p10"]) for k, v in want.items()} == {k: (v["maxTSS"], v["p10"]) for k, v in got.items()}
+
+
+def test_many_groups_are_dealt_to_many_tasks(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 400 AS k", "id AS v")
+    assert scale.dealt(df, ["k"], 400).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    monkeypatch.setattr(scale, "TASK_GROUPS", 10)
+    much = scale.dealt(df, ["k"], 400)
+    assert much.rdd.getNumPartitions() == 40
+    held = much.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("k").alias("n")).agg(F.max("n")).first()[0]
+    assert held < 40
+    assert much.groupBy("k").agg(F.sum("v").alias("s")).exceptAll(df.groupBy("k").agg(F.sum("v").alias("s"))).isEmpty()
+
+
+def test_bands_of_cells_are_one_sum(spark, monkeypatch):
+    """One exchange for the lines of a cell, none for bands that nobody reads; many cells give as many tasks as they need."""
+    from habitspark.suite import views
+
+    folder = "/root/testdata/sf0.001"
+    few = sorted(map(tuple, views.bands_wide(spark, folder).collect()), key=lambda r: r[:2])
+    plan = views.bands_wide(spark, folder).select("row", "col", "b1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "= 2" not in plan
+    monkeypatch.setattr(scale, "TASK_GROUPS", 20)
+    wide = views.bands_wide(spark, folder)
+    assert wide.rdd.getNumPartitions() >= 50
+    assert sorted(map(tuple, wide.collect()), key=lambda r: r[:2]) == few
