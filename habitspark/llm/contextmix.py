@@ -10,13 +10,16 @@ Every bit is predicted in five contexts: the node alone, and hashed with the pre
 ones, with the domain of the text so far (which of a few word distributions fits it best), and with domain and
 previous symbol; in spelled words, with the last byte and the domain, and with the last two, three and five bytes. The hashed tables have a fixed
 size and hold counts of the whole training corpus. Predictions are mixed in the logistic domain with weights chosen by a gate (depth, kind of symbol, confidence of the
-longest context), and an adaptive map refines the result. Weights and map start from values learned on a
-bounded set of training rows and learn on within each text, a few hundred symbols at a time; texts do not influence each other, so
-results do not depend on how rows are dealt out.
+longest context), and an adaptive map refines the result. All training rows set the domains (rounds of expectation and
+maximisation as sums over all tasks, begun from a few hundred rows) and the weights and map that every text starts from: shards of
+some megabytes are gone through one after another in themselves, with tables counted on the other half of the
+rows, and averaged by use. Within each text they learn on, a few hundred symbols at a time. Texts are dealt to halves and shards by a
+hash of their id and sums are of whole numbers, so results do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Iterator
 
@@ -35,7 +38,10 @@ ENDINGS = 16
 MAGNITUDES = 40
 TABLE_BITS = 19
 PAGE_BITS = 12
-CALIBRATION_ROWS = 300  # at most so many training rows, and one in twenty, set domains and first weights; they are not in the tables
+CALIBRATION_ROWS = 300  # the domains of at most so many training rows, and one in twenty, are where the rounds over all rows begin
+DOMAIN_ROUNDS = 3
+SHARD_BYTES = 8 << 20
+UNIT = 1 << 20  # weights are summed up as whole multiples of its inverse
 DOMAINS = 8
 ROUND = 256
 RATE = 0.2
@@ -298,6 +304,36 @@ def fit_domains(alphabet: Alphabet, texts: list[np.ndarray], rounds: int = 15, s
     return log.astype(np.float32)
 
 
+def _domain_round(domains: np.ndarray):
+    """Sums of one round: symbols by domain, each text shared out in 1024 parts among the domains that fit it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(domains), DOMAINS), np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                t = np.frombuffer(raw.as_buffer(), np.uint16)
+                symbols, n = np.unique(t[t < BYTES], return_counts=True)
+                fit = n @ domains[symbols].astype(np.float64)
+                share = np.exp(fit - fit.max())
+                total[symbols] += n[:, None] * np.rint(share / share.sum() * 1024).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total.ravel()[used])], ["at", "total"])
+
+    return run
+
+
+def refined_domains(domains: np.ndarray, learned: DataFrame) -> np.ndarray:
+    """Domains after rounds over all training rows; the driver holds one number per symbol and domain."""
+    for _ in range(DOMAIN_ROUNDS):
+        body = np.zeros(domains.shape)
+        for at, total in learned.select("seen_less").mapInArrow(_domain_round(domains), "at int, total long").groupBy("at").agg(F.sum("total")).collect():
+            body.ravel()[at] = total / 1024
+        whole = body.sum(axis=1, keepdims=True) + 0.1
+        body += 50 * whole / whole.sum()
+        domains = np.log(body / body.sum(axis=0)).astype(np.float32)
+    return domains
+
+
 def contexts(domains: np.ndarray, sym: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Four context hashes for every symbol of texts that begin at ``starts``."""
     n = len(sym)
@@ -368,46 +404,52 @@ def _table_counts(alphabet: Alphabet, domains: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = -(-alphabet.nodes // page) * page
-        counts = [np.zeros((2, size), np.uint32) for _ in range(4)] + [np.zeros((2, nodes), np.uint32)]
+        counts = [[np.zeros((2, size), np.uint32) for _ in range(4)] + [np.zeros((2, nodes), np.uint32)] for _ in range(2)]
 
-        def add(texts: list[np.ndarray]) -> None:
+        def add(texts: list[np.ndarray], half: int) -> None:
             sym = np.concatenate(texts).astype(np.int64)
             lengths = np.array([len(t) for t in texts])
             ctx = contexts(domains, sym, np.cumsum(lengths) - lengths)
             for a in range(0, len(sym), 100_000):
                 bits = Bits(alphabet, sym[a : a + 100_000], [c[a : a + 100_000] for c in ctx])
-                for table, slot in zip(counts, [*bits.slots, bits.node]):
+                for table, slot in zip(counts[half], [*bits.slots, bits.node]):
                     at = slot.astype(np.int64) + bits.bit * np.int64(table.shape[1])
                     table += np.bincount(at, minlength=table.size).reshape(table.shape).astype(np.uint32)
 
-        held: list[np.ndarray] = []
+        held: tuple[list, list] = ([], [])
         for batch in batches:
-            for raw in batch.column(0):
-                held.append(np.frombuffer(raw.as_buffer(), np.uint16))
-                if sum(map(len, held)) > 200_000:
-                    add(held)
-                    held = []
-        if held:
-            add(held)
-        for t, table in enumerate(counts):
-            pages = table.reshape(2, -1, page)
-            used = np.flatnonzero(pages.any(axis=(0, 2)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((used + (t << 20)).astype(np.int32)), pa.array([pages[:, p].tobytes() for p in used], pa.binary())], ["page", "counts"]
-            )
+            for half, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[half].append(np.frombuffer(raw.as_buffer(), np.uint16))
+                if sum(map(len, held[half])) > 200_000:
+                    add(held[half], half)
+                    held[half].clear()
+        for half in range(2):
+            if held[half]:
+                add(held[half], half)
+            for t, table in enumerate(counts[half]):
+                pages = table.reshape(2, -1, page)
+                used = np.flatnonzero(pages.any(axis=(0, 2)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((used + (t << 20)).astype(np.int32)), pa.array(np.full(len(used), half, np.int32)), pa.array([pages[:, p].tobytes() for p in used], pa.binary())],
+                    ["page", "half", "counts"],
+                )
 
     return run
 
 
 def _table_page(table: pa.Table) -> pa.Table:
-    total = np.zeros((2, 1 << PAGE_BITS), np.int64)
-    for raw in table["counts"].to_pylist():
-        total += np.frombuffer(raw, np.uint32).reshape(2, -1)
-    n = total.sum(axis=0)
-    stretch = np.log((total[1] + 0.4) / (total[0] + 0.4))
-    level = (n > 0).astype(np.uint8) + (n > 3) + (n > 31)
-    packed = np.stack([np.clip(np.rint(stretch * 12), -127, 127).astype(np.int8).view(np.uint8), level.astype(np.uint8)])
-    return pa.table({"page": table["page"][:1], "slots": pa.array([packed.tobytes()], pa.binary())})
+    """A page of the tables: of all rows, without those of the first half, and without those of the second."""
+    total = np.zeros((2, 2, 1 << PAGE_BITS), np.int64)
+    for half, raw in zip(table["half"].to_pylist(), table["counts"].to_pylist()):
+        total[half] += np.frombuffer(raw, np.uint32).reshape(2, -1)
+
+    def packed(counts: np.ndarray) -> bytes:
+        n = counts.sum(axis=0)
+        stretch = np.log((counts[1] + 0.4) / (counts[0] + 0.4))
+        level = (n > 0).astype(np.uint8) + (n > 3) + (n > 31)
+        return np.stack([np.clip(np.rint(stretch * 12), -127, 127).astype(np.int8).view(np.uint8), level.astype(np.uint8)]).tobytes()
+
+    return pa.table({"page": table["page"][:1], "slots": pa.array([packed(total.sum(axis=0))], pa.binary()), "half_0": pa.array([packed(total[1])], pa.binary()), "half_1": pa.array([packed(total[0])], pa.binary())})
 
 
 class Mixer:
@@ -426,6 +468,8 @@ class Mixer:
         self.gates = 2 * DEPTHS * LEVELS * LEVELS
         self.weights = np.tile(np.array([0.2, 0.2, 0.2, 0.2, 0.2, 0.0], np.float32), (self.gates, 1))
         self.map = np.linspace(-8, 8, BUCKETS, dtype=np.float32)
+        # how often each was learned from
+        self.weights_used, self.map_used = np.zeros(self.gates, np.int64), np.zeros(BUCKETS, np.int64)
 
     def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((INPUTS, len(bits.node)), np.float32)
@@ -483,17 +527,50 @@ class Mixer:
                 weights[used, k] += rate * np.bincount(cell, weights=error * x[k], minlength=len(weights))[used]
             seen = np.bincount(near, minlength=len(curve))
             curve += (np.bincount(near, weights=error, minlength=len(curve)) / (seen + 64.0)).astype(np.float32)
+            if learn:
+                self.weights_used += count
+                self.map_used += seen
         if learn:
             self.weights = weights.reshape(self.gates, INPUTS)
             self.map = curve
         return out
 
-    def calibrate(self, texts: list[np.ndarray], epochs: int = 3) -> None:
-        for _ in range(epochs):
+    def calibrate(self, texts: list[np.ndarray]) -> None:
+        """Learn from texts one group after another; few texts are gone through again."""
+        for _ in range(max(1, min(3, 1000 // max(len(texts), 1)))):
             for a in range(0, len(texts), 50):
                 self.run(texts[a : a + 50], learn=True)
 
 
+def _learned(mixers: list[Mixer]):
+    """Weights and map after the texts of a shard, times their use, and the use; with the tables of the other half."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        mixer = copy.copy(mixers[key[0].as_py()])
+        mixer.weights_used, mixer.map_used = np.zeros(mixer.gates, np.int64), np.zeros(BUCKETS, np.int64)
+        table = table.sort_by([("draw", "ascending"), ("seen_less", "ascending")])
+        mixer.calibrate([np.frombuffer(raw, np.uint16).astype(np.int64) for raw in table["seen_less"].to_pylist()])
+        whole = lambda values, used: np.rint(values.astype(np.float64) * UNIT).astype(np.int64) * used
+        sums = np.concatenate([whole(mixer.weights, mixer.weights_used[:, None]).ravel(), mixer.weights_used, whole(mixer.map, mixer.map_used), mixer.map_used])
+        used = np.flatnonzero(sums)
+        return pa.table({"at": pa.array(used.astype(np.int32)), "total": pa.array(sums[used])})
+
+    return run
+
+
+def learn_start(mixer: Mixer, halves: list[Mixer], learned: DataFrame, shards: int) -> None:
+    """Weights and map of ``mixer`` as the mean over all shards of the training rows."""
+    dealt = learned.withColumn("shard", F.pmod(F.shiftright("draw", 1), F.lit(shards)))
+    sums = dealt.groupBy("half", "shard").applyInArrow(_learned(halves), "at int, total long").groupBy("at").agg(F.sum("total")).collect()
+    total = np.zeros(mixer.gates * (INPUTS + 1) + 2 * BUCKETS)
+    for at, value in sums:
+        total[at] = value
+    weights, used, curve, curve_used = np.split(total, np.cumsum([mixer.gates * INPUTS, mixer.gates, BUCKETS]))
+    mean = weights.reshape(-1, INPUTS) / np.maximum(used, 1)[:, None] / UNIT
+    mixer.weights = np.where(used[:, None] > 0, mean, mixer.weights).astype(np.float32)
+    mixer.map = np.where(curve_used > 0, curve / np.maximum(curve_used, 1) / UNIT, mixer.map).astype(np.float32)
+
+
 def _scored(mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -540,20 +617,23 @@ def score_texts(docs: DataFrame, training: Column, doc_id: str = "doc_id", text:
     alphabet = _alphabet(counted.filter("block is null"))
     replies = counted.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies"))
     encoded = stored(blocks.join(replies, "block").select("payload", "replies").mapInArrow(_encoded(alphabet, buckets), _ENCODED))
-    learned = encoded.filter("train").select(F.xxhash64("doc_id").alias("draw"), "seen_less")
-    rows_first = min(calibration_rows, -(-learned.count() // 20))
+    draw = F.xxhash64("doc_id")
+    learned = encoded.filter("train").select(draw.alias("draw"), draw.bitwiseAND(F.lit(1)).cast("int").alias("half"), "seen_less")
+    held = learned.agg(F.count(F.lit(1)), F.sum(F.length("seen_less"))).first()
+    rows_first = min(calibration_rows, -(-held[0] // 20))
     sample = [r for r in learned.orderBy("draw", "seen_less").limit(rows_first).collect()]
     texts = [np.frombuffer(r["seen_less"], np.uint16).astype(np.int64) for r in sample]
-    domains = fit_domains(alphabet, texts) if texts else np.zeros((alphabet.size, DOMAINS), np.float32)
-    last = sample[-1]["draw"] if sample else 0
+    domains = refined_domains(fit_domains(alphabet, texts), learned) if texts else np.zeros((alphabet.size, DOMAINS), np.float32)
     tables = (
-        learned.filter(F.col("draw") > F.lit(last)).select("seen_less")
-        .mapInArrow(_table_counts(alphabet, domains), "page int, counts binary")
+        learned.select("half", "seen_less")
+        .mapInArrow(_table_counts(alphabet, domains), "page int, half int, counts binary")
         .groupBy("page")
-        .applyInArrow(_table_page, "page int, slots binary")
+        .applyInArrow(_table_page, "page int, slots binary, half_0 binary, half_1 binary")
     )
-    mixer = Mixer(alphabet, domains, [(p, bytes(s)) for p, s in tables.collect()])  # a fixed number of slots
-    mixer.calibrate(texts)
+    pages = tables.collect()  # a fixed number of slots
+    mixer, *halves = [Mixer(alphabet, domains, [(r["page"], bytes(r[name])) for r in pages]) for name in ("slots", "half_0", "half_1")]
+    if texts:
+        learn_start(mixer, halves, learned, max(1, (held[1] or 0) // (2 * SHARD_BYTES)))
     scored = encoded.select("doc_id", "n_tokens", "n_known", "base_score", "n_bytes", "symbols", "within", "train").mapInArrow(
         _scored(mixer), "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train boolean"
     )

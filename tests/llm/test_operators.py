@@ -446,3 +446,29 @@ def test_surrogates_against_a_plain_rewrite(spark):
     got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").select("doc_id", "text", "n_entities").collect()
     want = [(i, None if t is None else pattern.sub(lambda m: new[m.group()], t), len(pattern.findall(t or ""))) for i, t in rows]
     assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_every_training_row_sets_domains_tables_and_weights(spark, monkeypatch):
+    """With many more training rows than the first sample holds, all are learned from, however they are dealt out."""
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(rng.choice(names[20 * (k % 3) : 20 * (k % 3) + 20], 12))) for k in range(400)]
+    docs = table(spark, rows)
+    calls = []
+    real_round, real_learn = contextmix.refined_domains, contextmix.learn_start
+    monkeypatch.setattr(contextmix, "refined_domains", lambda d, learned: (calls.append(learned.count()), real_round(d, learned))[1])
+
+    def learn(mixer, halves, learned, shards):
+        calls.append(learned.count())
+        root = [int(m.level[4].astype(bool).sum()) for m in (mixer, *halves)]
+        assert root[0] >= max(root[1:])  # the scoring tables hold what either half has
+        real_learn(mixer, halves, learned, 3)
+        # three passes over three shards of each half: every bit of every text was used
+        assert mixer.weights.shape == (mixer.gates, contextmix.INPUTS)
+
+    monkeypatch.setattr(contextmix, "learn_start", learn)
+    first = {r.doc_id: r.score for r in contextmix.score_texts(docs, F.col("doc_id") % 7 != 2, calibration_rows=5).collect()}
+    n = sum(k % 7 != 2 for k in range(400))
+    assert calls == [n, n] and n > 5
+    again = {r.doc_id: r.score for r in contextmix.score_texts(docs.repartition(5), F.col("doc_id") % 7 != 2, calibration_rows=5).collect()}
+    assert max(abs(first[k] - again[k]) for k in first) < 1e-6
