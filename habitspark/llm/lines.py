@@ -10,7 +10,7 @@ by the magnitude of a count kept in a table of fixed size (4 MB, words share
 counters by hash), then by hash. Any two similar sets share a word among the first
 few of each, the prefix, and a second one among those and the next. A class is listed under each rare word of its prefix, and
 for a common word (over ``COMMON`` lines) under the pairs of that word and each later one instead, so lists stay short. Pairs on one list pass the length and the
-positional filter, and one on 64 parities of the words of each set, before their whole sets are
+positional filter, and one on 64 parities of the words of each set, then one on 512, before their whole sets are
 compared. A list that is long all the same is not paired directly: all its classes are compared with the
 earliest one, and those still without an earlier match then meet the others.
 """
@@ -33,7 +33,9 @@ COMMON = 1024
 NEAREST = 1
 POSTINGS = 250_000
 BLOCK = 250_000  # pairs looked at in one piece
-ROUNDS = 4  # whole sets are sent for a quarter of the pairs at a time
+PAIRS = 2000  # pairs verified in one piece, below 2^18
+ROUNDS = 16  # at most so many shares of the pairs, for which whole sets are sent one after the other
+PARITIES = 8  # longs of parities that are compared before whole sets are
 FLUSH = 250_000
 SKETCH_BITS = 22
 PAGE_BITS = 12
@@ -246,12 +248,15 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
     """Pairs of classes that pass the length, positional and parity filters; classes on long lists (b null).
 
     A class gets the ``nearest`` earliest partners of a list, by the smallest documents; a row without a key
-    and partner says that it has more. Within one document either of the two may be the earlier, so both are said to have more. Without that limit, and with ``only``, pairs of these classes are given in full.
+    and partner says that it has more. Within one document either of the two may be the earlier, so both are said to have more. Without that limit, and with ``only``, all pairs are given
+    in which one of these classes may be the later, and nothing else.
     """
 
     def run(table: pa.Table) -> pa.Table:
         kinds = (("hashes", np.uint64), ("owners", np.int64), ("sizes", np.uint32), ("ranks", np.uint32), ("maps", np.uint64), ("docs", np.int64))
         h, own, n, rank, parity, doc = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in kinds)
+        if only is not None and table["bucket"][0].as_py() < 0:
+            return pa.table({c: pa.nulls(0, pa.int64()) for c in ("a", "b", "key")})
         if table["bucket"][0].as_py() < 0:
             return pa.table({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64()), "key": pa.array(h.view(np.int64))})
         order = np.lexsort((doc, own, h))
@@ -264,29 +269,33 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
         n, rank, parity = n[order].astype(np.int64), rank[order].astype(np.int64), parity[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[first, len(h)])
-        common = np.repeat(size > long_list, size)
+        common = np.repeat(size > long_list, size) & (only is None)
+        asked = None if only is None else np.isin(own, only)
         lefts, rights, more = ([np.zeros(0, np.int64)] for _ in range(3))
         for m in np.unique(size[(size > 1) & (size <= long_list)]).tolist():
             at = first[size == m][:, None] + np.arange(m)
             # later classes of a list down, earlier ones across; so a class's pairs lie in one run
             j, i = np.tril_indices(m, -1)
+            if asked is not None:
+                at = at[asked[at].any(axis=1)]
             for block in np.array_split(at, max(1, len(at) * len(i) // BLOCK)):
-                a, b = block[:, i], block[:, j]
+                a, b = block[:, i].ravel(), block[:, j].ravel()
+                list_of = np.repeat(np.arange(len(block)), len(i))
+                if asked is not None:
+                    take = asked[b] | (asked[a] & (doc[a] == doc[b]))
+                    a, b, list_of = a[take], b[take], list_of[take]
                 na, nb, ra, rb = n[a], n[b], rank[a], rank[b]
                 need = _least(na, nb, percent)
                 ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (np.minimum(ra, rb) + np.minimum(na - ra, nb - rb) >= need)
                 # every parity that differs is a word that only one of the two has
                 ok &= np.bitwise_count(parity[a] ^ parity[b]) <= na + nb - 2 * need
                 one_doc = doc[a[ok]] == doc[b[ok]]
-                a, b, list_of = own[a[ok]], own[b[ok]], np.nonzero(ok)[0]
+                a, b, list_of = own[a[ok]], own[b[ok]], list_of[ok]
                 if nearest is not None and len(a):
                     run_start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (list_of[1:] != list_of[:-1])])
                     place = np.arange(len(b)) - np.repeat(run_start, np.diff(np.r_[run_start, len(b)]))
                     more.append(np.unique(np.r_[b[place >= nearest], a[(place >= nearest) & one_doc]]))
                     a, b = a[place < nearest], b[place < nearest]
-                if only is not None:
-                    take = np.isin(a, only) | np.isin(b, only)
-                    a, b = a[take], b[take]
                 lefts.append(a)
                 rights.append(b)
         a, b = np.concatenate(lefts), np.concatenate(rights)
@@ -321,19 +330,66 @@ def _sets(min_tokens: int):
     return run
 
 
+def _shared(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Number of common words of each two sets, both in ascending order."""
+
+    def flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = pc.binary_length(sets).to_numpy().astype(np.int64) // 8
+        words_of = np.frombuffer(b"".join(s.as_buffer() for s in sets), np.uint64)
+        pair = np.repeat(np.arange(len(n)), n)
+        return words_of, pair, pair.astype(np.uint64) << np.uint64(46) | words_of >> np.uint64(18)
+
+    (hx, px, kx), (hy, py, ky) = flat(x), flat(y)
+    if not len(kx) or not len(ky):
+        return np.zeros(len(x), np.int64)
+    first, last = np.searchsorted(kx, ky), np.searchsorted(kx, ky, "right")
+    at = np.minimum(first, len(kx) - 1)
+    same = (last > first) & (hx[at] == hy)
+    # words of one set that differ in the bits cut off only
+    for i in np.flatnonzero(last - first > 1):
+        same[i] = (hx[first[i] : last[i]] == hy[i]).any()
+    return np.bincount(py[same], minlength=len(x))
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                x, y = batch.column(2), batch.column(3)
+                both = _shared(x, y)
+                n = (pc.binary_length(x).to_numpy().astype(np.int64) + pc.binary_length(y).to_numpy()) // 8
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(100 * both >= percent * (n - both)))
 
     return run
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and 64 x ``PARITIES`` parities of each set."""
+    for batch in batches:
+        n = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) // 8
+        h = np.frombuffer(b"".join(s.as_buffer() for s in batch.column(1)), np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        out = np.zeros((len(n), PARITIES), np.uint64)
+        at = (h >> np.uint64(13)) % np.uint64(PARITIES)
+        np.bitwise_xor.at(out, (row, at.astype(np.int64)), np.uint64(1) << ((h >> np.uint64(7)) & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n.astype(np.int32)), *[pa.array(out[:, i].view(np.int64)) for i in range(PARITIES)]],
+            ["cls", "n", *[f"s{i}" for i in range(PARITIES)]],
+        )
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities do not rule out that they are similar. Each that differs is a word that only one of the two sets has."""
+    sketches = written(sets.mapInArrow(_parities, "cls long, n int" + "".join(f", s{i} long" for i in range(PARITIES))))
+    side = lambda c: sketches.select(F.col("cls").alias(c), F.col("n").alias("n" + c), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(PARITIES)])
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PARITIES)), F.lit(0))
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b"))
+    dropped(sets.sparkSession, sketches)
+    return near
+
+
 def _later(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Classes that a verified pair shows to have an earlier match; the sets are those of the first and of the second classes."""
     left = sets_a.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
@@ -439,12 +495,19 @@ def deduplicate_lines(
 
     def matches(pairs: DataFrame) -> DataFrame:
         """Classes with an earlier match among the pairs. Each round takes a share of the second classes of all pairs."""
-        sets, late = sets_of(pairs), None
-        share = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS))
-        for i in range(ROUNDS):
-            one = written(_later(pairs.filter(share("b") == i), sets, sets.filter(share("cls") == i), classes, percent))
+        every = sets_of(pairs)
+        near = _near(pairs, every, percent)
+        ends = written(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        sets, late = written(every.join(_hinted(ends, 24), "cls", "left_semi")), None
+        dropped(spark, every)
+        # a round sends about as many sets as there are
+        rounds = min(ROUNDS, max(1, -(-near.count() // max(1, ends.count()))))
+        share = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds))
+        for i in range(rounds):
+            one = written(_later(near.filter(share("b") == i), sets, sets.filter(share("cls") == i), classes, percent))
             late = one if late is None else late.unionByName(one)
-        dropped(spark, sets)
+        for table in (sets, near, ends):
+            dropped(spark, table)
         return late.distinct()
 
     # every class first with the earliest it may match; most that match at all are settled by that
@@ -460,6 +523,8 @@ def deduplicate_lines(
         directed.select("late", F.col("early.cls").alias("early")).join(matched.withColumnRenamed("cls", "late"), "late", "left_anti")
         .join(earliest, ["late", "early"], "left_anti").select(*unordered("early", "late"))
     )
+    dropped(spark, directed)
+    dropped(spark, earliest)
     if not open_pairs.isEmpty():
         matched = written(matched.unionByName(matches(open_pairs)).distinct())
 
@@ -477,8 +542,9 @@ def deduplicate_lines(
         # their lists alone, if those are few enough to name
         named = 0 < lists.count() * 8 <= broadcast_bytes_limit(spark)
         keys = np.sort(lists.toArrow()["key"].to_numpy().view(np.uint64)) if named else None
-        again = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, keys).filter("b is not null").select("a", "b").distinct()
-        ends = again.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(beyond, "cls", "left_semi").select("a", "b").distinct()
+        ends = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, keys).filter("b is not null").select("a", "b").distinct()
+        if not few:
+            ends = ends.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(beyond, "cls", "left_semi").select("a", "b").distinct()
         matched = written(matched.unionByName(matches(written(ends.join(first_pairs, ["a", "b"], "left_anti")))).distinct())
 
     # classes of long lists that have no earlier match yet meet the others of their lists

@@ -110,6 +110,33 @@ def test_line_chains_within_a_document(spark):
     assert all("\n" not in t for _, t in got)
 
 
+def test_common_words_of_set_pairs():
+    rng = np.random.default_rng(5)
+    # words that differ in their lowest bits only stand beside each other as well
+    pool = np.unique(np.r_[rng.integers(0, 1 << 63, 40, dtype=np.uint64), np.arange(20, dtype=np.uint64), np.uint64(1 << 50) + np.arange(20, dtype=np.uint64)])
+    sets = [[np.sort(rng.choice(pool, rng.integers(0, 30), replace=False)) for _ in range(500)] for _ in range(2)]
+    x, y = (pa.array([s.tobytes() for s in side], pa.binary()) for side in sets)
+    assert lines._shared(x, y).tolist() == [len(np.intersect1d(a, b)) for a, b in zip(*sets)]
+    assert lines._shared(x[:0], y[:0]).tolist() == []
+
+
+def test_second_pass_gives_pairs_that_may_settle_a_class():
+    # one list of four classes, ids 1 to 4 in documents 1, 2, 2, 3
+    m = 4
+    columns = {"hashes": np.full(m, 9, np.uint64), "owners": np.arange(1, m + 1), "sizes": np.full(m, 5, np.uint32), "ranks": np.ones(m, np.uint32),
+               "maps": np.zeros(m, np.uint64), "docs": np.array([1, 2, 2, 3])}
+    table = pa.table({"bucket": [0], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()}})
+
+    def pairs(wanted, long_list=8):
+        got = lines._bucket(80, long_list, np.array(wanted, np.int64), None)(table).to_pylist()
+        return [(r["a"], r["b"]) for r in got]
+
+    assert pairs([4]) == [(1, 4), (2, 4), (3, 4)]
+    assert pairs([2]) == [(1, 2), (2, 3)]  # not with 4, which is later; 3 stands in the same document
+    assert pairs([1]) == [] and pairs([7]) == []
+    assert pairs([4], long_list=3) == []
+
+
 def test_decontamination(spark):
     item = "A train leaves the old station at 9 km per hour with 45 passengers and Mr Miller pays 12 dollars for the short trip to London before noon"
     moved = item.replace("45", "81").replace("12", "30").replace("9 km", "7 miles").replace("Miller", "Jones")
