@@ -32,13 +32,15 @@ from habitspark.plans.scale import broadcast_bytes_limit
 COMMON = 1024
 NEAREST = 1
 POSTINGS = 250_000
-BLOCK = 250_000  # pairs looked at in one piece
+BLOCK = 100_000  # pairs looked at in one piece
 PAIRS = 2000  # pairs verified in one piece, below 2^18
 ROUNDS = 16  # at most so many shares of the pairs, for which whole sets are sent one after the other
 PARITIES = 8  # longs of parities that are compared before whole sets are
 FLUSH = 250_000
 SKETCH_BITS = 22
 PAGE_BITS = 12
+MARK_BITS = 26  # a bitmap of marked hashes has at most so many bits, 8 MB
+BROADCAST_SHARE = 8  # rows take several times their own size in a broadcast, and each executor holds it
 
 
 def _sorted(high: np.ndarray, mid: np.ndarray | None, h: np.ndarray) -> np.ndarray:
@@ -171,20 +173,30 @@ def _common_level(long_list: int) -> int:
     return int(np.floor(np.log2(long_list) * 4))
 
 
-def _keys_of_classes(min_tokens: int, percent: int, level_bytes: bytes, long_list: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(level_bytes, np.uint8)
-        for batch in batches:
-            for found in lines_of(batch.column(0), min_tokens):
-                if len(found.n):
-                    keys, line, _ = _keys(found, np.ones(len(found.n), bool), percent, level, _common_level(long_list))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.cls[line]), pa.array(keys.view(np.int64))], ["cls", "key"])
+def _marked_page(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << PAGE_BITS, bool)
+    bits[table["slot"].to_numpy() & ((1 << PAGE_BITS) - 1)] = True
+    return pa.table({"page": table["page"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def marks(hashes: DataFrame) -> np.ndarray:
+    """Bitmap by the first bits of some 64-bit hashes, the only column; about one in sixteen others is marked too, more if there are very many."""
+    column = F.col(hashes.columns[0])
+    bits = max(PAGE_BITS + 1, min(MARK_BITS, (16 * hashes.count()).bit_length()))
+    slots = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")).withColumn("page", F.shiftright("slot", PAGE_BITS).cast("int"))
+    out = np.zeros((1 << (bits - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
+    for page, raw in slots.groupBy("page").applyInArrow(_marked_page, "page int, bits binary").collect():
+        out[page] = np.frombuffer(raw, np.uint8)
+    return out.ravel()
 
-    return run
+
+def _marked(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.uint64) >> np.uint64(64 - (8 * len(bitmap) - 1).bit_length())
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] << (slot & np.uint64(7)).astype(np.uint8) & np.uint8(128)) != 0
 
 
 def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, long_list: int, wanted: np.ndarray | None):
-    """Distinct lines under the keys (the wanted ones, sorted) of their prefixes: hash, class, size, rank of the first word, parities, smallest document."""
+    """Distinct lines under the keys (at least the marked ones) of their prefixes: hash, class, size, rank of the first word, parities, smallest document."""
 
     def flush(parts: list, seen: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, own, n, rank, parity = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -222,8 +234,7 @@ def _postings(min_tokens: int, percent: int, level_bytes: bytes, buckets: int, l
                 new &= ~np.isin(found.cls, seen)
                 keys, at, rank = _keys(found, new, percent, level, _common_level(long_list))
                 if wanted is not None:
-                    place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    hit = wanted[place] == keys
+                    hit = _marked(keys, wanted)
                     keys, at, rank = keys[hit], at[hit], rank[hit]
                 parts.append((keys, found.cls[at], found.n[at], rank, found.parity[at]))
                 cls, doc = np.r_[seen, found.cls], np.r_[least, ids[found.text]]
@@ -247,8 +258,8 @@ def _least(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
 def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int | None):
     """Pairs of classes that pass the length, positional and parity filters; classes on long lists (b null).
 
-    A class gets the ``nearest`` earliest partners of a list, by the smallest documents; a row without a key
-    and partner says that it has more. Within one document either of the two may be the earlier, so both are said to have more. Without that limit, and with ``only``, all pairs are given
+    A class gets the ``nearest`` earliest partners of a list, by the smallest documents; a row that has it on both sides
+    names a list on which it has more. Within one document either of the two may be the earlier, so both are said to have more. Without that limit, and with ``only``, all pairs are given
     in which one of these classes may be the later, and nothing else.
     """
 
@@ -272,6 +283,7 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
         common = np.repeat(size > long_list, size) & (only is None)
         asked = None if only is None else np.isin(own, only)
         lefts, rights, more = ([np.zeros(0, np.int64)] for _ in range(3))
+        more_keys = [np.zeros(0, np.uint64)]
         for m in np.unique(size[(size > 1) & (size <= long_list)]).tolist():
             at = first[size == m][:, None] + np.arange(m)
             # later classes of a list down, earlier ones across; so a class's pairs lie in one run
@@ -289,12 +301,16 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
                 ok = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (np.minimum(ra, rb) + np.minimum(na - ra, nb - rb) >= need)
                 # every parity that differs is a word that only one of the two has
                 ok &= np.bitwise_count(parity[a] ^ parity[b]) <= na + nb - 2 * need
-                one_doc = doc[a[ok]] == doc[b[ok]]
-                a, b, list_of = own[a[ok]], own[b[ok]], list_of[ok]
+                a, b, list_of = a[ok], b[ok], list_of[ok]
+                one_doc, of_key = doc[a] == doc[b], h[a]
+                a, b = own[a], own[b]
                 if nearest is not None and len(a):
                     run_start = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (list_of[1:] != list_of[:-1])])
                     place = np.arange(len(b)) - np.repeat(run_start, np.diff(np.r_[run_start, len(b)]))
-                    more.append(np.unique(np.r_[b[place >= nearest], a[(place >= nearest) & one_doc]]))
+                    # once for each class and list; for the earlier class of one document as well
+                    beyond, both = place == nearest, (place >= nearest) & one_doc
+                    more.append(np.r_[b[beyond], a[both]])
+                    more_keys.append(np.r_[of_key[beyond], of_key[both]])
                     a, b = a[place < nearest], b[place < nearest]
                 lefts.append(a)
                 rights.append(b)
@@ -304,26 +320,32 @@ def _bucket(percent: int, long_list: int, only: np.ndarray | None, nearest: int
         a, b = a[order], b[order]
         start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
         a, b = a[start], b[start]
-        longer, extra = np.flatnonzero(common), np.unique(np.concatenate(more))
+        longer, extra, extra_keys = np.flatnonzero(common), np.concatenate(more), np.concatenate(more_keys)
         return pa.table(
             {
                 "a": pa.array(np.r_[a, own[longer], extra]),
-                "b": pa.concat_arrays([pa.array(b), pa.nulls(len(longer) + len(extra), pa.int64())]),
-                "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(h[longer].view(np.int64)), pa.nulls(len(extra), pa.int64())]),
+                "b": pa.concat_arrays([pa.array(b), pa.nulls(len(longer), pa.int64()), pa.array(extra)]),
+                "key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.r_[h[longer], extra_keys].view(np.int64))]),
             }
         )
 
     return run
 
 
-def _sets(min_tokens: int):
+def _sets(min_tokens: int, bitmap: np.ndarray):
+    """Word sets of the lines whose classes are marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in lines_of(batch.column(1), min_tokens):
-                ends = pa.array(np.r_[0, np.cumsum(found.n)] * 8, pa.int64())
-                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found.n), [None, ends.buffers()[1], pa.py_buffer(found.hashes.tobytes())])
+                hit = _marked(found.cls, bitmap)
+                if not hit.any():
+                    continue
+                ends = pa.array(np.r_[0, np.cumsum(found.n[hit])] * 8, pa.int64())
+                tokens = pa.py_buffer(found.hashes[np.repeat(hit, found.n)].tobytes())
+                sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(hit.sum()), [None, ends.buffers()[1], tokens])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.cls), sets.cast(pa.binary())],
+                    [batch.column(0).take(pa.array(found.text[hit])), pa.array(found.number[hit].astype(np.int32)), pa.array(found.cls[hit]), sets.cast(pa.binary())],
                     ["doc_id", "line", "cls", "tokens"],
                 )
 
@@ -428,9 +450,13 @@ def _without(min_tokens: int):
     return run
 
 
+def _broadcast_bytes(df: DataFrame) -> int:
+    return broadcast_bytes_limit(df.sparkSession) // BROADCAST_SHARE
+
+
 def _hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """A broadcast hint if the written rows are few enough, an ordinary join otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= broadcast_bytes_limit(df.sparkSession) else df
+    return F.broadcast(df) if df.count() * row_bytes <= _broadcast_bytes(df) else df
 
 
 def deduplicate_lines(
@@ -464,10 +490,12 @@ def deduplicate_lines(
         listed = rows.select("doc_id", "text").mapInArrow(
             _postings(min_tokens, percent, level, buckets, long_list, keys), "bucket long, hashes binary, owners binary, sizes binary, ranks binary, maps binary, docs binary"
         )
-        return written(listed.groupBy("bucket").applyInArrow(_bucket(percent, long_list, only, every), "a long, b long, key long"))
+        # a few buckets a task, however many rows the session's partitions would hold
+        spread = listed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 2), "bucket")
+        return written(spread.groupBy("bucket").applyInArrow(_bucket(percent, long_list, only, every), "a long, b long, key long"))
 
     index = indexed(None, NEAREST)
-    common = index.filter("b is null and key is not null").select("key", F.col("a").alias("cls")).distinct()
+    common = index.filter("b is null").select("key", F.col("a").alias("cls")).distinct()
     placed = common.join(classes.select("cls", "n", "parity", F.struct("doc_id", "line", "cls").alias("at")), "cls")
     hubs = placed.groupBy("key").agg(F.min("at").alias("hub")).select("key", F.col("hub.cls").alias("hub"))
     starred = common.join(hubs, "key").filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
@@ -476,16 +504,19 @@ def deduplicate_lines(
     alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("na") + F.col("nb") - 2 * need)
     sized = starred.distinct().join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
     first_pairs = written(
-        index.filter("b is not null").select("a", "b").unionByName(sized)
+        index.filter("key is null").select("a", "b").unionByName(sized)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Word sets of the classes in some pairs, from their first lines."""
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "line"), "cls"))
+        bitmap = marks(wanted.select("cls"))
         holders = written(wanted.select(F.col("doc_id").alias("_id")).distinct())
-        holding = rows.select("doc_id", "text").join(_hinted(holders, 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        found = holding.mapInArrow(_sets(min_tokens), "doc_id long, line int, cls long, tokens binary")
+        # nearly every document holds some unless they are few
+        some = holders.count() * 32 <= _broadcast_bytes(holders)
+        holding = rows.join(F.broadcast(holders), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi") if some else rows
+        found = holding.select("doc_id", "text").mapInArrow(_sets(min_tokens, bitmap), "doc_id long, line int, cls long, tokens binary")
         at = wanted.select(F.col("cls").alias("_c"), F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
         here = (F.col("cls") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line") == F.col("_l"))
         sets = written(found.join(_hinted(at, 48), here, "left_semi").select("cls", "tokens"))
@@ -529,20 +560,13 @@ def deduplicate_lines(
         matched = written(matched.unionByName(matches(open_pairs)).distinct())
 
     # classes with further partners on some list, and without an earlier match among the first ones
-    beyond = index.filter("b is null and key is null").select(F.col("a").alias("cls")).distinct()
-    beyond = written(beyond.join(matched, "cls", "left_anti"))
+    further = index.filter("a = b").select(F.col("a").alias("cls"), "key")
+    further = written(further.join(matched, "cls", "left_anti"))
+    beyond = written(further.select("cls").distinct())
     waiting = beyond.count()
     if waiting:
         few = waiting * 8 <= broadcast_bytes_limit(spark)
-        holding = rows.select("doc_id", "text").join(
-            _hinted(written(beyond.join(classes, "cls").select(F.col("doc_id").alias("_id")).distinct()), 32), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
-        )
-        theirs = holding.select("text").mapInArrow(_keys_of_classes(min_tokens, percent, level, long_list), "cls long, key long")
-        lists = written(theirs.join(_hinted(beyond, 24), "cls", "left_semi").select("key").distinct())
-        # their lists alone, if those are few enough to name
-        named = 0 < lists.count() * 8 <= broadcast_bytes_limit(spark)
-        keys = np.sort(lists.toArrow()["key"].to_numpy().view(np.uint64)) if named else None
-        ends = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, keys).filter("b is not null").select("a", "b").distinct()
+        ends = indexed(beyond.toArrow()["cls"].to_numpy() if few else None, None, marks(further.select("key").distinct())).filter("b is not null").select("a", "b").distinct()
         if not few:
             ends = ends.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(beyond, "cls", "left_semi").select("a", "b").distinct()
         matched = written(matched.unionByName(matches(written(ends.join(first_pairs, ["a", "b"], "left_anti")))).distinct())
@@ -562,7 +586,7 @@ def deduplicate_lines(
     )
     removed = written(removed.groupBy("doc_id").agg(F.collect_set("drop").alias("drop")).withColumnRenamed("doc_id", "_id"))
     size = removed.agg(F.sum(F.size("drop") * 24 + 32)).first()[0] or 0
-    hinted = F.broadcast(removed) if size <= broadcast_bytes_limit(spark) else removed
+    hinted = F.broadcast(removed) if 4 * size <= broadcast_bytes_limit(spark) else removed
     kept = [F.col(f"_keep_{k}") for k in keep]
     joined = rows.join(hinted, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop", *kept)
     kinds = "".join(f", `_keep_{k}` {joined.schema[f'_keep_{k}'].dataType.simpleString()}" for k in keep)
