@@ -304,18 +304,40 @@ def fit_domains(alphabet: Alphabet, texts: list[np.ndarray], rounds: int = 15, s
     return log.astype(np.float32)
 
 
+def _groups(column: Iterator, symbols: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Texts of about so many symbols together."""
+    held: list[np.ndarray] = []
+    size = 0
+    for raw in column:
+        held.append(np.frombuffer(raw.as_buffer(), np.uint16))
+        size += len(held[-1])
+        if size > symbols:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _domain_round(domains: np.ndarray):
     """Sums of one round: symbols by domain, each text shared out in 1024 parts among the domains that fit it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(domains), DOMAINS), np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                t = np.frombuffer(raw.as_buffer(), np.uint16)
-                symbols, n = np.unique(t[t < BYTES], return_counts=True)
-                fit = n @ domains[symbols].astype(np.float64)
-                share = np.exp(fit - fit.max())
-                total[symbols] += n[:, None] * np.rint(share / share.sum() * 1024).astype(np.int64)
+
+        def add(texts: list[np.ndarray]) -> None:
+            t = np.concatenate(texts)
+            text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])[t < BYTES]
+            t = t[t < BYTES].astype(np.int64)
+            fit = np.stack([np.bincount(text, weights=d.take(t, mode="clip"), minlength=len(texts)) for d in by_domain], axis=1)
+            share = np.exp(fit - fit.max(axis=1, keepdims=True))
+            parts = np.rint(share / share.sum(axis=1, keepdims=True) * 1024)
+            for k in range(DOMAINS):
+                # sums of whole numbers, exact in double precision
+                total[:, k] += np.bincount(t, weights=parts[:, k].take(text, mode="clip"), minlength=len(domains)).astype(np.int64)
+
+        by_domain = np.ascontiguousarray(domains.T.astype(np.float64))
+        for texts in _groups(raw for batch in batches for raw in batch.column(0)):
+            add(texts)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total.ravel()[used])], ["at", "total"])
 
@@ -385,17 +407,17 @@ class Bits:
         row = np.where(sym >= BYTES, sym - BYTES + alphabet.size, sym)
         length = alphabet.length[row]
         total = int(length.sum())
-        self.owner = np.repeat(np.arange(len(sym), dtype=np.int32), length)
+        self.length = length
         depth = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
-        at = np.repeat(alphabet.start[row].astype(np.int32), length) + depth
-        self.node = alphabet.node[at]
-        self.bit = alphabet.bit[at]
+        at = np.repeat(alphabet.start[row], length) + depth
+        self.node = alphabet.node.take(at, mode="clip")
+        self.bit = alphabet.bit.take(at, mode="clip")
         self.kind = np.minimum(depth, DEPTHS - 1)
         self.kind[np.repeat(sym >= BYTES, length)] += DEPTHS
         spread = self.node.astype(np.uint32) * np.uint32(0x9E3779B1)
         shift = np.uint32(32 - TABLE_BITS)
         mult = np.uint32(0x85EBCA6B)
-        self.slots = [(((c >> np.uint64(32)).astype(np.uint32)[self.owner] ^ spread) * mult) >> shift for c in ctx]
+        self.slots = [(((np.repeat((c >> np.uint64(32)).astype(np.uint32), length) ^ spread) * mult) >> shift).astype(np.int64) for c in ctx]
 
 
 def _table_counts(alphabet: Alphabet, domains: np.ndarray):
@@ -413,7 +435,7 @@ def _table_counts(alphabet: Alphabet, domains: np.ndarray):
             for a in range(0, len(sym), 100_000):
                 bits = Bits(alphabet, sym[a : a + 100_000], [c[a : a + 100_000] for c in ctx])
                 for table, slot in zip(counts[half], [*bits.slots, bits.node]):
-                    at = slot.astype(np.int64) + bits.bit * np.int64(table.shape[1])
+                    at = slot + bits.bit * np.int64(table.shape[1])
                     table += np.bincount(at, minlength=table.size).reshape(table.shape).astype(np.uint32)
 
         held: tuple[list, list] = ([], [])
@@ -473,12 +495,14 @@ class Mixer:
 
     def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((INPUTS, len(bits.node)), np.float32)
-        x[0] = self.stretch[4][bits.node]
+        # slots lie within their tables; without a test of that a lookup costs half as much
+        x[0] = self.stretch[4].take(bits.node, mode="clip")
         for i, slot in enumerate(bits.slots):
-            x[i + 1] = self.stretch[i][slot]
+            x[i + 1] = self.stretch[i].take(slot, mode="clip")
         x[:5] /= 12
         x[5] = 0.3
-        gate = (bits.kind * LEVELS + self.level[2][bits.slots[2]]) * LEVELS + self.level[3][bits.slots[3]]
+        levels = [self.level[i].take(bits.slots[i], mode="clip") for i in (2, 3)]
+        gate = (bits.kind * LEVELS + levels[0]) * LEVELS + levels[1]
         return x, gate
 
     def run(self, texts: list[np.ndarray], learn: bool = False) -> np.ndarray:
@@ -489,50 +513,58 @@ class Mixer:
         sym = np.concatenate(texts).astype(np.int64) if n else np.zeros(0, np.int64)
         ctx = contexts(self.domains, sym, starts)
         own = 1 if learn else n
-        weights = np.repeat(self.weights[None], own, axis=0).reshape(-1, INPUTS)
-        curve = np.repeat(self.map[None], own, axis=0).ravel()
+        weights = np.repeat(self.weights.T[:, None], own, axis=1)  # input, text, gate
+        curves = np.repeat(self.map[None], own, axis=0)
         out = np.zeros(n)
         for r in range(0, int(lengths.max(initial=0)), ROUND):
             alive = np.flatnonzero(lengths > r)
+            if not learn:  # texts that go on first, so that their bits are a slice
+                alive = alive[np.argsort(lengths[alive] <= r + ROUND, kind="stable")]
             take = np.minimum(lengths[alive] - r, ROUND)
             at = np.repeat(starts[alive] + r - np.cumsum(take) + take, take) + np.arange(take.sum())
             bits = Bits(self.alphabet, sym[at], [c[at] for c in ctx])
             if not len(bits.node):
                 continue
-            text = np.repeat(alive, take)[bits.owner]
+            text = np.repeat(np.repeat(np.arange(len(alive)), take), bits.length)
             x, gate = self.inputs(bits)
-            cell = gate if learn else text * self.gates + gate
-            w = weights[cell]
-            dot = np.clip(np.einsum("kn,nk->n", x, w), -7.99, 7.99)
+            mine = slice(None) if learn else alive
+            now, curve = weights[:, mine].reshape(INPUTS, -1), curves[mine].ravel()
+            cell = gate.astype(np.int64) if learn else text * self.gates + gate
+            dot = x[0] * now[0].take(cell, mode="clip")
+            for k in range(1, INPUTS):
+                dot += x[k] * now[k].take(cell, mode="clip")
+            dot = np.clip(dot, np.float32(-7.99), np.float32(7.99))
             # refine: interpolate the map between the two nearest buckets, and average
             place = (dot + 8) * np.float32((BUCKETS - 1) / 16)
-            low = place.astype(np.int32)
-            share = place - low
+            low = place.astype(np.int64)
+            share = place - low.astype(np.float32)
             bucket = low if learn else low + text * BUCKETS
-            base = curve[bucket]
-            refined = (dot + base + (curve[bucket + 1] - base) * share) / 2
+            base = curve.take(bucket, mode="clip")
+            refined = (dot + base + (curve.take(bucket + 1, mode="clip") - base) * share) / 2
             p = 1 / (1 + np.exp(-refined))
             p = np.clip(p, np.float32(2.0**-16), np.float32(1 - 2.0**-16))
-            out += np.bincount(text, weights=np.log2(np.abs(p - (1 - bits.bit))), minlength=n)
+            out[alive] += np.bincount(text, weights=np.log2(np.abs(p - (1 - bits.bit))), minlength=len(alive))
             # learn from the round, for texts that go on: mean gradient per gate, and per bucket of the map
-            on = slice(None) if learn else np.flatnonzero(lengths[text] > r + ROUND)
-            if not learn and not len(on):
+            texts_on = len(alive) if learn else int((lengths[alive] > r + ROUND).sum())
+            if not texts_on:
                 continue
-            error = (bits.bit - p)[on]
-            cell, x, near = cell[on], x[:, on], (bucket + (share > 0.5))[on]
-            count = np.bincount(cell, minlength=len(weights))
+            on = len(text) if learn else int(np.searchsorted(text, texts_on))
+            error = bits.bit[:on] - p[:on]
+            cell, near = cell[:on], bucket[:on] + (share[:on] > 0.5)
+            count = np.bincount(cell, minlength=now.shape[1])
             used = np.flatnonzero(count)
             rate = RATE / (count[used] + 16.0)
             for k in range(INPUTS):
-                weights[used, k] += rate * np.bincount(cell, weights=error * x[k], minlength=len(weights))[used]
+                now[k, used] += rate * np.bincount(cell, weights=error * x[k, :on], minlength=now.shape[1])[used]
             seen = np.bincount(near, minlength=len(curve))
             curve += (np.bincount(near, weights=error, minlength=len(curve)) / (seen + 64.0)).astype(np.float32)
+            weights[:, mine], curves[mine] = now.reshape(INPUTS, -1, self.gates), curve.reshape(-1, BUCKETS)
             if learn:
                 self.weights_used += count
                 self.map_used += seen
         if learn:
-            self.weights = weights.reshape(self.gates, INPUTS)
-            self.map = curve
+            self.weights = np.ascontiguousarray(weights[:, 0].T)
+            self.map = curves[0]
         return out
 
     def calibrate(self, texts: list[np.ndarray]) -> None:
@@ -574,15 +606,7 @@ def learn_start(mixer: Mixer, halves: list[Mixer], learned: DataFrame, shards: i
 def _scored(mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits: list[np.ndarray] = []
-            held: list[np.ndarray] = []
-            for raw in batch.column(5):
-                held.append(np.frombuffer(raw.as_buffer(), np.uint16))
-                if sum(map(len, held)) > 100_000:
-                    bits.append(mixer.run(held))
-                    held = []
-            if held:
-                bits.append(mixer.run(held))
+            bits = [mixer.run(texts) for texts in _groups(batch.column(5))]
             total = np.concatenate([np.zeros(0), *bits])
             within = batch.column(6).to_numpy()
             score = total * np.log10(2) + within
