@@ -10,12 +10,11 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitspark.operators import metrics as M
-from habitspark.operators.models import Model
+from habitspark.operators.models import Model, load_pipeline
 
 FORMAT = 1
 # what a bundle holds beside the models
@@ -92,7 +91,7 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> Bundle:
         if (now := tables[name].count()) != n:
             raise ValueError(f"table {name} of version {version} has {now} rows, written were {n}")
     models = {
-        m["algo"]: Model(m["algo"], list(m["predictors"]), PipelineModel.load(f"{path}/{entry['folder']}/models/{m['algo']}"), m["shift"])
+        m["algo"]: Model(m["algo"], list(m["predictors"]), load_pipeline(spark, f"{path}/{entry['folder']}/models/{m['algo']}"), m["shift"])
         for m in entry["models"]
     }
     return Bundle(version, models, tables)
